@@ -173,12 +173,12 @@ def n_blocks(counts: np.ndarray) -> np.ndarray:
     return np.maximum(1, -(-counts // BLOCK)).astype(np.int64)
 
 
-def spread(df: DataFrame, side: str, fan: Callable) -> DataFrame:
-    """Copy each row to the block pairs it takes part in: ``(cell, qb, cb, id, vec)``.
+def spread(df: DataFrame, side: str, fan: Callable, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Copy each row to the block pairs it takes part in: ``(cell, qb, cb, id, vec, <carried>)``.
 
     ``fan`` maps cells and id hashes to the row's own block and the range of opposite blocks.
     """
-    id_type = df.schema["id"].dataType.simpleString()
+    kept = ("id", "vec", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,15 +197,13 @@ def spread(df: DataFrame, side: str, fan: Callable) -> DataFrame:
                         batch.column("cell").take(taken),
                         pa.array(qb.astype(np.int32)),
                         pa.array(cb.astype(np.int32)),
-                        batch.column("id").take(taken),
-                        batch.column("vec").take(taken),
+                        *(batch.column(c).take(taken) for c in kept),
                     ],
-                    names=["cell", "qb", "cb", "id", "vec"],
+                    names=["cell", "qb", "cb", *kept],
                 )
 
-    return df.select("cell", "h", "id", "vec").mapInArrow(
-        run, f"cell int, qb int, cb int, id {id_type}, vec array<double>"
-    )
+    types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept)
+    return df.select("cell", "h", *kept).mapInArrow(run, f"cell int, qb int, cb int, {types}")
 
 
 def cross_fan(own_blocks: np.ndarray, other_blocks: np.ndarray) -> Callable:

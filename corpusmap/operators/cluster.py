@@ -148,10 +148,18 @@ def _square_links(core: DataFrame, eps: float, side: float, tables: Tables) -> D
     keys = ["cx", "cy", "ox", "oy"]
     linked = pairs.filter("sure").select(*keys).distinct()
     open_pairs = pairs.filter("NOT sure").join(linked, keys, "left_anti")
-    left = boxed.select("cx", "cy", "bx", "by", F.col("x").alias("px"), F.col("y").alias("py"))
-    right = boxed.select(
+    spots = boxed.distinct()
+    left = spots.select("cx", "cy", "bx", "by", F.col("x").alias("px"), F.col("y").alias("py"))
+    right = spots.select(
         F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("bx").alias("obx"), F.col("by").alias("oby"),
         F.col("x").alias("qx"), F.col("y").alias("qy"),
     )
     met = open_pairs.join(left, ["cx", "cy", "bx", "by"]).join(right, ["ox", "oy", "obx", "oby"])
     return linked.unionByName(met.filter(_near("p", "q", eps)).select(*keys).distinct())
+
+
+def hdbscan(points: DataFrame, min_cluster_size: int = 5, min_samples: int | None = None, levels: int = 32) -> DataFrame:
+    """Density clusters ``(id, cluster)`` of points ``(id, x, y)``, noise -1; see ``operators.hierarchy``."""
+    from corpusmap.operators.hierarchy import hierarchical_labels
+
+    return cluster_numbers(hierarchical_labels(points, min_cluster_size, min_samples, levels))

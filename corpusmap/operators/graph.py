@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.operators.simjoin import SimilarVectors, similar_vectors
@@ -36,12 +36,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     tables = Tables(edges.sparkSession, "components")
     links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    current = tables.save(links.filter(F.col("u") != F.col("v")).distinct(), "round0")
-    state = _checksum(current)
+    current, state = tables.save_measured(links.filter(F.col("u") != F.col("v")).distinct(), "round0", **_checksum())
     for i in range(1, MAX_ROUNDS):
-        current = tables.save(_small_star(_large_star(current)), f"round{i}")
+        if not state["n"]:
+            break
+        current, reached = tables.save_measured(_small_star(_large_star(current)), f"round{i}", **_checksum())
         tables.drop(f"round{i - 1}")
-        reached = _checksum(current)
         if reached == state:
             break
         state = reached
@@ -63,8 +63,8 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _checksum(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _checksum() -> dict[str, Column]:
+    return {"n": F.count("*"), "bits": F.bit_xor(F.xxhash64("u", "v"))}
 
 
 def label_propagation(
@@ -72,9 +72,9 @@ def label_propagation(
 ) -> DataFrame:
     """Communities ``(id, label)``: every node takes the label most frequent among its neighbours.
 
-    Ties go to the smallest label. Nodes are coloured by a seeded bit of their id, and one colour moves at a
-    time, which keeps labels from swapping for ever; ``synchronous`` moves all nodes in every round. An
-    optional node column ``votes`` is the number of equal records a node stands for. Rounds end when no
+    Ties go to the smallest label. In every round a seeded bit of its id colours each node anew, and one
+    colour moves after the other, so that no two neighbours swap labels for ever; ``synchronous`` moves all
+    nodes at once. An optional node column ``votes`` is the number of equal records a node stands for. Rounds end when no
     label changes, or after ``max_iter``.
     """
     tables = Tables(edges.sparkSession, "propagation")
@@ -82,24 +82,29 @@ def label_propagation(
         edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "both"
     )
     votes = F.col("votes") if "votes" in nodes.columns else F.lit(1)
-    colour = (F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), 1, 1) < "8").cast("int")
-    start = nodes.select("id", F.col("id").alias("label"), votes.cast("bigint").alias("votes"), colour.alias("colour"))
+    start = nodes.select("id", F.col("id").alias("label"), votes.cast("bigint").alias("votes"))
     labels = tables.save(start.withColumn("changed", F.lit(False)), "round0")
+    changes = {"n": F.count_if("changed")}
     for i in range(1, max_iter + 1):
         moved = labels.withColumn("changed", F.lit(False))
         for turn in (None,) if synchronous else (0, 1):
-            moved = _move(moved, both, turn)
+            mine = F.lit(True) if turn is None else _colour(seed, i) == turn
+            moved = _move(moved, both, mine)
             if turn == 0:
                 moved = tables.save(moved, f"half{i}")
-        moved = tables.save(moved, f"round{i}")
+        labels, seen = tables.save_measured(moved, f"round{i}", **changes)
         tables.drop(f"round{i - 1}")
-        labels = moved
-        if moved.filter("changed").isEmpty():
+        if not seen["n"]:
             break
     return labels.select("id", "label")
 
 
-def _move(labels: DataFrame, both: DataFrame, turn: int | None) -> DataFrame:
+def _colour(seed: int, i: int) -> Column:
+    digest = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}:{i}")))
+    return (F.substring(digest, 1, 1) < "8").cast("int")
+
+
+def _move(labels: DataFrame, both: DataFrame, mine: Column) -> DataFrame:
     heard = both.join(labels.select(F.col("id").alias("dst"), "label", "votes"), "dst").select(
         F.col("src").alias("id"), "label", "votes"
     )
@@ -107,10 +112,9 @@ def _move(labels: DataFrame, both: DataFrame, turn: int | None) -> DataFrame:
     own = labels.filter("votes > 1").select("id", "label", (F.col("votes") - 1).alias("votes"))
     tally = heard.union(own).groupBy("id", "label").agg(F.sum("votes").alias("n"))
     best = tally.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("best"))
-    mine = F.lit(True) if turn is None else F.col("colour") == turn
     new = F.when(mine, F.coalesce("best", "label")).otherwise(F.col("label"))
     return labels.join(best, "id", "left").select(
-        "id", new.alias("label"), "votes", "colour", (F.col("changed") | (new != F.col("label"))).alias("changed")
+        "id", new.alias("label"), "votes", (F.col("changed") | (new != F.col("label"))).alias("changed")
     )
 
 

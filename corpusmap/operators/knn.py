@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmap.functions.arrow import matrix, values
 from corpusmap.functions.vectors import normalize
 from corpusmap.operators import cells as C
+from corpusmap.operators.cells import chunks, distances
 from corpusmap.operators.copies import collapse
 from corpusmap.operators.rank import top_per_group
 from corpusmap.operators.simjoin import arrow_id_type
@@ -29,8 +30,8 @@ def top_kernel(k: int, query_type: pa.DataType, id_type: pa.DataType):
             order = named.argsort(kind="stable")
             named = named[order]
             va, vb = matrix(left.column("vec")), matrix(right.column("vec"))[order]
-            for part in C.chunks(len(va), len(vb)):
-                dist = C.distances(va[part], vb)
+            for part in chunks(len(va), len(vb)):
+                dist = distances(va[part], vb)
                 if va.shape[1] > 4:
                     dist = np.round(dist, DECIMALS)
                 if dist.shape[1] > k:

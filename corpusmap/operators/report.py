@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmap.functions.records import first_engine
@@ -86,7 +86,7 @@ def cluster_hulls(points: DataFrame, key: str = "cluster") -> DataFrame:
                 hull = convex_hull(part[["x", "y"]].to_numpy())
                 yield pd.DataFrame({key: value, "x": hull[:, 0], "y": hull[:, 1]})
 
-    def merge(keys, frame: pd.DataFrame) -> pd.DataFrame:
+    def merge(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         hull = convex_hull(frame[["x", "y"]].to_numpy())
         return pd.DataFrame({key: keys[0], "corner": range(len(hull)), "x": hull[:, 0], "y": hull[:, 1]})
 
@@ -103,14 +103,16 @@ def joined_titles(members: DataFrame, key: str = "cluster", budget: int = TOKEN_
     A title takes at least its separator, so the budget bounds how many titles of a crowded group matter;
     the rest never reach the task that joins them.
     """
-    most = CHARS_PER_TOKEN * budget // 2 + 1
-    kept = top_per_group(members.select(key, "id", F.coalesce("title", F.lit("Unknown Title")).alias("title")),
-                         key, [F.asc("id")], most, "nth")
-    # Sorted inside the group by its position; only titles that start within the budget are kept as text.
-    listed = F.sort_array(F.collect_list(F.struct("nth", F.substring("title", 1, CHARS_PER_TOKEN * budget).alias("t"))))
-    return kept.groupBy(key).agg(
-        truncate_tokens(F.array_join(F.transform(listed, lambda x: x["t"]), ", "), budget).alias("titles")
+    chars = CHARS_PER_TOKEN * budget
+    titled = members.select(
+        key, "id", F.substring(F.coalesce(F.col("title"), F.lit("Unknown Title")), 1, chars).alias("title")
     )
+    kept = top_per_group(titled, key, [F.asc("id")], chars // 2 + 1, "nth")
+    before = Window.partitionBy(key).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("title") + 2).over(before), F.lit(0))
+    fitting = kept.withColumn("start", start).filter(F.col("start") < chars)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("nth", "title"))), lambda x: x["title"])
+    return fitting.groupBy(key).agg(truncate_tokens(F.array_join(listed, ", "), budget).alias("titles"))
 
 
 def sample_titles(communities: DataFrame, nodes: DataFrame, n: int = 10, top: int = 5, seed: int = 0) -> DataFrame:

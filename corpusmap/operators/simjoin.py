@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusmap.functions.arrow import lengths, matrix, unit_rows, values
 from corpusmap.functions.vectors import normalize
 from corpusmap.operators import cells as C
+from corpusmap.operators.cells import chunks
 from corpusmap.operators.copies import Groups, collapse, count_edges, expand_edges
 from corpusmap.scratch import Tables
 
@@ -92,7 +93,7 @@ def threshold_kernel(threshold: float, id_type: pa.DataType):
             a, b = values(left.column("id")), values(right.column("id"))
             same = left.column("qb")[0].as_py() == left.column("cb")[0].as_py()
             va, vb = matrix(left.column("vec")), matrix(right.column("vec"))
-            for part in C.chunks(len(va), len(vb)):
+            for part in chunks(len(va), len(vb)):
                 sims = va[part] @ vb.T
                 i, j = np.nonzero(sims > threshold)
                 w = sims[i, j]
