@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmap.operators.simjoin import SimilarVectors, similar_vectors
+from corpusmap.functions.arrow import values
+from corpusmap.operators.simjoin import SimilarVectors, arrow_id_type, similar_vectors
 from corpusmap.scratch import Tables
 
 MAX_ROUNDS = 200
+# Links a task holds before it contracts them.
+CONTRACT_ROWS = 1 << 20
 
 
 def similarity_graph(vectors: DataFrame, threshold: float = 0.9, method: str = "exact") -> tuple[DataFrame, DataFrame]:
@@ -30,17 +36,18 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)``, the component being the smallest id in it.
 
-    Alternating large-star and small-star rounds: each node's neighbours are linked to the smallest of them.
-    Minima are reduced map-side, no neighbourhood is ever gathered, and the rounds grow with the logarithm
-    of the graph, whatever its diameter.
+    Each task first contracts the links of its partition to stars. Alternating large-star and small-star
+    rounds then link each node's neighbours to the smallest of them. Minima are reduced map-side, no
+    neighbourhood is ever gathered, and the rounds grow with the logarithm of the graph, whatever its
+    diameter.
     """
     tables = Tables(edges.sparkSession, "components")
     links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    current, state = tables.save_measured(links.filter(F.col("u") != F.col("v")).distinct(), "round0", **_checksum())
+    current, state = tables.save_measured(_contract(links.filter(F.col("u") != F.col("v"))), "round0", **_checksum())
     for i in range(1, MAX_ROUNDS):
         if not state["n"]:
             break
-        current, reached = tables.save_measured(_small_star(_large_star(current)), f"round{i}", **_checksum())
+        current, reached = tables.save_measured(_small_star(_large_star(_contract(current))), f"round{i}", **_checksum())
         tables.drop(f"round{i - 1}")
         if reached == state:
             break
@@ -51,6 +58,45 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a partition as stars: every node with the smallest node it is connected to."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            break
+        low = np.minimum(ra, rb)
+        np.minimum.at(root, ra, low)
+        np.minimum.at(root, rb, low)
+        while (root[root] != root).any():
+            root = root[root]
+    tied = np.nonzero(root != np.arange(len(names)))[0]
+    return names[tied], names[root[tied]]
+
+
+def _contract(links: DataFrame) -> DataFrame:
+    """The same connections with fewer links, by contraction within each partition."""
+    kind = links.schema["u"].dataType.simpleString()
+    id_type = arrow_id_type(links, "u")
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append((values(batch.column("u")), values(batch.column("v"))))
+            size += batch.num_rows
+            if size > CONTRACT_ROWS:
+                held = [local_stars(*(np.concatenate(c) for c in zip(*held)))]
+                size = len(held[0][0]) // 2
+        if held:
+            u, v = local_stars(*(np.concatenate(c) for c in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(u, id_type), pa.array(v, id_type)], names=["u", "v"])
+
+    return links.mapInArrow(contract, f"u {kind}, v {kind}")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select("v", "u"))
     lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

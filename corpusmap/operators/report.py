@@ -110,7 +110,7 @@ def joined_titles(members: DataFrame, key: str = "cluster", budget: int = TOKEN_
     kept = top_per_group(titled, key, [F.asc("id")], chars // 2 + 1, "nth")
     before = Window.partitionBy(key).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("title") + 2).over(before), F.lit(0))
-    fitting = kept.withColumn("start", start).filter(F.col("start") < chars)
+    fitting = kept.withColumn("start", start).filter(F.col("start") < chars + 2)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("nth", "title"))), lambda x: x["title"])
     return fitting.groupBy(key).agg(truncate_tokens(F.array_join(listed, ", "), budget).alias("titles"))
 

@@ -80,3 +80,13 @@ def read_vectors(spark: SparkSession, base: str, dataset: str, model: str) -> Da
     if stored.filter(F.col("embedding").isNotNull()).isEmpty():
         raise ValueError(f"{base} holds no vectors of dataset {dataset!r} and model {model!r}")
     return stored.select(*schemas.VECTORS.names, F.split_part("id", F.lit("_"), F.lit(1)).alias("idx"))
+
+
+def read_file_types(spark: SparkSession, path: str) -> DataFrame:
+    """The ``file_types`` list of a YAML file as rows ``(ord, type, engine)``."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise ImportError("reading YAML needs PyYAML; pass the list to file_types() instead") from error
+    text = "\n".join(row["value"] for row in spark.read.text(path, wholetext=True).collect())
+    return file_types(spark, yaml.safe_load(text)["file_types"])
