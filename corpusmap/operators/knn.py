@@ -124,12 +124,24 @@ def knn_join(points: DataFrame, k: int = 10) -> DataFrame:
     return knn(points.select("id", F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("vec")), k)
 
 
+def lifted(col, slot: int):
+    """A unit vector with two more coordinates, where a zero vector gets a one in the given slot.
+
+    Then all vectors have unit length, and a zero vector has cosine 0 with every vector of the other side.
+    """
+    unit = normalize(col)
+    zero = F.when(F.exists(unit, lambda x: x != 0), F.lit(0.0)).otherwise(F.lit(1.0))
+    extra = [F.lit(0.0), F.lit(0.0)]
+    extra[slot] = zero
+    return F.concat(unit, F.array(*extra))
+
+
 def nearest_unit_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k of a large set of queries: ``(query_id, id, similarity)``."""
     tables = Tables(vectors.sparkSession, "nearest")
-    corpus = vectors.select("id", normalize(F.col("embedding")).alias("vec"))
+    corpus = vectors.select("id", lifted(F.col("embedding"), 0).alias("vec"))
     groups = collapse(corpus, ["vec"], tables)
-    asked = queries.select(F.col("query_id").alias("id"), normalize(F.col("embedding")).alias("vec"))
+    asked = queries.select(F.col("query_id").alias("id"), lifted(F.col("embedding"), 1).alias("vec"))
     found = nearest(asked, groups.reps.select(F.col("rep").alias("id"), "vec"), k, tables)
     first_ids = top_per_group(groups.members, "rep", [F.asc("id")], k, "r").select(
         F.col("rep").alias("neighbor"), F.col("id").alias("other")
