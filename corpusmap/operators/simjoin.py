@@ -19,8 +19,9 @@ from corpusmap.scratch import Tables
 
 # Bound comparisons allow for rounding; the final comparison is exact.
 SLACK = 1e-9
-PROFILE = 8
 POSTING_BLOCK = 4096
+POSTING_ROWS = 20_000
+BOUNDARIES = 48
 
 
 @dataclass
@@ -163,10 +164,10 @@ def similar_sparse(rows: DataFrame, threshold: float) -> SimilarVectors:
     """The similarity graph of sparse unit rows, over distinct rows.
 
     ``indices`` are ascending and number the terms from the most widespread to the rarest. Of each row only
-    the rare terms that make up its *prefix* are posted: the terms left out have a joint length of at most
-    the threshold, so two rows above it share a posted term. At their rarest shared term, the two weights and
-    the lengths of what follows bound the cosine from above; so do the lengths over groups of terms. Pairs
-    that pass both bounds are verified on the whole rows.
+    the rare terms are posted, so many that the terms left out, its *head*, have a joint length of at most
+    the threshold; two rows above it then share a posted term. The products of a pair's shared posted terms
+    are summed. What is not summed lies below the larger of the two cuts, so the lengths of both rows below
+    it bound the rest. Pairs whose sum and bound exceed the threshold are verified on the whole rows.
     """
     check_threshold(threshold)
     tables = Tables(rows.sparkSession, "sparsejoin")
@@ -188,9 +189,14 @@ def similar_sparse(rows: DataFrame, threshold: float) -> SimilarVectors:
 
 
 def _prefix_postings(reps: DataFrame, threshold: float) -> DataFrame:
-    """Postings ``(id, term, w, rest, g0..g7)``: weight, length of the more widespread terms, group lengths."""
+    """Postings ``(id, term, w, rest, cut, head, below)``.
+
+    ``rest`` is the length of the more widespread terms, ``head`` that of the terms not posted, ``cut`` the
+    first of some fixed term boundaries at or above the posted range, and ``below`` the lengths below each.
+    """
     id_type = reps.schema["id"].dataType.simpleString()
-    group_names = [f"g{i}" for i in range(PROFILE)]
+    last = reps.agg(F.max(F.try_element_at("indices", F.lit(-1)))).first()[0] or 0
+    bounds = np.unique(np.geomspace(1, last + 2, BOUNDARIES).astype(np.int64))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,63 +204,88 @@ def _prefix_postings(reps: DataFrame, threshold: float) -> DataFrame:
             row = np.repeat(np.arange(len(size)), size)
             term = batch.column("indices").flatten().to_numpy().astype(np.int64)
             square = batch.column("weights").flatten().to_numpy() ** 2
-            running = square.cumsum()
             first = np.concatenate([[0], size.cumsum()[:-1]]).astype(int)
-            before = np.concatenate([[0.0], running])[first][row]
-            upto = running - before
-            profile = np.sqrt(
-                np.bincount(row * PROFILE + term % PROFILE, square, minlength=len(size) * PROFILE)
-            ).reshape(len(size), PROFILE)
-            kept = np.nonzero(upto > threshold * threshold - SLACK)[0]
+            before = np.concatenate([[0.0], square.cumsum()])
+            upto = before[1:] - before[first][row]
+            posted = upto > threshold * threshold - SLACK
+            n_head = np.bincount(row[~posted], minlength=len(size))
+            head = np.sqrt(np.maximum(before[first + n_head] - before[first], 0.0))
+            # Terms below a boundary: the summed squares of each row, cut at the boundary.
+            ends = np.searchsorted(row * (bounds[-1] + 1) + term, np.arange(len(size))[:, None] * (bounds[-1] + 1) + bounds)
+            below = np.sqrt(np.maximum(before[ends] - before[first][:, None], 0.0)).astype(np.float32)
+            kept = np.nonzero(posted)[0]
             owner = row[kept]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(pa.array(owner)),
-                    pa.array(term[kept]),
-                    pa.array(np.sqrt(square[kept])),
-                    pa.array(np.sqrt(np.maximum(upto[kept] - square[kept], 0.0))),
-                    *[pa.array(profile[owner, g]) for g in range(PROFILE)],
-                ],
-                names=["id", "term", "w", "rest", *group_names],
+            start = np.full(len(size), last + 1, dtype=np.int64)
+            np.minimum.at(start, owner, term[kept])
+            cut = np.searchsorted(bounds, start).astype(np.int32)
+            flat = pa.ListArray.from_arrays(
+                np.arange(0, below.size + 1, below.shape[1], dtype=np.int32), np.nextafter(below, np.float32(2)).ravel()
             )
-
-    schema = f"id {id_type}, term bigint, w double, rest double, " + ", ".join(f"{g} double" for g in group_names)
+            for i in range(0, len(kept), POSTING_ROWS):
+                part = slice(i, i + POSTING_ROWS)
+                taken = pa.array(owner[part])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(taken),
+                        pa.array(term[kept[part]]),
+                        pa.array(np.sqrt(square[kept[part]])),
+                        pa.array(np.sqrt(np.maximum(upto[kept[part]] - square[kept[part]], 0.0))),
+                        pa.array(cut[owner[part]]),
+                        pa.array(head[owner[part]]),
+                        flat.take(taken),
+                    ],
+                    names=["id", "term", "w", "rest", "cut", "head", "below"],
+                )
+
+    schema = f"id {id_type}, term bigint, w double, rest double, cut int, head double, below array<float>"
     return reps.filter(F.size("indices") > 0).mapInArrow(post, schema)
 
 
 def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs that share a posted term and pass both bounds.
+    """Pairs that share a posted term and may exceed the threshold: ``(src, dst)``, each once.
 
     A widespread term is cut into blocks, and each pair of blocks is a join key, so no task gets its whole
-    posting list; the bounds are part of the join condition, and what fails them is never produced.
+    posting list. Products are summed per pair map-side first.
     """
     size = postings.groupBy("term").agg(F.ceil(F.count("*") / POSTING_BLOCK).cast("int").alias("n"))
     blocked = postings.join(size, "term").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    groups = [f"g{i}" for i in range(PROFILE)]
 
     def side(tag: str) -> list[Column]:
-        return [F.col(c).alias(f"{tag}_{c}") for c in ("id", "w", "rest", *groups)]
+        return [F.col(c).alias(f"{tag}_{c}") for c in ("id", "w", "rest", "cut", "head", "below")]
 
     left = blocked.select(
         "term", F.col("b").alias("lb"), F.explode(F.sequence(F.col("b"), F.col("n") - 1)).alias("rb"), *side("l")
     )
     right = blocked.select(
-        "term", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("lb"), F.col("b").alias("rb"), *side("r")
+        F.col("term").alias("r_term"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("r_lb"),
+        F.col("b").alias("r_rb"), *side("r"),
     )
-    at_term = F.col("l_w") * F.col("r_w") + F.col("l_rest") * F.col("r_rest")
-    by_group = sum((F.col(f"l_{g}") * F.col(f"r_{g}") for g in groups), F.lit(0.0))
     met = left.join(
-        right.withColumnsRenamed({"term": "r_term", "lb": "r_lb", "rb": "r_rb"}),
+        right,
         (F.col("term") == F.col("r_term"))
         & (F.col("lb") == F.col("r_lb"))
         & (F.col("rb") == F.col("r_rb"))
-        & ((F.col("lb") < F.col("rb")) | (F.col("l_id") < F.col("r_id")))
-        & (at_term > threshold - SLACK)
-        & (by_group > threshold - SLACK),
+        & ((F.col("lb") < F.col("rb")) | (F.col("l_id") < F.col("r_id"))),
+    )
+
+    def below_cut(tag: str, other: str) -> Column:
+        # Of two rows with the same cut either may have posted more, so both take the length at the boundary.
+        at = F.get(F.col(f"{tag}_below"), F.col(f"{other}_cut")).cast("double")
+        return F.when(F.col(f"{tag}_cut") <= F.col(f"{other}_cut"), at).otherwise(F.col(f"{tag}_head"))
+
+    product = F.col("l_w") * F.col("r_w")
+    rows = met.select(
+        F.least("l_id", "r_id").alias("src"),
+        F.greatest("l_id", "r_id").alias("dst"),
+        product.alias("product"),
+        (product + F.col("l_rest") * F.col("r_rest")).alias("at_term"),
+        (below_cut("l", "r") * below_cut("r", "l")).alias("unseen"),
+    )
+    summed = rows.groupBy("src", "dst").agg(
+        F.sum("product").alias("seen"), F.max("at_term").alias("at_term"), F.max("unseen").alias("unseen")
     )
-    return met.select(
-        F.least("l_id", "r_id").alias("src"), F.greatest("l_id", "r_id").alias("dst")
-    ).distinct()
+    least = threshold - SLACK
+    return summed.filter((F.col("at_term") > least) & (F.col("seen") + F.col("unseen") > least)).select("src", "dst")
 
 
 def _sparse_dot():
