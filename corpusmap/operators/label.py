@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.functions.text import TOKEN_BUDGET, tokens
-from corpusmap.operators.rank import top_per_group
+from corpusmap.operators.rank import top_per_group, with_position
 from corpusmap.operators.report import joined_titles
 from corpusmap.operators.tfidf import stop_list
 
@@ -61,9 +61,9 @@ def name_clusters(members: DataFrame, key: str = "cluster", stop_words="english"
     everyone = clustered.select(key).distinct().join(gathered, key, "left").join(taken, key, "left")
     stem = F.coalesce(F.try_element_at("terms", F.lit(1)), F.lit("unnamed"))
     lacking = everyone.filter(F.col("name").isNull()).select(key, stem.alias("stem"))
-    numbered = lacking.select(
-        key,
-        F.concat("stem", F.lit(" "), F.row_number().over(Window.partitionBy("stem").orderBy(key))).alias("name"),
+    # Numbered over all such clusters, however many share a term, and without one task per term.
+    numbered = with_position(lacking, "stem", key).select(
+        key, F.concat("stem", F.lit(" "), F.col("position") + 1).alias("name")
     )
     named = everyone.filter(F.col("name").isNotNull()).select(key, "name").unionByName(numbered)
     noise = members.filter(_is_noise(members, key)).select(key).distinct().select(key, F.lit(NOISE_NAME).alias("name"))

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from corpusmap.functions.records import as_store_rows
 from corpusmap.functions.text import text_of
 from corpusmap.operators import cluster as clusters
-from corpusmap.operators import graph, label, reduce, report, tfidf
+from corpusmap.operators import enrich, graph, label, reduce, report, tfidf
 from corpusmap.operators.embed import check_model, embed, embed_hashing
 from corpusmap.operators.simjoin import similar_sparse, similar_vectors
 from corpusmap.schemas import LEVELS
-from corpusmap.operators import enrich
 from corpusmap.scratch import materialize
 from corpusmap.sources import readers, writers
 
@@ -99,7 +98,7 @@ def run_pipeline(
         labels = clusters.cluster_numbers(clusters.dbscan(points, eps))
     else:
         labels = clusters.cluster_numbers(clusters.knn_components(points))
-    titled = vectors.select("id", F.coalesce(F.try_element_at("metadata", F.lit("title"))).alias("title"))
+    titled = vectors.select("id", F.try_element_at("metadata", F.lit("title")).alias("title"))
     members = materialize(labels.join(titled, "id"), "clusters")
     named = label.with_names(members, label.name_clusters(members))
     result = (
