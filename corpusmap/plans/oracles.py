@@ -250,7 +250,7 @@ def sql() -> dict[str, str]:
         ),
         "tfidf_weights": _q(_tfidf(True), f"SELECT id, term, {R.format('weight')} AS weight FROM tfidf"),
         "embed_hashing": _q(
-            f"{_tfidf(True)}, {_hashed('dv', 'raw')}", f"SELECT id, dim, {R.format('v')} AS value FROM dv WHERE v <> 0"
+            f"{_tfidf(True)}, {_hashed('dv', 'raw')}", f"SELECT id, dim, {R.format('v')} AS value FROM dv WHERE round(v, 6) <> 0"
         ),
         "pool_mean": _q(POOLED, f"SELECT id, dim, {R.format('v')} AS value FROM pooled"),
         "pool_cls": _q(

@@ -231,8 +231,8 @@ def embed_hashing(spark, sf_dir):
     vecs = embed.embed(docs(spark, sf_dir), "text", "hashing")
     return (
         vecs.select("id", F.posexplode("embedding").alias("dim", "v"))
-        .filter("v != 0")
         .select("id", "dim", _r("v", name="value"))
+        .filter("value != 0")
     )
 
 
