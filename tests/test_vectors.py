@@ -96,6 +96,16 @@ def test_search_scan_and_cells_agree(vectors, cloud, small_cells, monkeypatch):
         assert [scan[f"{i:04d}", r] for r in range(1, 6)] == [f"{j:04d}" for j in order]
 
 
+def test_lsh_search_finds_most_close_vectors(vectors, cloud, small_cells):
+    queries = vectors.withColumnRenamed("id", "query_id")
+    got = {(r.query_id, r.rank): r for r in search.search(queries, vectors, 3, "lsh").collect()}
+    sims = np.round(cosines(cloud), 9)
+    assert all(abs(r.similarity - sims[int(q), int(r.id)]) < 1e-6 for (q, _), r in got.items())
+    third = {q: r.similarity for (q, place), r in got.items() if place == 3}
+    near = sum(abs(third.get(f"{i:04d}", -2.0) - np.sort(sims[i])[-3]) < 1e-6 for i in range(len(cloud) - 1))
+    assert near >= 0.9 * (len(cloud) - 1)
+
+
 def test_communities_partition_the_records(vectors, cloud):
     similar = simjoin.similar_vectors(vectors, 0.9)
     labels = {r.id: r.label for r in graph.communities(similar).collect()}
