@@ -6,6 +6,7 @@ the loss of executors, and gives the optimiser true sizes for the next round.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,16 +16,19 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; local sessions without one get a temporary folder."""
-    conf = spark.sparkContext.getConf()
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or conf.get(CHECKPOINT_KEY, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="corpusmap-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    """The folder named by ``spark.checkpoint.dir``, or by ``setCheckpointDir`` where that is unset.
+
+    Only a single-JVM session (``local[...]``) with neither gets a temporary folder of its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY, None)
+    folder = folder or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmap-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 class Tables:
