@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.llm import bpe, host_rules
+from corpusmap.llm import bpe, host_rules, packing
 from corpusmap.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -30,5 +35,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_host_rules, op9_bpe)
+    f.__name__: f for f in (op6_host_rules, op7_best_fit_packing, op9_bpe)
 }
