@@ -14,7 +14,6 @@ from corpusmap.functions.arrow import values
 from corpusmap.operators.simjoin import SimilarVectors, arrow_id_type, similar_vectors
 from corpusmap.scratch import Tables
 
-MAX_ROUNDS = 200
 # Links a task holds before it contracts them.
 CONTRACT_ROWS = 1 << 20
 
@@ -37,21 +36,25 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)``, the component being the smallest id in it.
 
     Each task first contracts the links of its partition to stars. Alternating large-star and small-star
-    rounds then link each node's neighbours to the smallest of them. Minima are reduced map-side, no
-    neighbourhood is ever gathered, and the rounds grow with the logarithm of the graph, whatever its
-    diameter.
+    rounds then link each node's neighbours to the smallest of them, until a round changes nothing. Minima are
+    reduced map-side, no neighbourhood is ever gathered, and the rounds grow with the logarithm of the graph,
+    whatever its diameter.
     """
     tables = Tables(edges.sparkSession, "components")
     links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     current, state = tables.save_measured(_contract(links.filter(F.col("u") != F.col("v"))), "round0", **_checksum())
-    for i in range(1, MAX_ROUNDS):
-        if not state["n"]:
-            break
-        current, reached = tables.save_measured(_small_star(_large_star(_contract(current))), f"round{i}", **_checksum())
-        tables.drop(f"round{i - 1}")
-        if reached == state:
-            break
-        state = reached
+    i, settled = 0, not state["n"]
+    # Every round that changes the links lowers some node's smallest neighbour, so the rounds come to an end.
+    while not settled:
+        i += 1
+        # Saved between the steps: each joins its input with an aggregate of the same input.
+        large = tables.save(_large_star(current), f"large{i}")
+        small = tables.save(_small_star(large), f"small{i}")
+        before = state
+        current, state = tables.save_measured(_contract(small), f"round{i}", **_checksum())
+        settled = state == before
+        for name in (f"round{i - 1}", f"large{i}", f"small{i}"):
+            tables.drop(name)
     roots = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.select("id").join(roots, "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
