@@ -36,7 +36,7 @@ ASSIGNED = 0x32400
 BLOCK = 256
 # Characters that are classified at once; a longer text is a batch of its own.
 CHUNK = 1 << 20
-CACHED = 400_000
+CACHED = 300_000
 # Slices of more bytes are merged with a heap.
 LONG = 64
 NONE = np.int64(1 << 40)
@@ -370,14 +370,23 @@ def vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def _texts(column: pa.Array, rows: int = 256) -> Iterator[str]:
+    """The texts of a column, a few rows at a time, so that a batch is never held twice."""
+    for a in range(0, len(column), rows):
+        for t in column.slice(a, rows).to_pylist():
+            yield t or ""
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids, ends)``: each text's ids, and for each id the offset in UTF-8 bytes at which it ends."""
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
+    """``(doc_id, ids, ends)``: each text's ids, and for each id the offset in UTF-8 bytes at which it ends.
+
+    With ``decoded`` the ids are decoded again by their offsets in the same pass, and the bytes come as a column.
+    """
     shipped = vocabulary(docs, path)
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "ids", "ends"] + ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(shipped.value)
@@ -387,20 +396,21 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             row = 0
             for part in chunks(_texts(batch.column(1))):
                 ids = [np.array(x, np.int32) for x in encoder.encode(part)]
-                ends = [decoder.ends(x).astype(np.int32) for x in ids]
-                offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, len(part)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ends))),
-                    ],
-                    names=["doc_id", "ids", "ends"],
-                )
+                ends = [decoder.ends(x) for x in ids]
+                offsets = pa.array(np.cumsum([0] + [len(x) for x in ids]).astype(np.int32))
+                columns = [
+                    batch.column(0).slice(row, len(part)),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ends).astype(np.int32))),
+                ]
+                if decoded:
+                    columns.append(pa.array([decoder.decode(i, e) for i, e in zip(ids, ends)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 row += len(part)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, ends array<int>")
+    schema = f"doc_id {kind}, ids array<int>, ends array<int>" + ", decoded binary" * decoded
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
