@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.llm import bpe, host_rules, near_dup, packing
+from corpusmap.llm import bpe, fingerprints, host_rules, near_dup, packing
 from corpusmap.llm.common import table
 
 
+def _hex(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    searched = F.col("doc_id") % 100 == 0
+    found = fingerprints.document_fingerprints(table(spark, sf_dir, "documents"), query=searched)
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", _hex("fp").alias("fingerprint"),
+        _hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near",
+    )
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -25,7 +38,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +52,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_host_rules, op7_best_fit_packing, op8_simhash_near_dup, op9_bpe)
+    f.__name__: f for f in (op2_document_fingerprints, op6_host_rules, op7_best_fit_packing, op8_simhash_near_dup, op9_bpe)
 }
