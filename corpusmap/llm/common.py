@@ -30,3 +30,14 @@ def words(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where the body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """``(doc_id, text, label)`` of at most ``rows`` labelled rows outside the held-out fold, chosen by a hash of the id.
+
+    The chosen labels are bounded by ``rows`` and broadcast, so that no text is shuffled.
+    """
+    chosen = labels.filter(~held_out()).filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.llm import bpe, fingerprints, host_rules, near_dup, packing
+from corpusmap.llm import bpe, fingerprints, host_rules, near_dup, packing, quality, toxicity
 from corpusmap.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _hex(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -51,6 +55,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op6_host_rules, op7_best_fit_packing, op8_simhash_near_dup, op9_bpe)
+    f.__name__: f for f in (op1_toxicity, op2_document_fingerprints, op6_host_rules, op7_best_fit_packing, op8_simhash_near_dup, op9_bpe, op10_quality)
 }
