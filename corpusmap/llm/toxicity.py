@@ -51,7 +51,7 @@ SPACED_SPLIT, SPACED_END = 1.0, 4.0
 CHANCE = 1e8
 SKETCH = 8
 FIT_ROWS = 40_000
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 # The lower confidence bound of a feature's precision must exceed this.
 PRECISION = 0.5
 CACHED = 300_000
@@ -268,14 +268,24 @@ def learn(sample: DataFrame, costs: np.ndarray) -> tuple[dict[str, float], float
             other = (1 - share) * log((1 - share) / (1 - rate)) if share < 1 else 0.0
             if total * (share * log(share / rate) + other) > log(CHANCE):
                 strong.append(f)
-    lexicon = {f: chance[f] for f in strong}
-    left = {k for k, found in enumerate(toxic) if not found & lexicon.keys()}
+    # The surest first; one that clean texts have as well must hold on toxic texts without a surer one.
+    lexicon, left = {}, set(range(len(toxic)))
+    for f in sorted(strong, key=lambda f: (-chance[f], -len(f), f)):
+        clean = seen[f][1] - seen[f][0]
+        rest = len(left.intersection(having[f]))
+        if not clean or lower_bound(rest, rest + clean) > PRECISION:
+            lexicon[f] = chance[f]
+            left.difference_update(having[f])
     new = Counter(f for k in left for f in toxic[k] & chance.keys())
     while new:
         # Ties go to the longer feature, then by name.
         f = max(new, key=lambda x: (new[x], len(x), x))
         if new[f] < 2:
             break
+        clean = seen[f][1] - seen[f][0]
+        if clean and lower_bound(new[f], new[f] + clean) <= PRECISION:
+            del new[f], chance[f]
+            continue
         lexicon[f] = chance[f]
         for k in left.intersection(having[f]):
             new.subtract(toxic[k] & chance.keys())
