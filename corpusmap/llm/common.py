@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +42,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+
+
+def map_rows(
+    docs: DataFrame, each: Callable[[], Callable[[pa.RecordBatch, list[str]], pa.RecordBatch]], text_col: str = "text"
+) -> DataFrame:
+    """Whole rows through a function of a batch and its texts, a few hundred rows at a time; the columns stay.
+
+    ``each`` is called once in every task and makes the function.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = each()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                yield change(part, [t or "" for t in part.column(at).to_pylist()])
+
+    return docs.mapInArrow(run, docs.schema)

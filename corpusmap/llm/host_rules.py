@@ -28,13 +28,24 @@ HOST_LIMIT = 0.02
 PRIOR_RANGE = (1.0, 1e6)
 
 
-def windows(hashes: Column) -> Column:
-    """A 64-bit hash of every window of five elements of an array column."""
+def windows(found: Column) -> Column:
+    """A 64-bit hash of every window of five words of an array column."""
 
-    def window(x: Column, i: Column) -> Column:
-        return F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, 5)])
+    def of_hashes(hashes: Column) -> Column:
+        def window(x: Column, i: Column) -> Column:
+            return F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, 5)])
 
-    return F.slice(F.transform(hashes, window), F.lit(1), F.greatest(F.size(hashes) - 4, F.lit(0)))
+        return F.slice(F.transform(hashes, window), F.lit(1), F.greatest(F.size(hashes) - 4, F.lit(0)))
+
+    return let(F.transform(found, lambda w: F.xxhash64(w)), of_hashes)
+
+
+def repeat_words(found: Column) -> Column:
+    """How many words of an array column lie in windows of five words that are found twice or more."""
+    return let(
+        windows(found),
+        lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0)),
+    )
 
 
 def covered(found: Column) -> Column:
@@ -67,20 +78,15 @@ def document_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("_lines"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
     )
-    hashed = split.select(
+    measured = split.select(
         *rest,
-        "n_symbols",
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        "n_symbols",
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
+        repeat_words(F.col("_words")).cast("bigint").alias("n_repeat_words"),
     )
-    seen = hashed.withColumn("_windows", windows(F.col("_hashes"))).drop("_hashes")
-    n_repeat = F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"), covered(F.col("_windows"))
-    ).otherwise(F.lit(0))
-    measured = seen.withColumn("n_repeat_words", n_repeat.cast("bigint")).drop("_windows")
     few = F.col("n_words") < MIN_WORDS
     repeats = F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
     return measured.select(
@@ -137,3 +143,24 @@ def host_rules(
     for r in HOST_RULES:
         rejected = rejected | (F.col(r) & F.coalesce(F.col(f"{r}_verdict"), F.lit(False)))
     return judged.select("*", (~rejected).alias("kept"))
+
+
+def filter_documents(
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, whatever their other columns.
+
+    Texts are measured twice, for the hosts and for the rows, instead of being joined by id.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    tables = Tables(docs.sparkSession, "host_rules")
+    verdicts = tables.save(host_verdicts(document_rules(rows.select("host", "text")), "host", host_limit), "verdicts")
+    bad = verdicts.select(F.col("host").alias("_host"), *[F.col(f"{r}_verdict") for r in HOST_RULES])
+    bad = bad.filter(" OR ".join(f"{r}_verdict" for r in HOST_RULES))
+    measured = document_rules(rows)
+    judged = measured.join(bad, measured["host"].eqNullSafe(F.col("_host")), "left")
+    rejected = F.col("base_failed")
+    for r in HOST_RULES:
+        rejected = rejected | (F.col(r) & F.coalesce(F.col(f"{r}_verdict"), F.lit(False)))
+    # Not a filter: that would be pushed below the measures, and measure each text once more.
+    return judged.select(F.explode(F.when(~rejected, F.array("row"))).alias("row")).select("row.*")

@@ -26,7 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpusmap.llm.bpe import _texts
 from corpusmap.operators.graph import connected_components
 from corpusmap.scratch import Tables
 
@@ -64,15 +66,18 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    found = [simhash(shingle_hashes(t.encode("utf-8", "surrogatepass"))) for t in _texts(texts)]
+    return pa.array(np.array(found, np.uint64).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)``, the fingerprint as a signed 64-bit number."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(shingle_hashes((t or "").encode())) for t in batch.column(1).to_pylist()]
-            fps = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _fingerprints(batch.column(1))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
@@ -296,6 +301,18 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, crowd: int =
     return found.distinct().unionByName(_near_balls(crowded, radius).distinct())
 
 
+def _labels(made: DataFrame, tables: Tables, radius: int) -> DataFrame:
+    """``(fp, first, component_id)`` for each distinct fingerprint of a saved table: its smallest id and its group's."""
+    firsts = tables.save(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = tables.save(links(firsts.select("fp"), radius), "links")
+    ends = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    roots = connected_components(ends, found).select(F.col("id").alias("fp"), "component")
+    linked = tables.save(roots.join(firsts, "fp"), "linked")
+    lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    moved = linked.join(lowest, "component").select("fp", "component_id")
+    return firsts.join(moved, "fp", "left").select("fp", "first", F.coalesce("component_id", "first").alias("component_id"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
 ) -> DataFrame:
@@ -306,12 +323,35 @@ def near_duplicates(
     """
     tables = Tables(docs.sparkSession, "near_dup")
     made = tables.save(fingerprints(docs, id_col, text_col), "fingerprints")
-    firsts = tables.save(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = tables.save(links(firsts.select("fp"), radius), "links")
-    ends = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    roots = connected_components(ends, found).select(F.col("id").alias("fp"), "component")
-    linked = tables.save(roots.join(firsts, "fp"), "linked")
-    lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    moved = linked.join(lowest, "component").select("fp", "component_id")
-    labels = firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return made.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return made.join(_labels(made, tables, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def filter_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` (with ``doc_id`` and ``text``) for each component, with all its columns.
+
+    That of the smallest id stays, and of rows with this id one with the smallest fingerprint. Fingerprints are made
+    twice, so that texts are not saved once more.
+    """
+    tables = Tables(docs.sparkSession, "near_dup")
+    made = tables.save(fingerprints(docs), "fingerprints")
+    labels = _labels(made, tables, radius).filter("first <=> component_id")
+    stay = labels.groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("fp").alias("_fp"))
+    marked = _marked(docs).join(tables.save(labels.join(stay, F.col("fp") == F.col("_fp")).select("fp", "first"), "stay"),
+                                F.col("_mark") == F.col("fp"))
+    own = marked.filter(F.col("row.doc_id").eqNullSafe(F.col("first")))
+    return own.dropDuplicates(["_mark"]).select("row.*")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``(row, _mark)``: whole rows with their fingerprints."""
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("_mark", T.LongType())])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+                yield pa.RecordBatch.from_arrays([row, _fingerprints(part.column(at))], names=["row", "_mark"])
+
+    return docs.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ empty tables give no rows. Rows of one text get one score.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.llm.bpe import _texts
-from corpusmap.llm.common import held_out, training_sample
+from corpusmap.llm.common import held_out, map_rows, training_sample
 
 WORDS, FORMS = 1536, 512
 TERMS = WORDS + FORMS
@@ -221,27 +221,55 @@ def pooled_sample(sample: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, n
     return x, np.array([r["y"] for r in rows])
 
 
+@dataclass
+class Classifier:
+    """Word vectors and the network, or the share of ones where there is nothing to learn from."""
+
+    vectors: np.ndarray
+    net: Network | None
+    share: float
+
+    def scores(self, terms: Terms, texts: Iterable[str]) -> np.ndarray:
+        x = np.array([pooled(terms, self.vectors, t) for t in texts]).reshape(-1, DIMENSIONS + 1)
+        return self.net.scores(x) if self.net else np.full(len(x), self.share)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> Classifier:
+    """Word vectors from all of ``docs`` (doc_id, text), the network from a bounded sample of its labelled rows."""
+    vectors = word_vectors(docs)
+    x, y = pooled_sample(training_sample(docs, labels, label, fit_rows), vectors)
+    return Classifier(vectors, fit(x, y) if len(set(y.tolist())) > 1 else None, float(y.mean()) if len(y) else 0.5)
+
+
 def quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
     fit_rows: int = FIT_ROWS, accept: float = ACCEPT,
 ) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    vectors = word_vectors(docs)
-    x, y = pooled_sample(training_sample(docs, labels, label, fit_rows), vectors)
-    net = fit(x, y) if len(set(y.tolist())) > 1 else None
-    share = float(y.mean()) if len(y) else 0.5
-    shipped = docs.sparkSession.sparkContext.broadcast((vectors, net))
+    shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, fit_rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, net = shipped.value
-        terms = Terms()
+        model, terms = shipped.value, Terms()
         for batch in batches:
-            x = np.array([pooled(terms, vectors, t) for t in _texts(batch.column(1))]).reshape(-1, DIMENSIONS + 1)
-            scores = net.scores(x) if net else np.full(len(x), share)
+            scores = model.scores(terms, _texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, score double").select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted")
     )
+
+
+def filter_documents(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS, accept: float = ACCEPT
+) -> DataFrame:
+    """The rows of ``docs`` (with ``doc_id`` and ``text``) that the classifier accepts, with all their columns."""
+    model = train(docs.select("doc_id", "text"), labels, label, fit_rows)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def each():
+        known, terms = shipped.value, Terms()
+        return lambda batch, texts: batch.filter(pa.array(known.scores(terms, texts) >= accept))
+
+    return map_rows(docs, each)

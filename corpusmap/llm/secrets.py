@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.llm.bpe import _texts
+from corpusmap.llm.common import map_rows
 
 # The base patterns, in the order of their kinds. Minimum lengths are part of the patterns where a match
 # can't end earlier than its run.
@@ -335,21 +336,16 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     """``(doc_id, spans, redacted)``: spans as an array of (start, end, kind), and the text without its secrets."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, fit_texts))
-    return scan_all(docs, lambda: shipped.value)
-
-
-def scan_all(docs: DataFrame, model) -> DataFrame:
-    """The scan of whole texts; ``model()`` gives the field within a task."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model()
+        model = shipped.value
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = list(_texts(part.column(1)))
-                found = [scan(t, known) for t in texts]
+                found = [scan(t, model) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -360,4 +356,28 @@ def scan_all(docs: DataFrame, model) -> DataFrame:
                 )
 
     schema = f"doc_id {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>, redacted string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def redact_documents(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
+    """``docs`` (with ``doc_id`` and ``text``) with secrets replaced in the texts, and ``n_chars``, if any, set anew.
+
+    A null text becomes an empty one.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), fit_texts))
+    names = docs.columns
+
+    def each():
+        model = shipped.value
+
+        def change(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+            columns = list(batch.columns)
+            clean = [redact(t, scan(t, model)) for t in texts]
+            columns[names.index("text")] = pa.array(clean, batch.schema.field("text").type)
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array(map(len, clean), batch.schema.field("n_chars").type)
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        return change
+
+    return map_rows(docs, each)
