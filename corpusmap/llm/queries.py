@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.llm import bpe, fingerprints, host_rules, near_dup, packing, quality, secrets, toxicity
+from corpusmap.llm import (
+    bpe,
+    fingerprints,
+    host_rules,
+    licences,
+    near_dup,
+    packing,
+    quality,
+    secrets,
+    tool_calls,
+    toxicity,
+)
 from corpusmap.llm.common import table
 
 
@@ -29,6 +40,14 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(table(spark, sf_dir, "conversations"))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -77,5 +96,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_document_fingerprints, op5_secrets, op6_host_rules, op7_best_fit_packing, op8_simhash_near_dup, op9_bpe, op10_quality)
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_document_fingerprints, op3_licences, op4_tool_calls, op5_secrets, op6_host_rules,
+        op7_best_fit_packing, op8_simhash_near_dup, op9_bpe, op10_quality,
+    )
 }
