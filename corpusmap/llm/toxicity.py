@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log, sqrt
 
 import numpy as np
@@ -121,11 +121,13 @@ class Restorer:
     SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
     ODD = re.compile(r"[^\W\d_].*[\d_\W].*[^\W\d_]|[\d_\W].*[^\W\d_]{2}|[^\W\d_]{2}.*[\d_\W]|([^\W\d_])\1")
     EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+    # All letters of a run but the last.
+    DOUBLE = re.compile(r"(.)(?=\1)+")
 
     def __init__(self, costs: np.ndarray) -> None:
         self.costs = costs
         _, self.number = symbol_table()
-        self.words: dict[str, tuple[str, ...]] = {}
+        self.words = Cache(self.word)
 
     def arcs(self, chunk: str, spaced: bool) -> list[list[tuple[str, float]]]:
         """For each character its readings: a letter, a digit, a blank for a word's end, or nothing."""
@@ -157,13 +159,13 @@ class Restorer:
                         state, total, made = (a, b), cost + channel, text
                     else:
                         s = BOUNDARY if c == " " else DIGIT if c.isdigit() else self.number.get(c, FOREIGN)
-                        total = cost + channel + float(self.costs[a, b, s])
+                        total = cost + channel + self.costs.item(a, b, s)
                         state = (0, 0) if s == BOUNDARY else (b, s)
                         made = text + c
                     if state not in after or (total, made) < after[state]:
                         after[state] = (total, made)
             states = after
-        return min((cost + float(self.costs[a, b, 0]) * (b != 0), text) for (a, b), (cost, text) in states.items())[1]
+        return min((cost + self.costs.item(a, b, 0) * (b != 0), text) for (a, b), (cost, text) in states.items())[1]
 
     def _read(self, chunk: str) -> tuple[str, ...]:
         # A long chunk is decoded in overlapping-free parts, so that no text is left out.
@@ -172,35 +174,54 @@ class Restorer:
 
     def word(self, chunk: str) -> tuple[str, ...]:
         """The restored words of a chunk without white space."""
-        found = self.words.get(chunk)
-        if found is None:
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            bare = self.EDGES.sub("", chunk)
-            found = self._read(chunk) if self.ODD.search(bare) or (bare != chunk and self._signs(chunk)) else (bare,) if bare else ()
-            self.words[chunk] = found
-        return found
+        bare = self.EDGES.sub("", chunk)
+        if not (self.ODD.search(bare) or (bare != chunk and self._signs(chunk))):
+            return (bare,) if bare else ()
+        if bare.isalpha() and len(doubled := self.DOUBLE.findall(bare)) == 1 and len(doubled[0]) == 1:
+            return (self._undoubled(bare),)
+        return self._read(chunk)
+
+    def _undoubled(self, word: str) -> str:
+        """A word with one doubled letter: decoding it compares just two readings, which differ around the letter."""
+        at = self.DOUBLE.search(word).start()
+        s = [0, 0, *(self.number.get(c, FOREIGN) for c in word), 0]
+        a, b, c, d = s[at + 1 : at + 5]
+        cost = self.costs.item
+        kept = cost(a, b, c) + cost(b, c, d)
+        single = cost(a, b, d) + DOUBLED
+        if d:
+            kept += cost(c, d, s[at + 5])
+            single += cost(b, d, s[at + 5])
+        return word[:at] + word[at + 1 :] if single < kept else word
 
     def _signs(self, chunk: str) -> bool:
         """Whether a chunk begins with a sign that may stand for a letter, or has one before its last character."""
         return chunk[0] in LOOKALIKES or any(c in LOOKALIKES for c in chunk[1:-1] if not c.isalnum())
 
+    def spaced(self, text: str) -> list[str]:
+        """The runs of single characters in a text, decoded."""
+        runs = (" ".join(m[0].split()) for m in self.SPACED.finditer(text))
+        return [self.decode(r[k : k + LONGEST], True) for r in runs for k in range(0, len(r), LONGEST)]
+
     def restore(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
         text = text.lower()
-        found = set()
-        for chunk in set(text.split()):
-            found.update(self.word(chunk))
-        for m in self.SPACED.finditer(text):
-            chunk = " ".join(m[0].split())
-            found.update(w for k in range(0, len(chunk), LONGEST) for w in self._spaced(chunk[k : k + LONGEST]))
-        return found
+        found = {w for words in map(self.words.__getitem__, set(text.split())) for w in words}
+        return found.union(*(run.split() for run in self.spaced(text)))
+
+
+class Cache(dict):
+    """Values of a function by their argument; emptied when full."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
 
-    def _spaced(self, chunk: str) -> tuple[str, ...]:
-        key = " " + chunk
-        if key not in self.words:
-            self.words[key] = tuple(self.decode(chunk, True).split())
-        return self.words[key]
+    def __missing__(self, key: str):
+        if len(self) >= CACHED:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
 
 
 def features(words: set[str]) -> set[str]:
@@ -228,15 +249,17 @@ def learn(sample: DataFrame, costs: np.ndarray) -> tuple[dict[str, float], float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shipped.value)
         for batch in batches:
-            words = [restorer.restore(t) for t in _texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([sorted(features(w)) for w in words], pa.list_(pa.string())),
-                    pa.array([min_hashes(w) for w in words], pa.list_(pa.int64())),
-                    batch.column(1),
-                ],
-                names=["features", "sketch", "label"],
-            )
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                words = [restorer.restore(t) for t in _texts(part.column(0))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([sorted(features(w)) for w in words], pa.list_(pa.string())),
+                        pa.array([min_hashes(w) for w in words], pa.list_(pa.int64())),
+                        part.column(1),
+                    ],
+                    names=["features", "sketch", "label"],
+                )
 
     tables = Tables(spark, "toxicity")
     made = tables.save(
@@ -309,13 +332,19 @@ def score(docs: DataFrame, costs: np.ndarray, lexicon: dict[str, float], base: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs, known = shipped.value
         restorer = Restorer(costs)
+
+        def matched(words: Iterable[str]) -> tuple[str, ...]:
+            return tuple(features(set(words)) & known.keys())
+
+        by_chunk = Cache(lambda chunk: matched(restorer.word(chunk)))
         for batch in batches:
             scores, counts = [], []
             for text in _texts(batch.column(1)):
-                words = restorer.restore(text)
-                hits = [w for w in words if w in known or any(w[:k] + "*" in known for k in PREFIXES if len(w) > k)]
+                low = text.lower()
+                hits = [f for f in map(by_chunk.__getitem__, set(low.split())) if f]
+                hits += [f for f in map(matched, (run.split() for run in restorer.spaced(low))) if f]
                 doubt = 1 - base
-                for f in sorted(features(set(hits)) & known.keys()):
+                for f in sorted({f for found in hits for f in found}):
                     doubt *= 1 - known[f]
                 scores.append(1 - doubt)
                 counts.append(len(hits))
@@ -350,8 +379,8 @@ def restored(docs: DataFrame, costs: np.ndarray, id_col: str = "doc_id", text_co
         restorer = Restorer(shipped.value)
 
         def one(text: str) -> str:
-            spaced = restorer.SPACED.sub(lambda m: restorer.decode(" ".join(m[0].split()), True), text.lower())
-            return " ".join(w for chunk in spaced.split() for w in restorer.word(chunk))
+            spaced = restorer.SPACED.sub(lambda m: " ".join(restorer.spaced(m[0])), text.lower())
+            return " ".join(w for chunk in spaced.split() for w in restorer.words[chunk])
 
         for batch in batches:
             texts = pa.array([one(t) for t in _texts(batch.column(1))], pa.string())
