@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusmap.llm.host_rules import HOST_LIMIT, HOST_RULES
+from corpusmap.llm.licences import ENDS, HOLDER, RULES, known
 
 # Documents with the counts and base rules of the host rules.
 MEASURED = r"""
@@ -58,5 +59,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM measured m JOIN verdicts v ON m.source IS NOT DISTINCT FROM v.source"""
 
 
+def op3() -> str:
+    table = known()
+    keys = ", ".join(f"'{k}'" for k in table)
+    ids = ", ".join(f"'<{v}>'" for v in table.values())
+
+    def sequence(text: str) -> str:
+        norm = f"regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{HOLDER}', 'copyright')"
+        short = f"list_filter(regexp_split_to_array({text}, '{ENDS}'), lambda s: length(s) < {2 * max(map(len, table))})"
+        found = f"list_transform({short}, lambda s: [{ids}][list_position([{keys}], {norm})])"
+        return f"coalesce(array_to_string(list_filter({found}, lambda x: x IS NOT NULL), ''), '')"
+
+    steps = [f"s0 AS (SELECT doc_id, {sequence('a')} AS lines, {sequence('b')} AS flow, lines AS x, flow AS y FROM texts)"]
+    for k, (_, seq) in enumerate(RULES):
+        want = "".join(f"<{i}>" for i in seq.split())
+        steps.append(
+            f"s{k + 1} AS (SELECT * REPLACE (replace(x, '{want}', '|') AS x, replace(y, '{want}', '|') AS y), "
+            f"contains(x, '{want}') AS a{k}, contains(y, '{want}') AS b{k} FROM s{k})"
+        )
+    names = [
+        "[" + ", ".join(f"CASE WHEN {v}{k} THEN '{name}' END" for k, (name, _) in enumerate(RULES)) + "]" for v in "ab"
+    ]
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS a,
+  regexp_replace(coalesce(text, ''), '([^\n])\n([^\n])', '\1 \2', 'g') AS b FROM documents),
+{", ".join(steps)},
+named AS (SELECT doc_id, CASE WHEN length(flow) > length(lines) THEN flow ELSE lines END AS sentences,
+  list_sort(list_distinct(list_filter(list_concat({names[0]}, {names[1]}), lambda n: n IS NOT NULL))) AS names
+  FROM s{len(RULES)})
+SELECT doc_id, sentences, CASE WHEN len(names) > 0 THEN array_to_string(names, ',') ELSE 'unknown' END AS licences
+FROM named WHERE sentences <> ''"""
+
+
 def sql() -> dict[str, str]:
-    return {"op6_host_rules": op6()}
+    return {"op3_licences": op3(), "op6_host_rules": op6()}
