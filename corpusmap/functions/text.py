@@ -52,11 +52,15 @@ def _part(field: T.StructField) -> Column:
     return F.nullif(col.cast("string"), F.lit(""))
 
 
-def text_of(level: DataFrame, id_col: str = "id", whole_words: bool = False) -> DataFrame:
+def text_of(
+    level: DataFrame, id_col: str = "id", whole_words: bool = False, excluded_keys=EXCLUDED_KEYS,
+    words_to_remove=ERASED_WORDS,
+) -> DataFrame:
     """One cleaned string per record: ``(id, text)``, parts in column order."""
-    kept = [f for f in level.schema.fields if f.name not in EXCLUDED_KEYS and f.name != id_col]
+    kept = [f for f in level.schema.fields if f.name not in excluded_keys and f.name != id_col]
     joined = F.concat_ws(" ", *[_part(field) for field in kept])
-    return level.select(F.col(id_col).alias("id"), strip(erase_words(joined, whole_words=whole_words)).alias("text"))
+    cleaned = strip(erase_words(joined, words_to_remove, whole_words))
+    return level.select(F.col(id_col).alias("id"), cleaned.alias("text"))
 
 
 def tokens(col: Column) -> Column:
@@ -84,11 +88,6 @@ def list_or(col: Column, default: str) -> Column:
     return F.when(F.size(F.coalesce(col, F.array())) == 0, F.array(F.lit(default))).otherwise(col)
 
 
-def without(col: Column, value: str) -> Column:
-    """A list without one value and without nulls."""
-    return F.filter(col, lambda item: item != value)
-
-
 def sentinel_to_none(col: Column, sentinels=("no", "undefined")) -> Column:
     """The text ``none`` for a null or for a sentinel."""
     text = col.cast("string")

@@ -44,8 +44,3 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """One minus the cosine similarity."""
     return F.lit(1.0) - cosine(a, b)
-
-
-def euclidean(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Distance of two points in the plane."""
-    return F.sqrt(F.pow(ax - bx, F.lit(2)) + F.pow(ay - by, F.lit(2)))

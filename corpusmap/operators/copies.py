@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.operators.cells import BLOCK
@@ -28,7 +29,8 @@ def collapse(df: DataFrame, payload: list[str], tables: Tables) -> Groups:
     total = reps.agg(F.sum("n_copies").alias("n"), F.count("*").alias("m")).first()
     if total["n"] == total["m"]:
         return Groups(reps.select(F.col("rep").alias("id"), "rep"), reps, False)
-    members = df.join(reps.select("rep", *payload), payload).select("id", "rep")
+    same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in payload])
+    members = df.alias("a").join(reps.select("rep", *payload).alias("b"), same).select("a.id", "b.rep")
     return Groups(tables.save(members, "members"), reps, True)
 
 

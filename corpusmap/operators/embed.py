@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from corpusmap.functions.arrow import lengths, unit_rows
 from corpusmap.functions.vectors import normalize
-from corpusmap.operators.tfidf import MAX_FEATURES, tfidf_fit, weighted_terms
+from corpusmap.operators.tfidf import tfidf_fit, weighted_terms
 
 BATCH = 16
 HASHING_DIM = 256
+# TF-IDF stores keep a longer image.
+TFIDF_DIM = 1024
 
 
 @dataclass(frozen=True)
@@ -90,17 +92,16 @@ def embed_hashing(
     dim: int = HASHING_DIM,
     vocabulary: DataFrame | None = None,
     stop_words: str | Sequence[str] | None = "english",
-    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
-    """Signed feature hashing of TF-IDF weights; a text without known terms gives the zero vector.
+    """Signed feature hashing of the TF-IDF weights of all terms; a text without any gives the zero vector.
 
     Terms are hashed once each, in the vocabulary. Pass the corpus vocabulary to embed queries alike.
     """
     if vocabulary is None:
-        vocabulary = tfidf_fit(texts, max_features, stop_words)
+        vocabulary = tfidf_fit(texts, None, stop_words)
     hashed = vocabulary.withColumns({"bucket": hash_bucket(F.col("term"), dim), "sign": hash_sign(F.col("term"))})
     cells = (
-        weighted_terms(texts, hashed, stop_words, max_features)
+        weighted_terms(texts, hashed, stop_words)
         .groupBy("id", F.coalesce("bucket", F.lit(0)).alias("bucket"))
         .agg(F.sum(F.coalesce(F.col("sign") * F.col("raw"), F.lit(0.0))).alias("value"))
     )

@@ -14,6 +14,8 @@ from corpusmap.functions.arrow import values
 from corpusmap.operators.simjoin import SimilarVectors, arrow_id_type, similar_vectors
 from corpusmap.scratch import Tables
 
+# Rounds of label propagation that must suffice; they grow slowly with the graph.
+UNSETTLED = 1_000
 # Links a task holds before it contracts them.
 CONTRACT_ROWS = 1 << 20
 
@@ -24,14 +26,6 @@ def similarity_graph(vectors: DataFrame, threshold: float = 0.9, method: str = "
     return vectors.drop("embedding"), similar.full_edges()
 
 
-def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(n_nodes, n_edges)``."""
-    sizes = nodes.agg(F.count("*").alias("n_nodes"), F.lit(0).cast("bigint").alias("n_edges")).unionByName(
-        edges.agg(F.lit(0).cast("bigint").alias("n_nodes"), F.count("*").alias("n_edges"))
-    )
-    return sizes.agg(F.sum("n_nodes").alias("n_nodes"), F.sum("n_edges").alias("n_edges"))
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)``, the component being the smallest id in it.
 
@@ -117,14 +111,14 @@ def _checksum() -> dict[str, Column]:
 
 
 def label_propagation(
-    nodes: DataFrame, edges: DataFrame, max_iter: int = 20, seed: int = 0, synchronous: bool = False
+    nodes: DataFrame, edges: DataFrame, max_iter: int | None = None, seed: int = 0, synchronous: bool = False
 ) -> DataFrame:
     """Communities ``(id, label)``: every node takes the label most frequent among its neighbours.
 
     Ties go to the smallest label. In every round a seeded bit of its id colours each node anew, and one
     colour moves after the other, so that no two neighbours swap labels for ever; ``synchronous`` moves all
     nodes at once. An optional node column ``votes`` is the number of equal records a node stands for. Rounds end when no
-    label changes, or after ``max_iter``.
+    label changes, or after ``max_iter`` if that is given; labels that never settle are an error.
     """
     tables = Tables(edges.sparkSession, "propagation")
     both = tables.save(
@@ -134,7 +128,11 @@ def label_propagation(
     start = nodes.select("id", F.col("id").alias("label"), votes.cast("bigint").alias("votes"))
     labels = tables.save(start.withColumn("changed", F.lit(False)), "round0")
     changes = {"n": F.count_if("changed")}
-    for i in range(1, max_iter + 1):
+    i = 0
+    while max_iter is None or i < max_iter:
+        i += 1
+        if i > UNSETTLED:
+            raise RuntimeError(f"labels still change after {UNSETTLED} rounds")
         moved = labels.withColumn("changed", F.lit(False))
         for turn in (None,) if synchronous else (0, 1):
             mine = F.lit(True) if turn is None else _colour(seed, i) == turn
@@ -167,7 +165,7 @@ def _move(labels: DataFrame, both: DataFrame, mine: Column) -> DataFrame:
     )
 
 
-def communities(similar: SimilarVectors, max_iter: int = 20, seed: int = 0) -> DataFrame:
+def communities(similar: SimilarVectors, max_iter: int | None = None, seed: int = 0) -> DataFrame:
     """Communities ``(id, label)`` of a similarity graph, found among its distinct vectors."""
     nodes = similar.groups.reps.select(F.col("rep").alias("id"), F.col("n_copies").alias("votes"))
     found = label_propagation(nodes, similar.edges, max_iter, seed)

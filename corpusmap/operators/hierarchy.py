@@ -8,6 +8,7 @@ splits closer together than two cuts are seen as one. Equal points are one locat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,6 @@ from corpusmap.operators.knn import knn
 from corpusmap.operators.rank import with_position
 from corpusmap.scratch import Tables
 
-MAX_ROUNDS = 64
-
 
 def hierarchical_labels(
     points: DataFrame, min_cluster_size: int = 5, min_samples: int | None = None, levels: int = 32
@@ -58,7 +57,8 @@ def spanning_tree(locations: DataFrame, tables: Tables) -> DataFrame:
     state = cells.homes.join(locations.select("id", "core"), "id").withColumn("comp", F.col("id"))
     state = tables.save(state.select("id", "vec", "h", "cell", "core", "comp"), "state0")
     parts: list[DataFrame] = []
-    for i in range(1, MAX_ROUNDS):
+    # Every round at least halves the parts.
+    for i in count(1):
         picks = tables.save(_lightest_edges(state, cells, tables, i), f"picks{i}")
         if picks.isEmpty():
             break
@@ -241,7 +241,9 @@ def _select(clusters: DataFrame, tables: Tables) -> DataFrame:
     """Clusters more stable than what lies below them, the outermost ones; the whole set is never one."""
     done: DataFrame | None = None
     # At most one entry per cut.
-    for level in sorted(r["level"] for r in clusters.select("level").distinct().collect()):
+    cuts = sorted(r["level"] for r in clusters.select("level").distinct().collect())
+    n_levels = len(cuts)
+    for level in cuts:
         here = clusters.filter(F.col("level") == level)
         if done is None:
             scored = here.withColumn("below", F.lit(0.0))
@@ -257,7 +259,8 @@ def _select(clusters: DataFrame, tables: Tables) -> DataFrame:
     chosen = done.select("cluster", "selected", F.col("parent").alias("up"), F.lit(False).alias("covered"))
     flags = done.select(F.col("cluster").alias("up"), F.col("selected").alias("over"))
     chosen = chosen.join(flags, "up", "left").withColumn("covered", F.coalesce("over", F.lit(False))).drop("over")
-    for i in range(6):
+    # Doubling steps reach over the deepest chain, of one cluster at each cut.
+    for i in range(n_levels.bit_length() + 1):
         chosen = tables.save(chosen.select("cluster", "selected", "up", "covered"), f"cover{i}")
         next_up = chosen.select(F.col("cluster").alias("up"), F.col("up").alias("u2"), F.col("covered").alias("c2"))
         chosen = chosen.join(next_up, "up", "left").select(

@@ -20,8 +20,8 @@ from corpusmap.scratch import Tables
 DECIMALS = 9
 
 
-def top_kernel(k: int, query_type: pa.DataType, id_type: pa.DataType):
-    """The ``k`` nearest candidates of each query of a block, ties by id."""
+def top_kernel(k: int, query_type: pa.DataType, id_type: pa.DataType, unit: bool = False):
+    """The ``k`` nearest candidates of each query of a block, ties by id; of unit vectors by their rounded cosine."""
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -31,9 +31,12 @@ def top_kernel(k: int, query_type: pa.DataType, id_type: pa.DataType):
             named = named[order]
             va, vb = matrix(left.column("vec")), matrix(right.column("vec"))[order]
             for part in chunks(len(va), len(vb)):
-                dist = distances(va[part], vb)
-                if va.shape[1] > 4:
-                    dist = np.round(dist, DECIMALS)
+                if unit:
+                    dist = np.sqrt(np.maximum(2.0 - 2.0 * np.round(va[part] @ vb.T, DECIMALS), 0.0))
+                else:
+                    dist = distances(va[part], vb)
+                    if va.shape[1] > 4:
+                        dist = np.round(dist, DECIMALS)
                 if dist.shape[1] > k:
                     kth = np.partition(dist, k - 1, axis=1)[:, k - 1]
                     i, j = np.nonzero(dist <= kth[:, None])
@@ -56,10 +59,12 @@ def top_kernel(k: int, query_type: pa.DataType, id_type: pa.DataType):
     return kernel
 
 
-def nearest(queries: DataFrame | None, corpus: DataFrame, k: int, tables: Tables) -> DataFrame:
+def nearest(
+    queries: DataFrame | None, corpus: DataFrame, k: int, tables: Tables, unit: bool = False
+) -> DataFrame:
     """The ``k`` nearest corpus rows ``(id, vec)`` of every query row: ``(id, neighbor, dist)``.
 
-    Without ``queries`` the corpus is joined to itself, each row being its own first neighbour. Round one
+    With ``unit`` the vectors have length one and are ranked by rounded cosine, of which ``dist`` is a function. Without ``queries`` the corpus is joined to itself, each row being its own first neighbour. Round one
     looks into the query's own cell; its k-th distance then says which other cells round two must visit.
     """
     cells = C.build_cells(corpus, tables)
@@ -67,7 +72,7 @@ def nearest(queries: DataFrame | None, corpus: DataFrame, k: int, tables: Tables
     asked = cells.homes if queries is None else tables.save(C.assign_cells(queries, cells.pivots), "asked")
     asked_counts = cells.counts if queries is None else C.cell_counts(asked, n_cells)
     query_kind = asked.schema["id"].dataType.simpleString()
-    kernel = top_kernel(k, arrow_id_type(asked), arrow_id_type(corpus))
+    kernel = top_kernel(k, arrow_id_type(asked), arrow_id_type(corpus), unit)
     schema = f"id {query_kind}, neighbor {cells.id_type}, dist double"
 
     def round_of(rows: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -80,7 +85,11 @@ def nearest(queries: DataFrame | None, corpus: DataFrame, k: int, tables: Tables
     near = tables.save(round_of(asked, asked_counts), "near")
     if n_cells == 1:
         return near
-    reach = near.groupBy("id").agg(F.when(F.count("*") >= k, F.max("dist")).alias("radius"))
+    radius = F.max("dist")
+    if unit:
+        # Cosines that round to the same number as the k-th lie within this distance.
+        radius = F.sqrt(radius * radius + F.lit(4.0 * 10.0**-DECIMALS))
+    reach = near.groupBy("id").agg(F.when(F.count("*") >= k, radius).alias("radius"))
     searching = asked.join(reach, "id", "left")
     guest_cells = C.Cells(cells.homes, cells.pivots, cells.counts, cells.radii, query_kind)
     guests = tables.save(C.visits(guest_cells, searching, None, k=k), "guests")
@@ -142,7 +151,7 @@ def nearest_unit_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> Data
     corpus = vectors.select("id", lifted(F.col("embedding"), 0).alias("vec"))
     groups = collapse(corpus, ["vec"], tables)
     asked = queries.select(F.col("query_id").alias("id"), lifted(F.col("embedding"), 1).alias("vec"))
-    found = nearest(asked, groups.reps.select(F.col("rep").alias("id"), "vec"), k, tables)
+    found = nearest(asked, groups.reps.select(F.col("rep").alias("id"), "vec"), k, tables, unit=True)
     first_ids = top_per_group(groups.members, "rep", [F.asc("id")], k, "r").select(
         F.col("rep").alias("neighbor"), F.col("id").alias("other")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +99,17 @@ def cluster_hulls(points: DataFrame, key: str = "cluster") -> DataFrame:
     return merged.groupBy(key).applyInPandas(merge, schema)
 
 
+def cluster_titles(members: DataFrame, key: str = "cluster") -> DataFrame:
+    """All titles of each group as rows ``(cluster, id, title)``, to be read in id order; nothing is cut or gathered."""
+    return members.select(key, "id", F.coalesce(F.col("title"), F.lit("Unknown Title")).alias("title"))
+
+
+def row_counts(stages: dict[str, DataFrame]) -> DataFrame:
+    """``(stage, n_rows)``: how many rows each named table holds."""
+    counts = [df.agg(F.lit(name).alias("stage"), F.count("*").alias("n_rows")) for name, df in stages.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def joined_titles(members: DataFrame, key: str = "cluster", budget: int = TOKEN_BUDGET) -> DataFrame:
     """Titles per group joined with ", " in id order, up to a token budget: ``(cluster, titles)``.
 

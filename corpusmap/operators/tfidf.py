@@ -16,8 +16,6 @@ from corpusmap.functions.stopwords import ENGLISH
 from corpusmap.functions.text import tokens
 
 MAX_FEATURES = 10_000
-# A vocabulary row takes about 100 bytes, so a broadcast stays near 20 MB; larger ones are joined by shuffle.
-BROADCAST_FEATURES = 200_000
 
 # Marks each record once, so that records without any kept term stay in the result.
 _RECORD = ""
@@ -33,13 +31,6 @@ def stop_list(stop_words: str | Sequence[str] | None) -> tuple[str, ...]:
     return tuple(stop_words)
 
 
-def term_rows(texts: DataFrame, stop_words: str | Sequence[str] | None = "english") -> DataFrame:
-    """One row ``(id, term)`` per kept word occurrence."""
-    words = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
-    stops = stop_list(stop_words)
-    return words.filter(~F.col("term").isin(*stops)) if stops else words
-
-
 def _counts(texts: DataFrame, stop_words, marker: bool) -> DataFrame:
     by_id = texts.select("id", "text").repartition("id")
     found = tokens(F.coalesce(F.col("text"), F.lit("")))
@@ -62,34 +53,31 @@ def doc_freq(counts: DataFrame) -> DataFrame:
 
 
 def tfidf_fit(
-    texts: DataFrame, max_features: int = MAX_FEATURES, stop_words: str | Sequence[str] | None = "english"
+    texts: DataFrame, max_features: int | None = MAX_FEATURES, stop_words: str | Sequence[str] | None = "english"
 ) -> DataFrame:
     """The vocabulary ``(term, df, tf, idf, index)``: the most frequent terms, with smooth idf.
 
-    ``index`` numbers the terms from the most to the least widespread.
+    ``index`` numbers the terms from the most to the least widespread. With ``max_features=None`` all terms are kept
+    and, since nothing bounds them, not numbered.
     """
     n_docs = texts.count()
-    top = (
-        doc_freq(term_counts(texts, stop_words))
-        .orderBy(F.desc("tf"), F.asc("term"))
-        .limit(max_features)
-        .withColumn("idf", F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
+    terms = doc_freq(term_counts(texts, stop_words)).withColumn(
+        "idf", F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     )
+    if max_features is None:
+        return terms.withColumn("index", F.lit(None).cast("int"))
+    top = terms.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
     # At most max_features rows, so one task numbers them.
     return top.withColumn("index", F.row_number().over(Window.orderBy(F.desc("df"), F.asc("term"))) - 1)
 
 
-def small_side(vocabulary: DataFrame, max_features: int) -> DataFrame:
-    """The vocabulary with a broadcast hint where its row bound allows one."""
-    return F.broadcast(vocabulary) if max_features <= BROADCAST_FEATURES else vocabulary
+def weighted_terms(texts: DataFrame, vocabulary: DataFrame, stop_words="english") -> DataFrame:
+    """Raw weights ``tf * idf`` of known terms, next to one null-term row per record.
 
-
-def weighted_terms(
-    texts: DataFrame, vocabulary: DataFrame, stop_words="english", max_features: int = MAX_FEATURES
-) -> DataFrame:
-    """Raw weights ``tf * idf`` of known terms, next to one null-term row per record."""
+    The vocabulary is joined without a hint: Spark broadcasts it by its measured size, or shuffles counts by term.
+    """
     counts = _counts(texts, stop_words, marker=True)
-    joined = counts.join(small_side(vocabulary.drop("tf", "df"), max_features), "term", "left")
+    joined = counts.join(vocabulary.drop("tf", "df"), "term", "left")
     return joined.filter((F.col("term") == _RECORD) | F.col("idf").isNotNull()).withColumn(
         "raw", F.col("tf") * F.col("idf")
     )
@@ -103,7 +91,6 @@ def tfidf_rows(
     texts: DataFrame,
     vocabulary: DataFrame,
     stop_words: str | Sequence[str] | None = "english",
-    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """One sparse unit vector per record: ``(id, entries)``, entries sorted by term index.
 
@@ -111,7 +98,7 @@ def tfidf_rows(
     """
     entry = _entry(F.col("index"), F.col("term"), F.col("raw"))
     gathered = (
-        weighted_terms(texts, vocabulary, stop_words, max_features)
+        weighted_terms(texts, vocabulary, stop_words)
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.when(F.col("idf").isNotNull(), entry))).alias("e"))
     )
@@ -129,10 +116,9 @@ def tfidf_transform(
     texts: DataFrame,
     vocabulary: DataFrame,
     stop_words: str | Sequence[str] | None = "english",
-    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """Unit-length weights as a long table ``(id, term, weight)``."""
-    rows = tfidf_rows(texts, vocabulary, stop_words, max_features)
+    rows = tfidf_rows(texts, vocabulary, stop_words)
     return rows.select("id", F.inline("entries")).select("id", "term", "weight")
 
 

@@ -11,14 +11,13 @@ from corpusmap.functions.records import as_store_rows
 from corpusmap.functions.text import text_of
 from corpusmap.operators import cluster as clusters
 from corpusmap.operators import enrich, graph, label, reduce, report, tfidf
-from corpusmap.operators.embed import check_model, embed, embed_hashing
+from corpusmap.operators.embed import HASHING_DIM, TFIDF_DIM, check_model, embed, embed_hashing
 from corpusmap.operators.simjoin import similar_sparse, similar_vectors
 from corpusmap.schemas import LEVELS
 from corpusmap.scratch import materialize
 from corpusmap.sources import readers, writers
 
 CLUSTER_METHODS = ("knn", "hdbscan", "dbscan")
-TFIDF_DIM = 1024
 
 
 def check_choices(model: str, dataset: str, reduction: str, cluster: str) -> None:
@@ -46,15 +45,15 @@ def build_levels(
     return {"basic": basic, "extended": extended, "detailed": detailed}
 
 
-def vectorise(level: DataFrame, model: str) -> DataFrame:
-    """``(id, embedding)`` of the records of a level.
+def vectorise(level: DataFrame, model: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``(id, embedding)`` of the records of a level; hashed models take the level's vocabulary, or fit it.
 
     TF-IDF vectors are stored as their hashed image, which keeps inner products on average and stays dense
     and short whatever the vocabulary; exact joins use the sparse rows instead, see ``sparse_rows``.
     """
     texts = text_of(level)
-    if model == "tfidf":
-        return embed_hashing(texts, TFIDF_DIM)
+    if model in ("hashing", "tfidf"):
+        return embed_hashing(texts, TFIDF_DIM if model == "tfidf" else HASHING_DIM, vocabulary)
     return embed(texts, "text", model)
 
 
@@ -83,12 +82,17 @@ def run_pipeline(
     """
     check_choices(model, dataset, reduction, cluster)
     levels = build_levels(spark, paths, file_types)
-    for name, level in levels.items():
-        writers.write_level(level, f"{out}/datasets", name)
-    level = materialize(levels[dataset], "level")
+    written_levels = {name: writers.write_level(level, f"{out}/datasets", name) for name, level in levels.items()}
+    level = readers.read_level(spark, written_levels[dataset], dataset)
     store = f"{out}/embeddings"
     name = f"{dataset}_dataset"
-    writers.write_vectors(vectorise(level, model).join(as_store_rows(level), "id"), store, name, model)
+    vocabulary = None
+    if model in ("hashing", "tfidf"):
+        writers.write_vocabulary(tfidf.tfidf_fit(text_of(level), max_features=None), store, name, model)
+        vocabulary = readers.read_vocabulary(spark, store, name, model)
+    writers.write_vectors(vectorise(level, model, vocabulary).join(as_store_rows(level), "id"), store, name, model)
+    if model == "tfidf":
+        writers.write_sparse(sparse_rows(level), store, name)
     vectors = readers.read_vectors(spark, store, name, model)
 
     points = materialize(reduce.reduce2d(vectors, reduction, seed=seed), "coordinates")
@@ -121,5 +125,5 @@ def run_pipeline(
     return {
         "level": level, "vectors": vectors, "points": points, "clusters": written, "plot_points": plotted,
         "facets": report.facet_counts(plotted), "hulls": report.cluster_hulls(written), "communities": found,
-        "report": lines, "prompts": label.naming_prompts(members), "graph_counts": similar.counts(),
+        "report": lines, "vocabulary": vocabulary, "prompts": label.naming_prompts(members), "graph_counts": similar.counts(),
     }

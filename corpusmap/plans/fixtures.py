@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -36,7 +38,7 @@ SELECT dataset_id, CAST(file_seq AS INT) AS file_seq, CASE WHEN l_discount > 0 T
   CASE l_linestatus WHEN 'O' THEN 'no' ELSE 'parrinello-rahman' END AS barostat FROM li WHERE l_linenumber = 3""",
     "text_meta": """
 SELECT CAST(doc_id AS STRING) AS id, source AS origin, concat('https://example.org/doc/', CAST(doc_id AS STRING)) AS url,
-  substr(split_part(text, '.', 1), 1, 80) AS title, lang AS keywords, CAST(NULL AS STRING) AS author,
+  split_part(text, '.', 1) AS title, lang AS keywords, CAST(NULL AS STRING) AS author,
   '2024-01-01' AS date_creation, text AS description FROM documents""",
 }
 NEEDS = {
@@ -50,6 +52,10 @@ NEEDS = {
 }
 
 
+# Fixed weights that project an embedding of 64 elements onto the plane.
+AXES = [[round(f(i) / 5.6, 6) for i in range(64)] for f in (math.cos, math.sin)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A benchmark table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

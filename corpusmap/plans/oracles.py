@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusmap.functions.stopwords import ENGLISH
 from corpusmap.operators.label import BANNED_WORDS, PROMPT
-from corpusmap.plans.fixtures import ctes
+from corpusmap.plans.fixtures import AXES, ctes
 from corpusmap.plans.queries import EPS, MIN_PTS
 
 
@@ -63,31 +63,32 @@ tok AS (SELECT id, unnest({WORDS.format("text")}) AS term FROM docs),
 tf AS (SELECT id, term, count(*) AS tf FROM tok {keep} GROUP BY id, term)"""
 
 
-def _tfidf(stops: bool) -> str:
+def _tfidf(stops: bool, limit: str = "LIMIT 10000") -> str:
     return f"""{_tf(stops)},
 voc AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf,
   ln((1.0 + (SELECT count(*) FROM docs)) / (1.0 + count(*))) + 1.0 AS idf
-  FROM tf GROUP BY term ORDER BY ctf DESC, term LIMIT 10000),
+  FROM tf GROUP BY term ORDER BY ctf DESC, term {limit}),
 raw AS (SELECT id, tf.term, tf * idf AS raw FROM tf JOIN voc ON tf.term = voc.term),
 tfidf AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw)"""
 
 
-def _hashed(name: str, raw: str) -> str:
+def _hashed(name: str, raw: str, dim: int = 256) -> str:
     """Hashed unit vectors (id, dim, v) in single precision."""
     return f"""
-{name}_b AS (SELECT id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % 256 AS INTEGER) AS dim,
+{name}_b AS (SELECT id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % {dim} AS INTEGER) AS dim,
   sum(CASE WHEN substr(md5(term), 9, 1) IN ('0','2','4','6','8','a','c','e') THEN raw ELSE -raw END) AS s
   FROM {raw} GROUP BY ALL),
 {name}_n AS (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY id)) AS norm FROM {name}_b),
 {name} AS (SELECT id, dim, CAST(CAST(s / norm AS FLOAT) AS DOUBLE) AS v FROM {name}_n WHERE norm > 0)"""
 
 
-HITS = f"""{_tfidf(True)}, {ctes("text_meta")},
-{_hashed("dv", "raw")},
+def _hits(k: int, dim: int) -> str:
+    return f"""{_tfidf(True, "")}, {ctes("text_meta")},
+{_hashed("dv", "raw", dim)},
 qtok AS (SELECT CAST(item_id AS VARCHAR) AS id, unnest({WORDS.format("text")}) AS term FROM benchmark),
 qtf AS (SELECT id, term, count(*) AS tf FROM qtok WHERE term NOT IN ({STOPS}) GROUP BY ALL),
 qraw AS (SELECT id, qtf.term, tf * idf AS raw FROM qtf JOIN voc ON qtf.term = voc.term),
-{_hashed("qv", "qraw")},
+{_hashed("qv", "qraw", dim)},
 dl AS (SELECT id, sqrt(sum(v * v)) AS len FROM dv GROUP BY id),
 ql AS (SELECT id, sqrt(sum(v * v)) AS len FROM qv GROUP BY id),
 allq AS (SELECT CAST(item_id AS VARCHAR) AS query_id FROM benchmark),
@@ -96,7 +97,7 @@ sims AS (SELECT allq.query_id, docs.id, round(coalesce(dot / (ql.len * dl.len),
   FROM allq CROSS JOIN docs LEFT JOIN dots ON dots.query_id = allq.query_id AND dots.id = docs.id
   LEFT JOIN ql ON ql.id = allq.query_id LEFT JOIN dl ON dl.id = docs.id),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sims
-  QUALIFY rank <= 10),
+  QUALIFY rank <= {k}),
 hits AS (SELECT query_id, rank, t.id, coalesce(title, 'No Title') AS title, coalesce(keywords, 'No Keywords') AS keywords,
   coalesce(date_creation, 'No Date') AS date_creation, coalesce(description, 'No Description') AS description,
   coalesce(author, 'No Authors') AS authors, 'No Software Engine' AS software_engine,
@@ -105,6 +106,9 @@ hits AS (SELECT query_id, rank, t.id, coalesce(title, 'No Title') AS title, coal
   FROM top t JOIN text_meta m ON t.id = m.id)"""
 
 
+HITS = _hits(10, 256)
+
+
 def _edges(threshold: float) -> str:
     return f"""{_tfidf(False)},
 edges AS (SELECT a.id AS src, b.id AS dst, sum(a.weight * b.weight) AS weight FROM tfidf a JOIN tfidf b
@@ -124,8 +128,9 @@ sizes AS (SELECT cluster, count(*) AS size FROM parts GROUP BY cluster),
 largest AS (SELECT cluster, size, row_number() OVER (ORDER BY size DESC, cluster) AS rank FROM sizes
   QUALIFY rank <= 5)"""
 
-POINTS = """points AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding[1] AS DOUBLE) AS x,
-  CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"""
+POINTS = f"""points AS (SELECT CAST(vec_id AS VARCHAR) AS id,
+  round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST({AXES[0]} AS DOUBLE[])), 9) AS x,
+  round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST({AXES[1]} AS DOUBLE[])), 9) AS y FROM embeddings)"""
 KNN = f"""{POINTS},
 near AS (SELECT a.id, b.id AS neighbor, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS dist
   FROM points a JOIN points b ON a.id <> b.id),
@@ -143,7 +148,7 @@ clustered AS (SELECT p.id, p.x, p.y, coalesce(l.label, b.label) AS label FROM po
 
 TOKENS = """turns AS (SELECT CAST(c.conv_id AS VARCHAR) AS id, c.turn AS pos,
   CAST(e.embedding AS DOUBLE[]) AS embedding FROM conversations c
-  JOIN embeddings e ON e.vec_id = (c.conv_id * 8 + c.turn) % 500)"""
+  JOIN embeddings e ON e.vec_id = (c.conv_id * 8 + c.turn) % (SELECT count(*) FROM embeddings))"""
 POOLED = f"""{TOKENS},
 cells AS (SELECT id, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM turns),
 pooled AS (SELECT id, CAST(dim AS INTEGER) AS dim, avg(v) AS v FROM cells GROUP BY id, dim)"""
@@ -250,7 +255,7 @@ def sql() -> dict[str, str]:
         ),
         "tfidf_weights": _q(_tfidf(True), f"SELECT id, term, {R.format('weight')} AS weight FROM tfidf"),
         "embed_hashing": _q(
-            f"{_tfidf(True)}, {_hashed('dv', 'raw')}", f"SELECT id, dim, {R.format('v')} AS value FROM dv WHERE round(v, 6) <> 0"
+            f"{_tfidf(True, '')}, {_hashed('dv', 'raw')}", f"SELECT id, dim, {R.format('v')} AS value FROM dv WHERE round(v, 6) <> 0"
         ),
         "pool_mean": _q(POOLED, f"SELECT id, dim, {R.format('v')} AS value FROM pooled"),
         "pool_cls": _q(
@@ -325,8 +330,7 @@ UNION ALL SELECT rank, 2, '', '' FROM largest""",
         ),
         "titles_per_cluster": _q(
             PARTS,
-            "SELECT cluster, left(string_agg(coalesce(title, 'Unknown Title'), ', ' ORDER BY id), 65540) AS titles "
-            "FROM parts GROUP BY cluster",
+            "SELECT cluster, id, coalesce(title, 'Unknown Title') AS title FROM parts",
             recursive=True,
         ),
         "cluster_terms": _q(
@@ -345,6 +349,32 @@ aa AS (SELECT sum(tf) / count(DISTINCT cluster) AS a FROM cc)""",
             f"|| '{prompt[1]}' AS prompt FROM parts GROUP BY cluster",
             recursive=True,
         ),
+        "row_counts": _q(
+            facts,
+            "SELECT 'datasets' AS stage, count(*) AS n_rows FROM datasets UNION ALL SELECT 'files', count(*) FROM files "
+            "UNION ALL SELECT 'extended', count(*) FROM extended UNION ALL SELECT 'detailed', count(*) FROM detailed "
+            "UNION ALL SELECT 'valid_facts', count(*) FROM mdp WHERE dataset_id IN "
+            "(SELECT id FROM extended WHERE list_contains(file_extensions, 'gro'))",
+        ),
+        "level_roundtrip": _q(catalogue, f"SELECT {BASIC}, {_lists('')} FROM extended"),
+        "catalogue_roundtrip": _q(
+            facts,
+            " UNION ALL ".join(f"SELECT '{t}' AS stage, count(*) AS n_rows FROM {t}" for t in ("datasets", "files", "gro", "mdp")),
+        ),
+        "vector_store_roundtrip": "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(vec_id AS VARCHAR) AS idx, "
+        + R.format("sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))")
+        + " AS norm FROM embeddings",
+        "graph_export": _q(_edges(0.98), f"SELECT src, dst, {R.format('weight')} AS weight FROM edges"),
+        "report_lines": _q(
+            PARTS,
+            """SELECT line, count(*) AS n FROM (SELECT 'Cluster ' || rank || ' (Size: ' || size || ')' AS line FROM largest
+UNION ALL SELECT unnest(string_split(p.id || ' - ' || coalesce(p.title, 'No Title'), chr(10))) FROM parts p JOIN largest l
+  ON p.cluster = l.cluster
+UNION ALL SELECT '' FROM largest) GROUP BY line""",
+            recursive=True,
+        ),
+        "store_search_hashing": _q(_hits(50, 256), "SELECT query_id, rank, title, similarity FROM hits"),
+        "store_search_tfidf": _q(_hits(50, 1024), "SELECT query_id, rank, title, similarity FROM hits"),
         "positions": _q(DOCS, "SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM docs"),
         "knn10": _q(KNN, f"SELECT id, neighbor, {R.format('dist')} AS dist, rank FROM knn"),
         "nn_label": _q(KNN, "SELECT id, neighbor AS label FROM knn WHERE rank = 1"),

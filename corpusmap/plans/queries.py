@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from corpusmap import schemas
 from corpusmap.functions import records, text, vectors
 from corpusmap.operators import cluster, embed, enrich, graph, knn, label, rank, reduce, report, search, simjoin, tfidf
-from corpusmap.plans.fixtures import table, view
-from corpusmap.scratch import materialize
+from corpusmap.plans.fixtures import AXES, table, view
+from corpusmap.scratch import materialize, shared_dir
+from corpusmap.sources import readers, writers
 from corpusmap.sources.readers import file_type_dim
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,25 +64,31 @@ def dense(spark, sf_dir) -> DataFrame:
 
 
 def points(spark, sf_dir) -> DataFrame:
-    return dense(spark, sf_dir).select(
-        "id",
-        F.element_at("embedding", 1).cast("double").alias("x"),
-        F.element_at("embedding", 2).cast("double").alias("y"),
-    )
+    """All elements of each embedding, projected onto the plane."""
+
+    def axis(weights):
+        products = F.zip_with(
+            F.col("embedding"), F.array(*[F.lit(w) for w in weights]), lambda a, b: a.cast("double") * b
+        )
+        return F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), 9)
+
+    return dense(spark, sf_dir).select("id", axis(AXES[0]).alias("x"), axis(AXES[1]).alias("y"))
 
 
 def token_vectors(spark, sf_dir) -> DataFrame:
+    stored = table(spark, sf_dir, "embeddings")
     turns = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("id"),
         F.col("turn").alias("pos"),
-        ((F.col("conv_id") * 8 + F.col("turn")) % 500).alias("vec_id"),
+        ((F.col("conv_id") * 8 + F.col("turn")) % stored.count()).alias("vec_id"),
     )
-    return turns.join(table(spark, sf_dir, "embeddings"), "vec_id").select("id", "pos", "embedding")
+    return turns.join(stored, "vec_id").select("id", "pos", "embedding")
 
 
 @shared
 def vocabulary(spark, sf_dir) -> DataFrame:
-    return materialize(tfidf.tfidf_fit(docs(spark, sf_dir)), "vocabulary")
+    """All terms of the documents."""
+    return materialize(tfidf.tfidf_fit(docs(spark, sf_dir), max_features=None), "vocabulary")
 
 
 @shared
@@ -331,7 +339,7 @@ def sample10(spark, sf_dir):
 
 
 def titles_per_cluster(spark, sf_dir):
-    return report.joined_titles(parts(spark, sf_dir))
+    return report.cluster_titles(parts(spark, sf_dir))
 
 
 def cluster_terms(spark, sf_dir):
@@ -404,17 +412,93 @@ def pca2d(spark, sf_dir):
 
 
 def umap2d(spark, sf_dir):
-    return reduce.reduce2d(hashed_docs(spark, sf_dir), "umap", epochs=10)
+    return reduce.reduce2d(hashed_docs(spark, sf_dir), "umap")
 
 
 def tsne2d(spark, sf_dir):
-    return reduce.reduce2d(hashed_docs(spark, sf_dir), "tsne", epochs=10)
+    return reduce.reduce2d(hashed_docs(spark, sf_dir), "tsne")
 
 
 def spring(spark, sf_dir):
     return reduce.spring_layout(docs(spark, sf_dir).select("id"), similar_09(spark, sf_dir).full_edges())
 
 
+def row_counts(spark, sf_dir):
+    level = extended(spark, sf_dir)
+    return report.row_counts({
+        "datasets": view(spark, sf_dir, "datasets"), "files": view(spark, sf_dir, "files"), "extended": level,
+        "detailed": detailed(spark, sf_dir), "valid_facts": valid_facts(spark, sf_dir),
+    })
+
+
+def _out(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def level_roundtrip(spark, sf_dir):
+    """The extended level, written as JSON and read again."""
+    path = writers.write_level(extended(spark, sf_dir), _out(spark, "levels"), "extended")
+    return _lists_as_text(readers.read_level(spark, path, "extended"))
+
+
+def catalogue_roundtrip(spark, sf_dir):
+    """The catalogue tables, written and read again with their schemas checked, and their rows counted."""
+    base = _out(spark, "catalogue")
+    readings = {"datasets": readers.read_datasets, "files": readers.read_files, "gro": readers.read_gro,
+                "mdp": readers.read_mdp}
+    for name in readings:
+        view(spark, sf_dir, name).write.parquet(f"{base}/{name}")
+    return report.row_counts({name: read(spark, f"{base}/{name}") for name, read in readings.items()})
+
+
+def vector_store_roundtrip(spark, sf_dir):
+    """All embeddings, written to a vector store and read again, with the length of each."""
+    base = _out(spark, "store")
+    empty = F.create_map().cast("map<string,string>")
+    rows = dense(spark, sf_dir).select("id", "embedding", empty.alias("metadata"), F.lit("{}").alias("document"))
+    writers.write_vectors(rows, base, "basic_dataset", "hashing")
+    stored = readers.read_vectors(spark, base, "basic_dataset", "hashing")
+    return stored.select("id", "idx", vectors.l2_norm(F.col("embedding")).alias("norm")).withColumn("norm", _r("norm"))
+
+
+def graph_export(spark, sf_dir):
+    """The 0.98 graph of the documents, written as tables and read again, edge by edge."""
+    similar = simjoin.similar_sparse(plain_rows(spark, sf_dir), 0.98)
+    nodes = docs(spark, sf_dir).select("id")
+    target = writers.write_graph(nodes, similar.full_edges(), _out(spark, "graph"), "documents", 0.98)
+    return spark.read.parquet(f"{target}/edges").select("src", "dst", _r("weight"))
+
+
+def report_lines(spark, sf_dir):
+    """The report, written as text and read again, with how often each line stands in it."""
+    path = _out(spark, "report")
+    writers.write_report(top5_report(spark, sf_dir), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def _store_search(spark, sf_dir, model: str, dim: int):
+    """Hits of depth 50 in a store written and read again with its vocabulary."""
+    base = _out(spark, "searchable")
+    vecs = embed.embed_hashing(docs(spark, sf_dir), dim, vocabulary(spark, sf_dir))
+    writers.write_vectors(
+        vecs.join(records.as_store_rows(view(spark, sf_dir, "text_meta")), "id"), base, "basic_dataset", model
+    )
+    writers.write_vocabulary(vocabulary(spark, sf_dir), base, "basic_dataset", model)
+    found = search.semantic_search(
+        items(spark, sf_dir), readers.read_vectors(spark, base, "basic_dataset", model), model, 50,
+        readers.read_vocabulary(spark, base, "basic_dataset", model),
+    )
+    return search.hit_list(found).withColumn("similarity", _r("similarity"))
+
+
+def store_search_hashing(spark, sf_dir):
+    return _store_search(spark, sf_dir, "hashing", embed.HASHING_DIM)
+
+
+def store_search_tfidf(spark, sf_dir):
+    return _store_search(spark, sf_dir, "tfidf", embed.TFIDF_DIM)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -425,6 +509,7 @@ QUERIES: dict[str, Query] = {
         components, lpa_rounds3, communities, cluster_sizes, cluster_count, largest_communities, top5_report,
         sample10, titles_per_cluster, cluster_terms, cluster_names, naming_prompts, positions, distinct_clusters,
         knn10, nn_label, knn_components, dbscan, dbscan_clusters, centroids_bbox, cluster_hulls, hdbscan, lsh_edges,
-        lsh_topk, pca2d, umap2d, tsne2d, spring,
+        lsh_topk, pca2d, umap2d, tsne2d, spring, row_counts, level_roundtrip, catalogue_roundtrip,
+        vector_store_roundtrip, graph_export, report_lines, store_search_hashing, store_search_tfidf,
     )
 }

@@ -23,7 +23,6 @@ FILES = T.StructType(
         T.StructField("file_type", T.StringType()),
     ]
 )
-FILE_TYPES = T.StructType(_strings("type", "engine"))
 GRO = T.StructType(
     [
         T.StructField("dataset_id", T.StringType()),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmap import schemas
+from corpusmap.sources.writers import vocabulary_path
 
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -54,18 +56,25 @@ def file_type_dim(types: DataFrame) -> DataFrame:
 
 
 def read_level(spark: SparkSession, path: str, level: str) -> DataFrame:
-    """A level from JSON (an array per file, or one record per line); a malformed file is an error."""
-    return (
-        spark.read.schema(schemas.level_schema(level))
-        .option("multiLine", _is_array_file(spark, path))
-        .option("mode", "FAILFAST")
-        .json(path)
+    """A level from JSON; every file is an array or has one record per line. A malformed file is an error."""
+    reader = spark.read.schema(schemas.level_schema(level)).option("mode", "FAILFAST")
+    by_layout = _files_by_layout(spark, path)
+    parts = [reader.option("multiLine", array).json(files) for array, files in by_layout.items()]
+    # Without a line in any file there is nothing to tell a layout by.
+    return reduce(DataFrame.unionByName, parts or [reader.json(path)])
+
+
+def _files_by_layout(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """The files with a line that is not blank, by whether the first opens an array; one row for each file is read."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-
-
-def _is_array_file(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0]["value"].lstrip().startswith("[")
+    told = lines.filter(F.trim("value") != "").withColumn("at", F.struct("block", F.monotonically_increasing_id()))
+    firsts = told.groupBy("file").agg(F.min_by(F.ltrim("value").startswith("["), "at").alias("array"))
+    found: dict[bool, list[str]] = {}
+    for row in sorted(firsts.collect()):
+        found.setdefault(row["array"], []).append(row["file"])
+    return found
 
 
 def read_vectors(spark: SparkSession, base: str, dataset: str, model: str) -> DataFrame:
@@ -82,6 +91,11 @@ def read_vectors(spark: SparkSession, base: str, dataset: str, model: str) -> Da
     return stored.select(*schemas.VECTORS.names, F.split_part("id", F.lit("_"), F.lit(1)).alias("idx"))
 
 
+def read_vocabulary(spark: SparkSession, base: str, dataset: str, model: str) -> DataFrame:
+    """The vocabulary of a store, see ``writers.write_vocabulary``."""
+    return spark.read.parquet(vocabulary_path(base, dataset, model))
+
+
 def read_file_types(spark: SparkSession, path: str) -> DataFrame:
     """The ``file_types`` list of a YAML file as rows ``(ord, type, engine)``."""
     try:

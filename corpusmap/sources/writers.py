@@ -21,13 +21,32 @@ def write_level(df: DataFrame, path: str, level: str) -> str:
 def write_vectors(df: DataFrame, base: str, dataset: str, model: str) -> str:
     """Store ``(id, embedding, metadata, document)``; a store of that name must not exist yet.
 
-    Records without an id take their position first, see ``operators.rank.fill_ids``.
+    Records without an id take their position first, see ``operators.rank.fill_ids``; those without a vector are
+    left out.
     """
     target = f"{base.rstrip('/')}/dataset={dataset}/model={model}"
-    df.select(*schemas.VECTORS.names).write.mode("errorifexists").parquet(target)
+    df.filter(F.col("embedding").isNotNull()).select(*schemas.VECTORS.names).write.mode("errorifexists").parquet(target)
     return target
 
 
+def vocabulary_path(base: str, dataset: str, model: str) -> str:
+    """Where the vocabulary of a store lies: beside the store, so that its scans do not see it."""
+    return f"{base.rstrip('/')}_vocabulary/dataset={dataset}/model={model}"
+
+
+def write_vocabulary(vocabulary: DataFrame, base: str, dataset: str, model: str) -> None:
+    """Keep the vocabulary that made a store's vectors, by which queries are embedded alike."""
+    columns = ("term", "df", "tf", "idf", "index")
+    vocabulary.select(*columns).write.mode("errorifexists").parquet(vocabulary_path(base, dataset, model))
+
+
+def write_sparse(rows: DataFrame, base: str, dataset: str) -> None:
+    """Keep the exact TF-IDF rows ``(id, indices, weights)`` of a store whose dense vectors are their image."""
+    rows.select("id", "indices", "weights").write.mode("errorifexists").parquet(
+        f"{base.rstrip('/')}_sparse/dataset={dataset}"
+    )
+
+
 def write_clusters(df: DataFrame, path: str) -> None:
     """Save one row per record: coordinates, cluster, name and metadata."""
     df.select(*schemas.CLUSTERS.names).write.mode("overwrite").parquet(path)
@@ -64,8 +83,3 @@ def store_name(dataset: str, model: str) -> str:
 def result_name(store: str, reduction: str, cluster: str, prefix: str = "") -> str:
     """The name of a result made from a store, e.g. with prefix ``plot_``."""
     return f"{prefix}{posixpath.basename(store.rstrip('/'))}_{reduction}_{cluster}"
-
-
-def dataset_name_column():
-    """The dataset name of the file a row was read from."""
-    return F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?/[^/]*$", 1)

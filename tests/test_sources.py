@@ -82,3 +82,26 @@ def test_whole_catalogue(spark, sf_dir, tmp_path):
     assert got["plot_points"].columns[:3] == ["idx", "cluster_name", "title"]
     lines = [r.value for r in spark.read.text(f"{out}/reports/chroma_db_extended_dataset_hashing").collect()]
     assert any(line.startswith("Cluster 1 (Size: ") for line in lines)
+
+
+def test_a_folder_of_both_layouts_loses_no_record(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.json").write_text("\n [\n" + ",\n".join(f'{{"id": "{i}", "title": "T"}}' for i in range(100)) + "\n]")
+    (folder / "b.json").write_text("".join(f'{{"id": "x{i}", "title": null}}\n' for i in range(3)))
+    rows = readers.read_level(spark, str(folder), "basic").collect()
+    assert len({r.id for r in rows}) == len(rows) == 103
+
+
+def test_records_without_a_vector_are_left_out_of_a_store(spark, tmp_path):
+    schema = "id string, embedding array<float>, metadata map<string,string>, document string"
+    rows = spark.createDataFrame([("a", [1.0], {}, "{}"), ("b", None, {}, "{}")], schema)
+    writers.write_vectors(rows, str(tmp_path / "s"), "basic_dataset", "hashing")
+    assert [r.id for r in readers.read_vectors(spark, str(tmp_path / "s"), "basic_dataset", "hashing").collect()] == ["a"]
+
+
+def test_cleaning_takes_its_own_keys_and_words(spark):
+    from corpusmap.functions.text import text_of
+
+    level = spark.createDataFrame([("1", "Red none", "me")], "id string, title string, author string")
+    assert text_of(level, excluded_keys=("title",), words_to_remove=("m",)).first().text == "e"

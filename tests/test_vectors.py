@@ -134,3 +134,39 @@ def test_joins_plan_no_cross_products(vectors):
     postings = simjoin._prefix_postings(rows, 0.5)
     plan = simjoin._candidates(postings, 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_near_ties_rank_alike_on_both_search_paths(spark, small_cells, monkeypatch):
+    """Forty vectors whose cosines round to the same number are told apart by id, on either path."""
+    rows = [(f"{i:03d}", [1.0, 1e-6 * ((i * 7) % 40), 0.0, 0.0, 0.0]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(3)
+    queries = vectors.filter("id < '004'").withColumnRenamed("id", "query_id")
+
+    def found():
+        return {(r.query_id, r.rank): r.id for r in search.search(queries, vectors, 5).collect()}
+
+    scan = found()
+    monkeypatch.setattr(search, "QUERY_BYTES", 0)
+    assert found() == scan
+    sims = np.round(cosines(np.array([v for _, v in rows])), 9)
+    for q in range(4):
+        order = sorted(range(40), key=lambda j: (-sims[q, j], j))[:5]
+        assert [scan[f"{q:03d}", r] for r in range(1, 6)] == [f"{j:03d}" for j in order]
+
+
+def test_a_null_vector_stays_a_member_beside_copies(spark):
+    from corpusmap.operators.copies import collapse
+    from corpusmap.scratch import Tables
+
+    rows = spark.createDataFrame([("a", [1.0]), ("b", [1.0]), ("c", None)], "id string, vec array<double>")
+    groups = collapse(rows, ["vec"], Tables(spark, "test"))
+    assert {(r.id, r.rep) for r in groups.members.collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_a_long_path_is_one_component_and_unsettled_labels_raise(spark, monkeypatch):
+    nodes = spark.range(401).withColumnRenamed("id", "id")
+    edges = nodes.filter("id > 0").select((F.col("id") - 1).alias("src"), F.col("id").alias("dst")).repartition(7)
+    assert graph.connected_components(nodes, edges).select("component").distinct().count() == 1
+    monkeypatch.setattr(graph, "UNSETTLED", 1)
+    with pytest.raises(RuntimeError, match="still change"):
+        graph.label_propagation(nodes, edges)
