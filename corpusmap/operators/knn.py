@@ -64,7 +64,8 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest corpus rows ``(id, vec)`` of every query row: ``(id, neighbor, dist)``.
 
-    With ``unit`` the vectors have length one and are ranked by rounded cosine, of which ``dist`` is a function. Without ``queries`` the corpus is joined to itself, each row being its own first neighbour. Round one
+    With ``unit`` the vectors have length one and are ranked by rounded cosine, of which ``dist`` is a function.
+    Without ``queries`` the corpus is joined to itself, each row being its own first neighbour. Round one
     looks into the query's own cell; its k-th distance then says which other cells round two must visit.
     """
     cells = C.build_cells(corpus, tables)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmap.functions.arrow import lengths, matrix, unit_rows, values
+from corpusmap.functions.arrow import lengths, matrix, values
 from corpusmap.functions.vectors import normalize
 from corpusmap.operators import cells as C
 from corpusmap.operators.cells import chunks
