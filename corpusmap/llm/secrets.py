@@ -3,9 +3,10 @@
 The patterns give the base spans, which always stay. The field tags the tokens of a chunk (a run without white space) as
 begin, inside or outside of a secret, from their shape, the neighbouring tokens and words, and features of the
 whole text. It is trained on texts labelled by the base patterns: a sample of about ``FIT_TEXTS`` texts and never more
-than twice as many, chosen by a hash, with the patterns' own key words hidden half of the time and each secret shown once more
-with another value in its place, so that the field must learn from the rest. Viterbi decodes every chunk that holds a digit; white space ends a secret, and a chunk without
-any digit holds none beyond the base spans, so that each chunk is a chain of its own and the decoding is exact.
+than twice as many, chosen by a hash, with the patterns' own key words hidden half of the time and each secret shown
+again with other values in its place, so that the field must learn from the rest. Viterbi decodes every chunk that holds
+a digit; white space ends a secret, and a chunk without any digit holds none beyond the base spans, so that each chunk
+is a chain of its own and the decoding is exact.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each; without any base span in
 the sample nothing is added; empty tables give no rows. Offsets are code points, ends exclusive.
