@@ -36,17 +36,21 @@ from corpusmap.scratch import Tables
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "µ": "u",
-    "*": "aeiou", "#": "h", "%": "o", "&": "a",
+    "*": "abcdefghijklmnopqrstuvwxyz", "#": "h", "%": "o", "&": "a",
 }
 SYMBOLS = 128
 BOUNDARY, DIGIT, FOREIGN = 0, 1, 2
 LATIN = 0x250
-# Signs that seldom end a word.
-INNER = "$@|€£µ"
-# Costs of the channel, in nats: a letter shown by a sign, a sign put in, a letter doubled, or
-# repeated once more, a word ended by an inner sign; and in a run of single characters a blank put in and a blank that ends a word.
-SUBSTITUTED, SPLIT, DOUBLED, REPEATED, ENDED = 2.0, 2.5, 3.0, 0.5, 2.5
-SPACED_SPLIT, SPACED_END = 1.0, 4.0
+# Signs that may end a word, and seldom stand for a letter there.
+CLOSING = "!*#%&"
+MASKS = "*#%&"
+# Costs of the channel, in nats: a letter shown by a sign; a sign put in; a letter doubled, or repeated more often; a digit
+# as itself; a word ended by a sign for a letter, or by another sign between letters; and where single characters are set
+# apart, a separator put in and one that ends a word.
+SUBSTITUTED, SPLIT, DOUBLED, REPEATED, DIGIT_SELF, ENDED, BETWEEN = 1.5, 2.5, 3.0, 0.5, 2.3, 5.0, 1.0
+SPACED_SPLIT, SPACED_END = 0.5, 7.0
+# With so many doubled letters in a chunk, doubling counts as repetition.
+OFTEN = 3
 # A feature is taken at once if it goes with toxicity by chance less often than once in so many cases.
 CHANCE = 1e8
 SKETCH = 8
@@ -121,30 +125,50 @@ class Restorer:
     SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
     ODD = re.compile(r"[^\W\d_].*[\d_\W].*[^\W\d_]|[\d_\W].*[^\W\d_]{2}|[^\W\d_]{2}.*[\d_\W]|([^\W\d_])\1")
     EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+    # Single characters set apart by signs, and undisguised words.
+    APART = re.compile(r"^[\W_]*[^\W_](?:[-._,'/~][^\W_]){2,}[\W_]*$")
+    PLAIN = re.compile(r"(?<![^\W_])[^\W\d_]{3,}(?![^\W_])")
     # All letters of a run but the last.
     DOUBLE = re.compile(r"(.)(?=\1)+")
 
     def __init__(self, costs: np.ndarray) -> None:
         self.costs = costs
         _, self.number = symbol_table()
-        self.words = Cache(self.word)
+        self.words = Cache(self.evidence)
 
     def arcs(self, chunk: str, spaced: bool) -> list[list[tuple[str, float]]]:
         """For each character its readings: a letter, a digit, a blank for a word's end, or nothing."""
         out = []
-        split, end = (SPACED_SPLIT, SPACED_END) if spaced else (SPLIT, 0.0)
+        n = len(chunk)
+        runs = [len(m[0]) + 1 for m in self.DOUBLE.finditer(chunk)]
+        often = len(runs) >= OFTEN
         for i, c in enumerate(chunk):
+            again = i > 0 and chunk[i - 1] == c
+            if again:
+                a, b = i, i
+                while a and chunk[a - 1] == c:
+                    a -= 1
+                while b < n and chunk[b] == c:
+                    b += 1
+                repeated = REPEATED if often or b - a > 2 else DOUBLED
+            between = 0 < i < n - 1 and chunk[i - 1].isalnum() and chunk[i + 1].isalnum()
             if c.isalpha():
                 read = [(c, 0.0)]
-                if i and chunk[i - 1] == c:
-                    read.append(("", REPEATED if chunk[i - 2 : i] == c + c else DOUBLED))
+            elif c.isdigit():
+                read = [(c, DIGIT_SELF)]
+            elif spaced and c == " ":
+                read = [(" ", SPACED_END), ("", SPACED_SPLIT)]
             else:
-                read = [(c, 0.0) if c.isdigit() else (" ", ENDED if c in INNER else end if c == " " else 0.0)]
+                closing = c in CLOSING and not (i + 1 < n and chunk[i + 1].isalnum())
+                ends = 0.0 if c not in LOOKALIKES or closing else ENDED
+                read = [(" ", max(ends, BETWEEN) if between else ends)]
+                if between:
+                    read.append(("", SPLIT))
+            # Signs that mask or decorate stand for a letter only between two others.
+            if between or c not in MASKS:
                 read += [(x, SUBSTITUTED) for x in LOOKALIKES.get(c, "")]
-                if i and chunk[i - 1] == c:
-                    read.append(("", REPEATED))
-                elif not c.isdigit() and 0 < i < len(chunk) - 1:
-                    read.append(("", split))
+            if again:
+                read.append(("", repeated))
             out.append(read)
         return out
 
@@ -170,7 +194,15 @@ class Restorer:
     def _read(self, chunk: str) -> tuple[str, ...]:
         # A long chunk is decoded in overlapping-free parts, so that no text is left out.
         parts = [chunk[k : k + LONGEST] for k in range(0, len(chunk), LONGEST)]
-        return tuple(w for p in parts for w in self.decode(p).split())
+        apart = bool(self.APART.search(chunk))
+        if apart:
+            parts = [re.sub(r"[\W_]", " ", p) for p in parts]
+        return tuple(self._settled(w) for p in parts for w in self.decode(p, apart).split())
+
+    def _settled(self, word: str) -> str:
+        """A restored word as it reads where nothing is disguised."""
+        doubled = self.DOUBLE.findall(word)
+        return self._undoubled(word) if word.isalpha() and len(doubled) == 1 else word
 
     def word(self, chunk: str) -> tuple[str, ...]:
         """The restored words of a chunk without white space."""
@@ -181,6 +213,11 @@ class Restorer:
             return (self._undoubled(bare),)
         return self._read(chunk)
 
+    def evidence(self, chunk: str) -> tuple[str, ...]:
+        """The restored words of a chunk, and those that stand undisguised beside signs, however the whole is read."""
+        read = self.word(chunk)
+        return read if chunk.isalpha() else tuple(dict.fromkeys((*read, *self.PLAIN.findall(chunk))))
+
     def _undoubled(self, word: str) -> str:
         """A word with one doubled letter: decoding it compares just two readings, which differ around the letter."""
         at = self.DOUBLE.search(word).start()
@@ -201,7 +238,8 @@ class Restorer:
     def spaced(self, text: str) -> list[str]:
         """The runs of single characters in a text, decoded."""
         runs = (" ".join(m[0].split()) for m in self.SPACED.finditer(text))
-        return [self.decode(r[k : k + LONGEST], True) for r in runs for k in range(0, len(r), LONGEST)]
+        parts = (r[k : k + LONGEST] for r in runs for k in range(0, len(r), LONGEST))
+        return [" ".join(map(self._settled, self.decode(p, True).split())) for p in parts]
 
     def restore(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
@@ -333,10 +371,14 @@ def score(docs: DataFrame, costs: np.ndarray, lexicon: dict[str, float], base: f
         costs, known = shipped.value
         restorer = Restorer(costs)
 
+        # Every feature of a word begins like the word.
+        heads = {f.rstrip("*")[: min(PREFIXES)] for f in known}
+
         def matched(words: Iterable[str]) -> tuple[str, ...]:
-            return tuple(features(set(words)) & known.keys())
+            likely = {w for w in words if w[: min(PREFIXES)] in heads}
+            return tuple(features(likely) & known.keys()) if likely else ()
 
-        by_chunk = Cache(lambda chunk: matched(restorer.word(chunk)))
+        by_chunk = Cache(lambda chunk: matched(restorer.evidence(chunk)))
         for batch in batches:
             scores, counts = [], []
             for text in _texts(batch.column(1)):
@@ -377,10 +419,11 @@ def restored(docs: DataFrame, costs: np.ndarray, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shipped.value)
+        read = Cache(restorer.word)
 
         def one(text: str) -> str:
             spaced = restorer.SPACED.sub(lambda m: " ".join(restorer.spaced(m[0])), text.lower())
-            return " ".join(w for chunk in spaced.split() for w in restorer.words[chunk])
+            return " ".join(w for chunk in spaced.split() for w in read[chunk])
 
         for batch in batches:
             texts = pa.array([one(t) for t in _texts(batch.column(1))], pa.string())
