@@ -102,10 +102,11 @@ def successors(ids: DataFrame, tables: Tables) -> DataFrame:
 def edited_texts(docs: DataFrame, tables: Tables) -> DataFrame:
     """``docs`` with ``edited``: the last quarter of each text replaced by the start of the next document's.
 
-    Only these starts are sent to the documents before, so that a text moves once and a quarter.
+    Only these starts are sent to the documents before, and both joins read one exchange of the texts, so that a text
+    moves once and a quarter. Ids must not be null.
     """
     take = F.floor(F.length("text") / 4).cast("int")
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id", take.alias("take"))
+    ids = docs.select("doc_id", take.alias("take"))
     ids = successors(ids.groupBy("doc_id").agg(F.max("take").alias("take")), tables)
     ids = tables.save(ids, "successors")
     wanted = ids.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "take")
@@ -151,6 +152,23 @@ def within(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks: int
     return met.filter(F.col("table") == first).select("query", "fp")
 
 
+def _both_sides(rows: DataFrame) -> DataFrame:
+    """The fingerprints of ``text`` and ``edited`` of each row."""
+    rows = rows.select(
+        "doc_id",
+        F.monotonically_increasing_id().alias("row"),
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array("text", "edited").alias("texts"),
+    )
+    keys = ["doc_id", "row", "n_chars", "edited_sha256"]
+    found = simhash(rows.select(*keys, F.posexplode("texts").alias("side", "text")), [*keys, "side"])
+    return found.groupBy(*keys).agg(
+        F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"),
+        F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp"),
+    )
+
+
 def document_fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", query: Column | None = None, radius: int = RADIUS
 ) -> DataFrame:
@@ -165,21 +183,14 @@ def document_fingerprints(
     no rows.
     """
     tables = Tables(docs.sparkSession, "fingerprints")
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = edited_texts(plain, tables).select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("row"),
-        F.length("text").cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.array("text", "edited").alias("texts"),
-    )
-    keys = ["doc_id", "row", "n_chars", "edited_sha256"]
-    sides = rows.select(*keys, F.posexplode("texts").alias("side", "text"))
-    found = simhash(sides, [*keys, "side"])
-    both = found.groupBy(*keys).agg(
-        F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"),
-        F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp"),
-    )
+    # An alias to the same name would be dropped on one side of the joins only, and the exchanges would differ.
+    own_id = F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id")
+    plain = docs.select(own_id, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # The filter is the one that joins by id add, or the exchange would differ.
+    edited = edited_texts(plain.filter("doc_id IS NOT NULL"), tables)
+    cut = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) AS int))")
+    lone = plain.filter("doc_id IS NULL").withColumn("edited", cut)
+    both = _both_sides(edited).unionByName(_both_sides(lone))
     both = tables.save(both.drop("row"), "fingerprints")
     after = tables.spark.read.parquet(f"{tables.base}/successors").select("doc_id", "next_id")
     nexts = both.groupBy("doc_id").agg(F.min("fp").alias("next_fp"))
