@@ -35,8 +35,8 @@ LETTER, DIGIT, OTHER, BLANK, WHITE, APOSTROPHE, SEPARATOR = range(7)
 ASSIGNED = 0x32400
 BLOCK = 256
 # Characters that are classified at once; a longer text is a batch of its own.
-CHUNK = 1 << 20
-CACHED = 300_000
+CHUNK = 1 << 19
+CACHED = 250_000
 # Slices of more bytes are merged with a heap.
 LONG = 64
 NONE = np.int64(1 << 40)

@@ -42,7 +42,7 @@ EPOCHS = 60
 BATCH = 128
 FIT_ROWS = 20_000
 ACCEPT = 0.3
-CACHED = 300_000
+CACHED = 150_000
 SEED = 20
 
 
@@ -109,14 +109,17 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for text in _texts(batch.column(0)):
                 held += [terms.stream(text), np.full(WINDOW, TERMS)]
                 size += len(held[-2])
-                if size > 1 << 20:
+                if size > 1 << 18:
                     count()
                     held, size = [], 0
         if held:
             count()
-        table = near.reshape(TERMS, TERMS).astype(np.float64)
-        # Counts of a task stay far below 2^53, so the products are exact.
-        made = np.rint((table + table.T) @ index_vectors()).astype(np.int64)
+        table, index = near.reshape(TERMS, TERMS), index_vectors().astype(np.float64)
+        made = np.empty((TERMS, DIMENSIONS), np.int64)
+        # A few rows at a time. Counts of a task stay far below 2^53, so the products are exact.
+        for k in range(0, TERMS, 128):
+            both = table[k : k + 128].astype(np.float64) + table[:, k : k + 128].T
+            made[k : k + 128] = np.rint(both @ index)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(TERMS)), *[pa.array(np.ascontiguousarray(made[:, k])) for k in range(DIMENSIONS)]],
             names=["term", *names],
