@@ -17,7 +17,7 @@ of a crowded and another fingerprint are found by the probes of the other, which
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmap.llm import near_copies
 from corpusmap.llm.bpe import _texts
 from corpusmap.operators.graph import connected_components
 from corpusmap.scratch import Tables
@@ -66,18 +67,20 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    found = [simhash(shingle_hashes(t.encode("utf-8", "surrogatepass"))) for t in _texts(texts)]
+def _fingerprints(texts: pa.Array, size: int = SHINGLE) -> pa.Array:
+    found = [simhash(shingle_hashes(t.encode("utf-8", "surrogatepass"), size)) for t in _texts(texts)]
     return pa.array(np.array(found, np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """``(doc_id, fp)``, the fingerprint as a signed 64-bit number."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _fingerprints(batch.column(1))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _fingerprints(batch.column(1), shingle)], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
@@ -301,10 +304,13 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, crowd: int =
     return found.distinct().unionByName(_near_balls(crowded, radius).distinct())
 
 
-def _labels(made: DataFrame, tables: Tables, radius: int) -> DataFrame:
-    """``(fp, first, component_id)`` for each distinct fingerprint of a saved table: its smallest id and its group's."""
+def _labels(made: DataFrame, tables: Tables, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(fp, first, component_id)`` for each distinct mark ``fp`` of a saved table: its smallest id and its group's.
+
+    ``search`` gives the links between the distinct marks.
+    """
     firsts = tables.save(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = tables.save(links(firsts.select("fp"), radius), "links")
+    found = tables.save(search(firsts.select("fp")), "links")
     ends = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     roots = connected_components(ends, found).select(F.col("id").alias("fp"), "component")
     linked = tables.save(roots.join(firsts, "fp"), "linked")
@@ -323,27 +329,46 @@ def near_duplicates(
     """
     tables = Tables(docs.sparkSession, "near_dup")
     made = tables.save(fingerprints(docs, id_col, text_col), "fingerprints")
-    return made.join(_labels(made, tables, radius), "fp").select("doc_id", "fp", "component_id")
+    labels = _labels(made, tables, lambda fps: links(fps, radius))
+    return made.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def filter_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def filter_documents(
+    docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None
+) -> DataFrame:
     """One row of ``docs`` (with ``doc_id`` and ``text``) for each component, with all its columns.
 
-    That of the smallest id stays, and of rows with this id one with the smallest fingerprint. Fingerprints are made
-    twice, so that texts are not saved once more.
+    Texts are linked by fingerprints of ``shingle`` words within the radius or, where a ``similarity`` is given, by sets of
+    ``shingle``-word shingles of this Jaccard similarity or more, which is exact. That of the smallest id stays, and of
+    rows with this id one with the smallest mark (fingerprint, or key of the set). Marks are made twice, so that
+    texts are not saved once more. Texts without words are alike.
     """
     tables = Tables(docs.sparkSession, "near_dup")
-    made = tables.save(fingerprints(docs), "fingerprints")
-    labels = _labels(made, tables, radius).filter("first <=> component_id")
+    if similarity is None:
+        made = tables.save(fingerprints(docs, shingle=shingle), "fingerprints")
+        labels = _labels(made, tables, lambda fps: links(fps, radius))
+
+        def marks(texts: pa.Array) -> pa.Array:
+            return _fingerprints(texts, shingle)
+    else:
+        made = tables.save(near_copies.keyed(docs, shingle, similarity), "sets")
+        labels = _labels(made.select("doc_id", F.col("key").alias("fp")), tables,
+                         lambda _: near_copies.links(docs, made, shingle, similarity))
+
+        def marks(texts: pa.Array) -> pa.Array:
+            return pa.array([near_copies.key_of(near_copies.shingle_set(t, shingle)) for t in _texts(texts)], pa.int64())
+
+    labels = labels.filter("first <=> component_id")
     stay = labels.groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("fp").alias("_fp"))
-    marked = _marked(docs).join(tables.save(labels.join(stay, F.col("fp") == F.col("_fp")).select("fp", "first"), "stay"),
-                                F.col("_mark") == F.col("fp"))
+    marked = _marked(docs, marks).join(
+        tables.save(labels.join(stay, F.col("fp") == F.col("_fp")).select("fp", "first"), "stay"),
+        F.col("_mark") == F.col("fp"))
     own = marked.filter(F.col("row.doc_id").eqNullSafe(F.col("first")))
     return own.dropDuplicates(["_mark"]).select("row.*")
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``(row, _mark)``: whole rows with their fingerprints."""
+def _marked(docs: DataFrame, marks: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``(row, _mark)``: whole rows with their marks."""
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("_mark", T.LongType())])
     at = docs.columns.index("text")
 
@@ -352,6 +377,6 @@ def _marked(docs: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
-                yield pa.RecordBatch.from_arrays([row, _fingerprints(part.column(at))], names=["row", "_mark"])
+                yield pa.RecordBatch.from_arrays([row, marks(part.column(at))], names=["row", "_mark"])
 
     return docs.mapInArrow(run, schema)
