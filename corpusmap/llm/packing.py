@@ -9,15 +9,17 @@ broadcast. Each piece finds its place by its rank among the pieces of its length
 it, plus the counts of the tasks before. The result is that of one best-fit-decreasing run over all pieces.
 
 Defined cases: a null or empty text is one piece with the closing id alone; repeated rows are packed each; an empty
-table gives no rows; equal lengths are ordered by task and row. A text that holds the name of a special token
-is ordinary text. Only the named columns are read.
+table gives no rows; equal lengths are ordered by task and row. An added token of the file, such as a special one, is
+found in plain text too, as the library does it. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,37 @@ def ranks_of_tokenizer(text: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): vocab[token] for token in known}
 
 
+def added_of_tokenizer(text: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file and their ids."""
+    made = json.loads(text)
+    added = made.get("added_tokens") or []
+    if added and made.get("normalizer") or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that are matched other than by their plain content are not known here")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encode(encoder: Encoder, added: dict[str, int], texts: Iterable[str]) -> Iterator[list[int]]:
+    """The ids of each text; it is cut at its leftmost, then longest, added tokens first."""
+    if not added:
+        yield from encoder.encode(texts)
+        return
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    between: deque[list[int]] = deque()
+
+    def parts() -> Iterator[str]:
+        for text in texts:
+            cut = cuts.split(text)
+            between.append([added[t] for t in cut[1::2]])
+            yield from cut[::2]
+
+    found = iter(encoder.encode(parts()))
+    for ids in found:
+        made = list(ids)
+        for token in between.popleft():
+            made += [token, *next(found)]
+        yield made
+
+
 class CapacityTree:
     """A segment tree over remaining capacities; each leaf holds the runs of open bins with that room."""
 
@@ -138,12 +171,12 @@ def pieces(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks_of_tokenizer(shipped.value))
+        encoder, added = Encoder(ranks_of_tokenizer(shipped.value)), added_of_tokenizer(shipped.value)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             row, rows = [], []
-            for k, ids in enumerate(encoder.encode(_texts(batch.column(1)))):
+            for k, ids in enumerate(encode(encoder, added, _texts(batch.column(1)))):
                 data = np.array([*ids, END_ID], "<u4").tobytes()
                 n = len(data) // 4
                 start, length = 0, (n - 1) % capacity + 1
