@@ -20,7 +20,9 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from math import log, sqrt
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +61,10 @@ PREFIXES = (4, 5, 6, 7, 8)
 # The lower confidence bound of a feature's precision must exceed this.
 PRECISION = 0.5
 CACHED = 300_000
-LONGEST = 64
+# Characters on either side among which doubled letters are counted, and after which settled text leaves the states.
+NEAR = 64
+# A wider gap between single characters, in the runs that are decoded.
+WIDE = "\t"
 
 
 def symbol_table() -> tuple[np.ndarray, dict[str, int]]:
@@ -121,8 +126,9 @@ def language_model(grams: DataFrame) -> np.ndarray:
 class Restorer:
     """Restores the words of texts; caches what it has decoded."""
 
-    # Single characters set apart by single blanks.
-    SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+    # Single characters set apart by white space.
+    SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+    GAP = re.compile(r"\s+")
     ODD = re.compile(r"[^\W\d_].*[\d_\W].*[^\W\d_]|[\d_\W].*[^\W\d_]{2}|[^\W\d_]{2}.*[\d_\W]|([^\W\d_])\1")
     EDGES = re.compile(r"^[\W_]+|[\W_]+$")
     # Single characters set apart by signs, and undisguised words.
@@ -140,22 +146,24 @@ class Restorer:
         """For each character its readings: a letter, a digit, a blank for a word's end, or nothing."""
         out = []
         n = len(chunk)
-        runs = [len(m[0]) + 1 for m in self.DOUBLE.finditer(chunk)]
-        often = len(runs) >= OFTEN
+        # Doubled letters before each character.
+        doubled = [0] * (n + 1)
+        for m in self.DOUBLE.finditer(chunk):
+            doubled[m.start() + 1] = 1
+        doubled = list(accumulate(doubled))
         for i, c in enumerate(chunk):
             again = i > 0 and chunk[i - 1] == c
             if again:
-                a, b = i, i
-                while a and chunk[a - 1] == c:
-                    a -= 1
-                while b < n and chunk[b] == c:
-                    b += 1
-                repeated = REPEATED if often or b - a > 2 else DOUBLED
+                often = doubled[min(n, i + NEAR)] - doubled[max(0, i - NEAR)] >= OFTEN
+                more = (i > 1 and chunk[i - 2] == c) or (i + 1 < n and chunk[i + 1] == c)
+                repeated = REPEATED if often or more else DOUBLED
             between = 0 < i < n - 1 and chunk[i - 1].isalnum() and chunk[i + 1].isalnum()
             if c.isalpha():
                 read = [(c, 0.0)]
             elif c.isdigit():
                 read = [(c, DIGIT_SELF)]
+            elif spaced and c == WIDE:
+                read = [(" ", 0.0), ("", SPLIT)]
             elif spaced and c == " ":
                 read = [(" ", SPACED_END), ("", SPACED_SPLIT)]
             else:
@@ -175,7 +183,13 @@ class Restorer:
     def decode(self, chunk: str, spaced: bool = False) -> str:
         """The reading of least cost; words are set apart by blanks."""
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for read in self.arcs(chunk, spaced):
+        settled = []
+        for i, read in enumerate(self.arcs(chunk, spaced)):
+            if i % NEAR == NEAR - 1:
+                # What all live readings begin with is settled; without it their order is the same.
+                shared = commonprefix([text for _, text in states.values()])
+                settled.append(shared)
+                states = {k: (cost, text[len(shared) :]) for k, (cost, text) in states.items()}
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in states.items():
                 for c, channel in read:
@@ -189,15 +203,14 @@ class Restorer:
                     if state not in after or (total, made) < after[state]:
                         after[state] = (total, made)
             states = after
-        return min((cost + self.costs.item(a, b, 0) * (b != 0), text) for (a, b), (cost, text) in states.items())[1]
+        last = min((cost + self.costs.item(a, b, 0) * (b != 0), text) for (a, b), (cost, text) in states.items())[1]
+        return "".join(settled) + last
 
     def _read(self, chunk: str) -> tuple[str, ...]:
-        # A long chunk is decoded in overlapping-free parts, so that no text is left out.
-        parts = [chunk[k : k + LONGEST] for k in range(0, len(chunk), LONGEST)]
         apart = bool(self.APART.search(chunk))
         if apart:
-            parts = [re.sub(r"[\W_]", " ", p) for p in parts]
-        return tuple(self._settled(w) for p in parts for w in self.decode(p, apart).split())
+            chunk = re.sub(r"[\W_]", " ", chunk)
+        return tuple(map(self._settled, self.decode(chunk, apart).split()))
 
     def _settled(self, word: str) -> str:
         """A restored word as it reads where nothing is disguised."""
@@ -236,10 +249,13 @@ class Restorer:
         return chunk[0] in LOOKALIKES or any(c in LOOKALIKES for c in chunk[1:-1] if not c.isalnum())
 
     def spaced(self, text: str) -> list[str]:
-        """The runs of single characters in a text, decoded."""
-        runs = (" ".join(m[0].split()) for m in self.SPACED.finditer(text))
-        parts = (r[k : k + LONGEST] for r in runs for k in range(0, len(r), LONGEST))
-        return [" ".join(map(self._settled, self.decode(p, True).split())) for p in parts]
+        """The runs of single characters in a text, decoded whole; gaps wider than a run's least are likely word ends."""
+        out = []
+        for m in self.SPACED.finditer(text):
+            least = min(len(g) for g in self.GAP.findall(m[0]))
+            run = self.GAP.sub(lambda g: WIDE if len(g[0]) > least else " ", m[0])
+            out.append(" ".join(map(self._settled, self.decode(run, True).split())))
+        return out
 
     def restore(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
@@ -384,7 +400,7 @@ def score(docs: DataFrame, costs: np.ndarray, lexicon: dict[str, float], base: f
             for text in _texts(batch.column(1)):
                 low = text.lower()
                 hits = [f for f in map(by_chunk.__getitem__, set(low.split())) if f]
-                hits += [f for f in map(matched, (run.split() for run in restorer.spaced(low))) if f]
+                hits += [f for run in restorer.spaced(low) for w in run.split() if (f := matched((w,)))]
                 doubt = 1 - base
                 for f in sorted({f for found in hits for f in found}):
                     doubt *= 1 - known[f]
