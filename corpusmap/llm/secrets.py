@@ -4,9 +4,10 @@ The patterns give the base spans, which always stay. The field tags the tokens o
 begin, inside or outside of a secret, from their shape, the neighbouring tokens and words, and features of the
 whole text. It is trained on texts labelled by the base patterns: a sample of about ``FIT_TEXTS`` texts and never more
 than twice as many, chosen by a hash, with the patterns' own key words hidden half of the time and each secret shown
-again with other values in its place, so that the field must learn from the rest. Viterbi decodes every chunk that holds
-a digit; white space ends a secret, and a chunk without any digit holds none beyond the base spans, so that each chunk
-is a chain of its own and the decoding is exact.
+again with other values in its place, some of letters alone, so that the field must learn from the rest. Of the chunks
+without digit or secret a share of ``FIT_PLAIN`` is trained on, chosen by a hash. White space ends a secret, so that each
+chunk is a chain of its own. Viterbi decodes every chunk, but for those where a bound from the weights proves that no
+beginning can win (``Bound``), so that the decoding is exact. Of a field span that meets base spans the rest is kept.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each; without any base span in
 the sample nothing is added; empty tables give no rows. Offsets are code points, ends exclusive.
@@ -39,12 +40,15 @@ ASSIGN_VALUE = 6
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 DIGITS = re.compile(r"[0-9]+")
-CHUNK = re.compile(r"\S*")
+CHUNK = re.compile(r"\S+")
 KEYS = re.compile(r"passw|secret|token|api_?key|credential|auth|private|access", re.I | re.A)
 OUTSIDE, BEGIN, INSIDE = range(3)
 FEATURES = 1 << 14
 FIT_TEXTS = 20_000
+FIT_PLAIN = 1 / 64
 EPOCHS = 12
+# Entries of a cache of bounds, which is emptied when full.
+CACHED = 200_000
 # Tokens of a chunk that are trained on at once; decoding takes chunks whole.
 PIECE = 48
 SEED = 5
@@ -65,17 +69,9 @@ def secret_values(text: str) -> list[tuple[int, int]]:
     return found + [m.span() for p in (ACCESS, HEX) for m in p.finditer(text)]
 
 
-def chunks_with_digits(text: str) -> Iterator[tuple[int, int]]:
-    """Every run without white space that holds a digit."""
-    end = -1
-    for m in DIGITS.finditer(text):
-        if m.start() < end:
-            continue
-        start = m.start()
-        while start > end + 1 and start and not text[start - 1].isspace():
-            start -= 1
-        end = CHUNK.match(text, m.start()).end()
-        yield start, end
+def chunks(text: str) -> Iterator[tuple[int, int]]:
+    """Every run without white space."""
+    return (m.span() for m in CHUNK.finditer(text))
 
 
 def shape(token: str) -> str:
@@ -232,6 +228,8 @@ def made_up(text: str, secret: list[tuple[int, int]]) -> tuple[str, list[tuple[i
         letters = ALPHABETS[rng.integers(len(ALPHABETS))]
         value = "".join(letters[i] for i in rng.integers(len(letters), size=rng.integers(10, 48)))
         value = BEGINNINGS[rng.integers(len(BEGINNINGS))] + value.strip("-_+/=.") + str(rng.integers(10))
+        if rng.random() < 0.25:
+            value = DIGITS.sub("", value) or "Q"
         out += [text[at:a], value]
         size += a - at
         spans.append((size, size + len(value)))
@@ -240,21 +238,29 @@ def made_up(text: str, secret: list[tuple[int, int]]) -> tuple[str, list[tuple[i
     return "".join(out) + text[at:], spans
 
 
-def chains_of(text: str) -> list[tuple[list[np.ndarray], list[int]]]:
-    """Training chains of a text, tagged by the base patterns, and those of its secrets with made-up values."""
+def chains_of(text: str, plain: float = 1.0) -> list[tuple[list[np.ndarray], list[int]]]:
+    """Training chains of a text, tagged by the base patterns, and those of its secrets with made-up values.
+
+    ``plain`` is the share of the chunks without digit or secret that are taken.
+    """
     secret = secret_values(text)
-    out = _tagged(text, secret, len(text))
+    out = _tagged(text, secret, len(text), plain)
     if secret:
         for turn in (0, 1):
             other, spans = made_up(text + " " * turn, secret)
-            out += [c for c in _tagged(other, spans, turn) if BEGIN in c[1]]
+            out += [c for c in _tagged(other, spans, turn, 0.0) if BEGIN in c[1]]
     return out
 
 
-def _tagged(text: str, secret: list[tuple[int, int]], turn: int) -> list[tuple[list[np.ndarray], list[int]]]:
+def _tagged(
+    text: str, secret: list[tuple[int, int]], turn: int, plain: float
+) -> list[tuple[list[np.ndarray], list[int]]]:
     whole = text_features(text)
     out = []
-    for k, (start, end) in enumerate(chunks_with_digits(text)):
+    for k, (start, end) in enumerate(chunks(text)):
+        if plain < 1 and not DIGITS.search(text, start, end) and not any(a < end and start < b for a, b in secret):
+            if xxhash.xxh32_intdigest(f"{k} {text[start:end]}".encode("utf-8", "surrogatepass"), turn % 2**32) >= plain * 2**32:
+                continue
         spans, rows = token_features(text, start, min(end, start + 4096), whole, hidden=(k + turn) % 2 == 0)
         tags = [OUTSIDE] * len(spans)
         for a, b in secret:
@@ -268,17 +274,17 @@ def _tagged(text: str, secret: list[tuple[int, int]], turn: int) -> list[tuple[l
 
 
 def train(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> Field:
-    """A field trained on a sample of the texts; only the features of its chunks with digits reach the driver."""
+    """A field trained on a sample of the texts; only the features of its training chains reach the driver."""
     n = docs.count()
     share = int(min(1.0, fit_texts / max(n, 1)) * 1_000_000)
     key = F.xxhash64("doc_id", F.length("text"))
     sample = docs.withColumn("key", key).filter(F.pmod("key", F.lit(1_000_000)) < share)
-    sample = sample.filter(F.col("text").rlike("[0-9]")).orderBy("key").limit(2 * fit_texts)
+    sample = sample.orderBy("key").limit(2 * fit_texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, key in zip(_texts(batch.column(0)), batch.column(1).to_pylist()):
-                for j, (rows, tags) in enumerate(chains_of(text)):
+                for j, (rows, tags) in enumerate(chains_of(text, FIT_PLAIN)):
                     flat = np.concatenate(rows)
                     sizes = np.array([len(r) for r in rows])
                     yield pa.RecordBatch.from_arrays(
@@ -299,12 +305,129 @@ def train(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> Field:
     return made
 
 
-def scan(text: str, model: Field) -> list[Span]:
-    """All spans of a text, by start and kind: the base spans, and those of the field that meet none of them."""
-    found = base_spans(text)
+class Bound:
+    """Proves for chunks that no beginning can win, from what their own text and each neighbour add at most.
+
+    A chunk's own features do not depend on its neighbours, so that its best path with a beginning, against all outside,
+    is cached by its text; the words around it and the whole text add to every token at most their best gain.
+    """
+
+    def __init__(self, model: Field) -> None:
+        self.model = model
+        self.own: dict[str, tuple[float, int]] = {}
+        self.kinds: dict[tuple, list[np.ndarray]] = {}
+        self.steps = steps = model.step + model.BARRED
+        self.alone = float(steps[OUTSIDE, BEGIN] + steps[BEGIN, OUTSIDE] - 2 * steps[OUTSIDE, OUTSIDE])
+        self.gains = (model.emit[:, [BEGIN, INSIDE]].max(1) - model.emit[:, OUTSIDE]).tolist()
+        self.word: tuple[dict[str, float], ...] = ({}, {}, {})
+
+    def _sum(self, names: tuple[str, ...]) -> np.ndarray:
+        return self.model.emit[[xxhash.xxh32_intdigest(n) % FEATURES for n in names]].sum(0)
+
+    @staticmethod
+    def _letters(word: str) -> tuple[str, str, str]:
+        """The features of a word that depend on its letters."""
+        distinct = f"distinct {int(8 * len(set(word)) / len(word))} {min(len(word) // 8, 4)}"
+        return f"word {word.lower()[:12]}", f"start {word[:4]}", distinct
+
+    def _gain(self, name: str) -> float:
+        return self.gains[xxhash.xxh32_intdigest(name) % FEATURES]
+
+    def whole(self, names: list[str]) -> float:
+        """The most that features of the whole text add to a token."""
+        kinds = [(a, b) for a in (False, True) for b in (False, True)]
+        return max(sum(self._gain(f"{w} {a} {b}") for w in names) for a, b in kinds)
+
+    def near(self, place: int, word: str) -> float:
+        """What a neighbour adds: of the word before, the one before that, or the one after."""
+        cache = self.word[place]
+        found = cache.get(word)
+        if found is None:
+            if len(cache) >= CACHED:
+                cache.clear()
+            seen = word.lower()[:12] if word.isalpha() else shape(word)
+            found = cache[word] = self._gain(f"{('word-0', 'word-1', 'word+')[place]} {seen}")
+        return found
+
+    def chunk(self, text: str) -> tuple[float, int]:
+        """The best gain of a chunk by itself, and its tokens."""
+        found = self.own.get(text)
+        if found is None:
+            if len(self.own) >= CACHED:
+                self.own.clear()
+            core = text if text.isalpha() else text[:-1]
+            if len(text) <= 64 and core.isalpha() and (core is text or text[-1] in ",.;:!?)\"'"):
+                # A word of letters, with a sign or none after it: what does not depend on its letters is cached by its kind.
+                case = "a" if core.isascii() and core.islower() else (shape(core), core.lower() != core, core.upper() != core)
+                kind = case, len(core), text[len(core) :]
+                parts = self._letters(core), (f"before {core.lower()[:12]}", f"before2 - {core.lower()[:12]}")
+                s = self.kinds.get(kind)
+                if s is None:
+                    rows = token_features(text, 0, len(text), [])[1]
+                    s = self.kinds[kind] = [self.model.emit[r].sum(0) - self._sum(p) for r, p in zip(rows, parts)]
+                s = [x + self._sum(p) for x, p in zip(s, parts)]
+            else:
+                s = self.model.scores(token_features(text, 0, len(text), [])[1])
+            if len(s) == 1:
+                found = self.own[text] = float(s[0][BEGIN] - s[0][OUTSIDE]) + self.alone, 1
+                return found
+            steps = self.steps
+            # Best sums of paths still outside everywhere, and of those with a beginning, by their last tag.
+            out, other = steps[OUTSIDE, OUTSIDE] + s[0][OUTSIDE], np.full(3, -np.inf)
+            other[BEGIN] = steps[OUTSIDE, BEGIN] + s[0][BEGIN]
+            for row in s[1:]:
+                after = (other[:, None] + steps).max(0)
+                after[BEGIN] = max(after[BEGIN], out + steps[OUTSIDE, BEGIN])
+                out, other = out + steps[OUTSIDE, OUTSIDE] + row[OUTSIDE], after + row
+            found = float((other + steps[:, OUTSIDE]).max() - out - steps[OUTSIDE, OUTSIDE]), len(s)
+            self.own[text] = found
+        return found
+
+    def open(self, text: str) -> Iterator[tuple[int, int]]:
+        """The chunks in which a beginning may win."""
+        found = list(chunks(text))
+        if not found:
+            return
+        whole = self.whole(text_features(text))
+        words = [text[a:b] for a, b in found]
+        for k, (start, end) in enumerate(found):
+            # Longer neighbours are seen in part only, so that such chunks are always decoded.
+            if (k and start - found[max(k - 2, 0)][0] > 64) or (k + 1 < len(found) and found[k + 1][1] - end > 48):
+                yield start, end
+                continue
+            own, n = self.chunk(words[k])
+            more = whole
+            if k:
+                more += self.near(0, words[k - 1])
+            if k > 1:
+                more += self.near(1, words[k - 2])
+            if k + 1 < len(found):
+                more += self.near(2, words[k + 1])
+            if own + n * max(more, 0.0) > -1e-6 and (n > 1 or own + more > -1e-6):
+                yield start, end
+
+
+def _outside(start: int, end: int, spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of a stretch that meet none of the spans."""
+    for a, b, _ in sorted(spans):
+        if start < a < end:
+            yield start, a
+        if a < end and start < b:
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
+def scan(text: str, model: Field, bound: Bound | None = None) -> list[Span]:
+    """All spans of a text, by start and kind: the base spans, and of those of the field what is outside of them.
+
+    ``bound`` is one of the model, to share its caches among texts; it changes no result.
+    """
+    base = base_spans(text)
+    found = list(base)
     if model.trained:
         whole = None
-        for start, end in chunks_with_digits(text):
+        for start, end in (bound or Bound(model)).open(text):
             whole = whole or text_features(text)
             spans, rows = token_features(text, start, end, whole)
             tags = model.viterbi(model.scores(rows))
@@ -317,9 +440,7 @@ def scan(text: str, model: Field) -> list[Span]:
                 k += 1
                 while k < len(tags) and tags[k] == INSIDE:
                     k += 1
-                begin, stop = spans[a][0], spans[k - 1][1]
-                if not any(x < stop and begin < y for x, y, kind in found if kind != "crf"):
-                    found.append((begin, stop, "crf"))
+                found += [(x, y, "crf") for x, y in _outside(spans[a][0], spans[k - 1][1], base)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -342,11 +463,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
+        bound = Bound(model)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = list(_texts(part.column(1)))
-                found = [scan(t, model) for t in texts]
+                found = [scan(t, model, bound) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -370,10 +492,11 @@ def redact_documents(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
 
     def each():
         model = shipped.value
+        bound = Bound(model)
 
         def change(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
             columns = list(batch.columns)
-            clean = [redact(t, scan(t, model)) for t in texts]
+            clean = [redact(t, scan(t, model, bound)) for t in texts]
             columns[names.index("text")] = pa.array(clean, batch.schema.field("text").type)
             if "n_chars" in names:
                 columns[names.index("n_chars")] = pa.array(map(len, clean), batch.schema.field("n_chars").type)

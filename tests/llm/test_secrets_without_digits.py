@@ -1,0 +1,39 @@
+"""Secrets without digits, the bound that skips chunks, and field spans that meet base spans."""
+
+import pytest
+
+from corpusmap.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def model():
+    texts = [f"the {k} password=ab{i}cdef01{i}99 near 1.2.3.{i} and some plain words, only" for i in range(120) for k in "ab"]
+    made = secrets.Field()
+    made.learn([c for t in texts for c in secrets.chains_of(t)])
+    return made
+
+
+def test_letters_alone_are_tagged(model):
+    text = "the a passphrase=QwErTyUiOpAsDfGhJkLz near 1.2.3.4 and some plain words, only"
+    value = text.index("QwErTy")
+    assert any(k == "crf" and a <= value < b for a, b, k in secrets.scan(text, model))
+    assert secrets.scan("the a note near some plain words, only", model) == []
+
+
+def test_bound_skips_nothing_that_is_tagged(model, texts):
+    bound = secrets.Bound(model)
+    skipped = 0
+    for text in list(texts.values())[:60]:
+        text = text[:3000]
+        left, whole = set(bound.open(text)), secrets.text_features(text)
+        for start, end in secrets.chunks(text):
+            if (start, end) not in left:
+                skipped += 1
+                _, rows = secrets.token_features(text, start, end, whole)
+                assert not any(model.viterbi(model.scores(rows)))
+    assert skipped > 100
+
+
+def test_parts_beyond_base_spans_stay(model):
+    assert list(secrets._outside(2, 20, [(0, 5, "assign"), (8, 10, "hex")])) == [(5, 8), (10, 20)]
+    assert list(secrets._outside(2, 4, [(0, 5, "assign")])) == []
