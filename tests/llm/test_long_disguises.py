@@ -18,8 +18,9 @@ def restorer(spark):
 def test_words_across_every_place_are_restored(restorer):
     sentence = "you are a pathetic loser and this train is disgusting trash".replace(" ", "")
     for sign in " .":
-        got = restorer.restore(sign.join(sentence))
-        assert {"pathetic", "loser", "disgusting"} <= got
+        assert {"pathetic", "loser", "disgusting"} <= restorer.restore(sign.join(sentence))
+        # Without its first word "disgusting" stands at letters 32 to 41.
+        assert {"pathetic", "loser", "disgusting"} <= restorer.restore(sign.join(sentence[3:]))
 
 
 @pytest.mark.parametrize("text", ["s  t  u  p  i  d", "s\t t\t u\t p\t i\t d", "s \t t  u p   i d"])
