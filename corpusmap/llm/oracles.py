@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusmap.llm.centroids import CENTROIDS, DIMS, ROUNDS, SEED
 from corpusmap.llm.host_rules import HOST_LIMIT, HOST_RULES
 from corpusmap.llm.licences import ENDS, HOLDER, RULES, known
 
@@ -90,5 +91,33 @@ SELECT doc_id, sentences, CASE WHEN len(names) > 0 THEN array_to_string(names, '
 FROM named WHERE sentences <> ''"""
 
 
+def op12() -> str:
+    distance = "CAST(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS BIGINT)"
+
+    def assigned(i: int) -> str:
+        return f"""
+met{i} AS (SELECT k.row, c.c, {distance} AS d FROM kept k, c{i} c),
+a{i} AS MATERIALIZED (SELECT row, min(struct_pack(d := d, c := c)) AS best FROM met{i} GROUP BY row)"""
+
+    rounds = ""
+    for i in range(ROUNDS):
+        rounds += f"""{assigned(i)},
+sums{i} AS (SELECT best.c AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n
+  FROM a{i} JOIN kept USING (row), range(1, 65) AS t(i) GROUP BY best.c, i),
+means{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM sums{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN means{i} m USING (c)),"""
+    return f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS} AND len(embedding) = {DIMS}),
+named AS (SELECT v, row_number() OVER (ORDER BY sha256('{SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM kept),
+c0 AS MATERIALIZED (SELECT * FROM named WHERE c < {CENTROIDS}),{rounds}{assigned(ROUNDS)},
+placed AS (SELECT vec_id, best.c AS c, best.d AS distance FROM a{ROUNDS} JOIN kept USING (row))
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM placed JOIN c{ROUNDS} f USING (c)"""
+
+
 def sql() -> dict[str, str]:
-    return {"op3_licences": op3(), "op6_host_rules": op6()}
+    return {"op3_licences": op3(), "op6_host_rules": op6(), "op12_centroid_clusters": op12()}

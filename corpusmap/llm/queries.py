@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmap.llm import (
     bpe,
+    centroids,
     fingerprints,
     host_rules,
     licences,
@@ -17,6 +18,8 @@ from corpusmap.llm import (
     packing,
     quality,
     secrets,
+    spelling,
+    suffixes,
     tool_calls,
     toxicity,
 )
@@ -95,10 +98,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_document_fingerprints, op3_licences, op4_tool_calls, op5_secrets, op6_host_rules,
-        op7_best_fit_packing, op8_simhash_near_dup, op9_bpe, op10_quality,
+        op7_best_fit_packing, op8_simhash_near_dup, op9_bpe, op10_quality, op11_suffix_array_dedup,
+        op12_centroid_clusters, op13_spelling_variants,
     )
 }
