@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusmap.llm.bpe import Encoder, _texts
+from corpusmap.llm.bpe import Encoder, _texts, chunks
 from corpusmap.scratch import Tables
 
 CAPACITY = 2048
 END_ID = 0
+# Slices whose ids are kept.
+PACKED = 400_000
+END = struct.pack("<I", END_ID)
 
 
 def ranks_of_tokenizer(text: str) -> dict[bytes, int]:
@@ -60,26 +65,51 @@ def added_of_tokenizer(text: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
-def encode(encoder: Encoder, added: dict[str, int], texts: Iterable[str]) -> Iterator[list[int]]:
-    """The ids of each text; it is cut at its leftmost, then longest, added tokens first."""
+class PackedEncoder(Encoder):
+    """An encoder whose ids are packed: each slice is cached as the bytes of its ids, unsigned and little-endian."""
+
+    def packed(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The packed ids of each text."""
+        cache = self.cache
+        for batch in chunks(texts):
+            parts = list(self.slices(batch))
+            flat = list(chain.from_iterable(parts))
+            found = list(map(cache.get, flat))
+            if None in found:
+                gaps = [i for i, ids in enumerate(found) if ids is None]
+                lacking = list({flat[i] for i in gaps})
+                if len(cache) + len(lacking) > PACKED:
+                    cache.clear()
+                # The positions of a round must fit 22 bits.
+                for k in range(0, len(lacking), 1 << 15):
+                    part = lacking[k : k + (1 << 15)]
+                    cache.update(zip(part, [struct.pack(f"<{len(ids)}I", *ids) for ids in self.merge_all(part)]))
+                for i in gaps:
+                    found[i] = cache[flat[i]]
+            a = 0
+            for part in parts:
+                yield b"".join(found[a : a + len(part)])
+                a += len(part)
+
+
+def encode(encoder: PackedEncoder, added: dict[str, int], texts: Iterable[str]) -> Iterator[bytes]:
+    """The packed ids of each text; it is cut at its leftmost, then longest, added tokens first."""
     if not added:
-        yield from encoder.encode(texts)
+        yield from encoder.packed(texts)
         return
     cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
-    between: deque[list[int]] = deque()
+    between: deque[list[bytes]] = deque()
 
     def parts() -> Iterator[str]:
         for text in texts:
             cut = cuts.split(text)
-            between.append([added[t] for t in cut[1::2]])
+            between.append([struct.pack("<I", added[t]) for t in cut[1::2]])
             yield from cut[::2]
 
-    found = iter(encoder.encode(parts()))
+    found = iter(encoder.packed(parts()))
     for ids in found:
-        made = list(ids)
-        for token in between.popleft():
-            made += [token, *next(found)]
-        yield made
+        tokens = between.popleft()
+        yield b"".join([ids, *chain.from_iterable((token, next(found)) for token in tokens)]) if tokens else ids
 
 
 class CapacityTree:
@@ -171,13 +201,13 @@ def pieces(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, added = Encoder(ranks_of_tokenizer(shipped.value)), added_of_tokenizer(shipped.value)
+        encoder, added = PackedEncoder(ranks_of_tokenizer(shipped.value)), added_of_tokenizer(shipped.value)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             row, rows = [], []
             for k, ids in enumerate(encode(encoder, added, _texts(batch.column(1)))):
-                data = np.array([*ids, END_ID], "<u4").tobytes()
+                data = ids + END
                 n = len(data) // 4
                 start, length = 0, (n - 1) % capacity + 1
                 for piece in range(-(-n // capacity)):

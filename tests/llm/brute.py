@@ -74,7 +74,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     return made
 
 
