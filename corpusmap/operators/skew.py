@@ -23,17 +23,18 @@ def hot_keys(rows: DataFrame, keys: list[str], share: float = SHARE, least: int
 
 def skew_join(
     many: DataFrame, few: DataFrame, keys: list[str], salt: Column, how: str = "inner",
-    share: float = SHARE, least: int = LEAST, parts: int = PARTS,
+    share: float = SHARE, least: int = LEAST, parts: int = PARTS, hot: list[tuple] | None = None,
 ) -> DataFrame:
     """``many`` joined with ``few`` on ``keys`` (``inner``, ``left`` or ``left_semi``), hot keys of ``many`` in ``parts`` parts.
 
     The rows of a hot key go to parts by the hash ``salt`` of their own columns, and its rows of ``few`` to every
-    part; all other rows move once, as in a plain join. ``many`` should be a saved table, as it is read twice. Null
-    keys join nothing.
+    part; all other rows move once, as in a plain join. ``hot`` names the hot keys where they are known; else
+    ``many`` is counted, and should be a saved table. Null keys join nothing.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"{how} joins are not split")
-    hot = [k for k in hot_keys(many, keys, share, least) if None not in k]
+    hot = hot_keys(many, keys, share, least) if hot is None else hot
+    hot = [k for k in hot if None not in k]
     if not hot:
         return many.join(few, keys, how)
     # At most 1 / share keys.
