@@ -340,33 +340,44 @@ def filter_documents(
 
     Texts are linked by fingerprints of ``shingle`` words within the radius or, where a ``similarity`` is given, by sets of
     ``shingle``-word shingles of this Jaccard similarity or more, which is exact. That of the smallest id stays, and of
-    rows with this id one with the smallest mark (fingerprint, or key of the set). Marks are made twice, so that
-    texts are not saved once more. Texts without words are alike.
+    rows with this id one with the smallest mark (fingerprint, or key of the set). Texts without words are alike.
     """
     tables = Tables(docs.sparkSession, "near_dup")
-    if similarity is None:
-        made = tables.save(fingerprints(docs, shingle=shingle), "fingerprints")
-        labels = _labels(made, tables, lambda fps: links(fps, radius))
-
-        def marks(texts: pa.Array) -> pa.Array:
-            return _fingerprints(texts, shingle)
-    else:
-        made = tables.save(near_copies.keyed(docs, shingle, similarity), "sets")
-        labels = _labels(made.select("doc_id", F.col("key").alias("fp")), tables,
-                         lambda _: near_copies.links(docs, made, shingle, similarity))
-
-        def marks(texts: pa.Array) -> pa.Array:
-            return pa.array([near_copies.key_of(near_copies.shingle_set(t, shingle)) for t in _texts(texts)], pa.int64())
-
-    labels = labels.filter("first <=> component_id")
+    if similarity is not None:
+        return _filter_copies(docs, shingle, similarity, tables)
+    made = tables.save(fingerprints(docs, shingle=shingle), "fingerprints")
+    labels = _labels(made, tables, lambda fps: links(fps, radius)).filter("first <=> component_id")
     stay = labels.groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("fp").alias("_fp"))
-    marked = _marked(docs, marks).join(
+    marked = _marked(docs, lambda texts: _fingerprints(texts, shingle)).join(
         tables.save(labels.join(stay, F.col("fp") == F.col("_fp")).select("fp", "first"), "stay"),
         F.col("_mark") == F.col("fp"))
     own = marked.filter(F.col("row.doc_id").eqNullSafe(F.col("first")))
     return own.dropDuplicates(["_mark"]).select("row.*")
 
 
+def _filter_copies(docs: DataFrame, shingle: int, similarity: float, tables: Tables) -> DataFrame:
+    """The rows that stay, known by their ids and text hashes, so that the sets are made once."""
+    made = tables.save(near_copies.keyed(docs, shingle, similarity), "sets")
+    labels = _labels(made.select("doc_id", F.col("key").alias("fp")), tables,
+                     lambda _: near_copies.links(docs, made, shingle, similarity)).filter("first <=> component_id")
+    stay = labels.groupBy("component_id").agg(F.min("fp").alias("key"))
+    rows = made.join(stay, "key").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    rows = tables.save(rows.select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash")), "stay")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (near_copies.text_hash() == F.col("_hash"))
+    twice = made.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = tables.save(twice.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "twice")
+    again = (F.col("a._hash") == F.col("b._hash")) & F.col("a._id").eqNullSafe(F.col("b._id"))
+    kept = docs.join(rows.alias("a").join(twice.alias("b"), again, "left_anti"), same).drop("_id", "_hash")
+    if twice.isEmpty():
+        return kept
+    # Rows that agree in id and text: one stays.
+    more = docs.join(rows.alias("a").join(twice.alias("b"), again, "left_semi"), same)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    more = more.groupBy("_id", "_hash").agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
+    return kept.unionByName(more.select("row.*"))
+
+
 def _marked(docs: DataFrame, marks: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """``(row, _mark)``: whole rows with their marks."""
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("_mark", T.LongType())])

@@ -1,21 +1,24 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field for what they do not know.
 
 The patterns give the base spans, which always stay. The field tags the tokens of a chunk (a run without white space) as
-begin, inside or outside of a secret, from their shape, the neighbouring tokens and words, and features of the
-whole text. It is trained on texts labelled by the base patterns: a sample of about ``FIT_TEXTS`` texts and never more
-than twice as many, chosen by a hash, with the patterns' own key words hidden half of the time and each secret shown
-again with other values in its place, some of letters alone, so that the field must learn from the rest. Of the chunks
-without digit or secret a share of ``FIT_PLAIN`` is trained on, chosen by a hash. White space ends a secret, so that each
-chunk is a chain of its own. Viterbi decodes every chunk, but for those where a bound from the weights proves that no
-beginning can win (``Bound``), so that the decoding is exact. Of a field span that meets base spans the rest is kept.
-
-Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each; without any base span in
-the sample nothing is added; empty tables give no rows. Offsets are code points, ends exclusive.
+begin, inside or outside of a secret, from their shape (lengths, kinds of letters and changes between them, how unusual
+their letter pairs are in all texts), the neighbouring tokens and words, and features of the whole text. Tokens, features and
+scores are arrays over all texts of a batch; Viterbi decodes every chunk in which a bound does not prove that all outside
+is best, so that the decoding is exact. White space ends a secret, so that each chunk is a chain of its own. Of a field
+span that meets base spans the rest is kept.
+
+The field is trained on pieces of texts of about ``FIT_CHARS`` characters in all, chosen by a hash among the pieces of all
+texts. Labels are the secret parts of base spans, and made-up secrets of many kinds that are set into the pieces, bare or after words
+and signs that the patterns do not know. Of the plain chunks of words a share of ``FIT_PLAIN`` is trained on.
+
+Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each; empty tables give no rows. A row
+keeps its other columns, whatever their names. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmap.llm.bpe import _texts
+from corpusmap.llm.bpe import WHITE_SPACE, _texts, chunks
 from corpusmap.llm.common import map_rows
 
 # The base patterns, in the order of their kinds. Minimum lengths are part of the patterns where a match
@@ -38,19 +41,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN_VALUE = 6
 
-TOKEN = re.compile(r"\w+|[^\w\s]")
-DIGITS = re.compile(r"[0-9]+")
-CHUNK = re.compile(r"\S+")
-KEYS = re.compile(r"passw|secret|token|api_?key|credential|auth|private|access", re.I | re.A)
 OUTSIDE, BEGIN, INSIDE = range(3)
-FEATURES = 1 << 14
-FIT_TEXTS = 20_000
-FIT_PLAIN = 1 / 64
-EPOCHS = 12
-# Entries of a cache of bounds, which is emptied when full.
-CACHED = 200_000
+FIT_CHARS = 16_000_000
+FIT_PLAIN = 1 / 16
+# Characters of a piece of a text that is trained on, and how many of them hold one made-up secret on average.
+PIECE, PER_PLANT = 16_384, 400
+EPOCHS, CHAINS = 8, 512
 # Tokens of a chunk that are trained on at once; decoding takes chunks whole.
-PIECE = 48
+LONGEST = 48
 SEED = 5
 
 Span = tuple[int, int, str]
@@ -69,73 +67,176 @@ def secret_values(text: str) -> list[tuple[int, int]]:
     return found + [m.span() for p in (ACCESS, HEX) for m in p.finditer(text)]
 
 
-def chunks(text: str) -> Iterator[tuple[int, int]]:
-    """Every run without white space."""
-    return (m.span() for m in CHUNK.finditer(text))
-
-
-def shape(token: str) -> str:
-    """Runs of letters by case, digits and signs."""
-    short = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "9", token)))
-    return short[:8] + ("+" if len(short) > 8 else "")
-
-
-def _size(n: int) -> int:
-    return n if n < 8 else 8 + n // 4 if n < 48 else 20
-
-
-def text_features(text: str) -> list[str]:
-    """Features of the whole text."""
-    digits = sum(len(m[0]) for m in DIGITS.finditer(text))
-    keys = sum(1 for _ in KEYS.finditer(text))
-    return [f"length {len(text).bit_length()}", f"digits {int(20 * digits / (len(text) + 1))}", f"keys {min(keys, 3)}"]
-
-
-def token_features(
-    text: str, start: int, end: int, whole: list[str], hidden: bool = False
-) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-    """The tokens of a chunk and their hashed features; with ``hidden`` key words are not seen."""
-    spans = [(m.start() + start, m.end() + start) for m in TOKEN.finditer(text[start:end])]
-    tokens = [text[a:b] for a, b in spans]
-    around = text[max(0, start - 64) : start].split()[-2:]
-    after = text[end : end + 48].split()[:1]
-
-    def word(w: str) -> str:
-        if hidden and KEYS.search(w):
-            return "?"
-        return w.lower()[:12] if w.isalpha() else shape(w)
-
-    before = [word(w) for w in around]
-    chunk_shape = shape(text[start : min(end, start + 64)])
-    out = []
-    for k, t in enumerate(tokens):
-        near = [word(tokens[j]) if 0 <= j < len(tokens) else "-" for j in (k - 2, k - 1, k + 1, k + 2)]
-        letters, digits = sum(c.isalpha() for c in t), sum(c.isdigit() for c in t)
-        names = [
-            "bias", f"shape {shape(t)}", f"size {_size(len(t))}", f"word {word(t)}", f"start {t[:4]}",
-            f"mixed {letters > 0} {digits > 0} {t.lower() != t} {t.upper() != t} {_size(len(t)) // 3}",
-            f"distinct {int(8 * len(set(t)) / len(t))} {min(len(t) // 8, 4)}", f"chunk {chunk_shape}",
-            f"first {k == 0}", f"before {near[1]}", f"before2 {near[0]} {near[1]}", f"after {near[2]}",
-            f"after2 {near[2]} {near[3]}", *[f"word-{j} {w}" for j, w in enumerate(reversed(before))],
-            *[f"word+ {word(w)}" for w in after], *[f"{w} {len(t) >= 8} {digits > 0}" for w in whole],
-        ]
-        out.append(np.array([xxhash.xxh32_intdigest(n) % FEATURES for n in names], np.int32))
-    return spans, out
+WHITE, SMALL, CAPITAL, DIGIT, LETTER, LINE, SIGN = range(7)
+# Letters of the pairs: 26, digits, the underscore, five classes of other letters, signs; the last is the edge of a token.
+PAIR_LETTERS = 35
+ASSIGNED = 0x32400
+
+
+def code_point_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point its kind, its letter of the pairs, and its lower case."""
+    kinds, letters = np.full(0x110000, SIGN, np.uint8), np.full(0x110000, 33, np.uint8)
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c in range(ASSIGNED):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "L":
+            kinds[c] = {"Lu": CAPITAL, "Ll": SMALL}.get(kind, LETTER)
+            low = ord(chr(c).lower()[0])
+            lower[c] = low
+            letters[c] = low - 97 if 97 <= low < 123 else 28 + low % 5
+        elif kind[0] == "N":
+            kinds[c], letters[c] = DIGIT, 26
+    kinds[list(WHITE_SPACE)] = WHITE
+    kinds[ord("_")], letters[ord("_")] = LINE, 27
+    return kinds, letters, lower
+
+
+class Tokens:
+    """The tokens of some texts as arrays: runs of letters, digits and underscores, and runs of one sign."""
+
+    TABLES: list = []
+    POWERS: list = []
+
+    def __init__(self, texts: list[str]) -> None:
+        if not self.TABLES:
+            self.TABLES.extend(code_point_tables())
+        kinds, letters, lower = self.TABLES
+        joined = "\n".join(texts) + "\n"
+        self.begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.points, self.kind, self.letter = points, kinds[points], letters[points]
+        kind = self.kind
+        solid, sign = kind != WHITE, kind == SIGN
+        before = np.append(True, ~solid[:-1])
+        same = np.append(False, (sign[1:] == sign[:-1]) & (~sign[1:] | (points[1:] == points[:-1])))
+        opens = solid & (before | ~same)
+        self.start = np.flatnonzero(opens)
+        self.end = np.flatnonzero(solid & (np.append(~solid[1:], True) | np.append(opens[1:], True))) + 1
+        self.chunk = np.cumsum(solid & before)[self.start] - 1
+        self.text = np.searchsorted(self.begins, self.start, side="right") - 1
+        self.size = self.end - self.start
+        # A hash of the first twelve letters in lower case, by sums over the whole batch.
+        while len(self.POWERS) < 2:
+            self.POWERS.append(np.ones(1, np.uint64))
+        if len(self.POWERS[0]) <= len(points):
+            for k, base in enumerate((0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64))):
+                grown = np.full(len(points) + 1, base, np.uint64)
+                grown[0] = 1
+                self.POWERS[k] = np.multiply.accumulate(grown)
+        up, down = self.POWERS
+        sums = np.append(np.uint64(0), np.cumsum((lower[points].astype(np.uint64) + np.uint64(1)) * up[: len(points)]))
+        mixed = (sums[np.minimum(self.end, self.start + 12)] - sums[self.start]) * down[self.start]
+        self.name = ((mixed * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(52)).astype(np.int64)
+
+    def count(self, of: np.ndarray) -> np.ndarray:
+        """How many characters of each token are marked."""
+        sums = np.append(0, np.cumsum(of, dtype=np.int64))
+        return sums[self.end] - sums[self.start]
+
+    def pairs(self) -> np.ndarray:
+        """The pair of letters that begins at each character but the last."""
+        return self.letter[:-1].astype(np.int64) * PAIR_LETTERS + self.letter[1:]
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """How often each pair of letters stands in the words of some texts."""
+    made = Tokens(texts)
+    word = (made.kind[:-1] != WHITE) & (made.kind[1:] != WHITE) & (made.kind[:-1] != SIGN) & (made.kind[1:] != SIGN)
+    return np.bincount(made.pairs()[word], minlength=PAIR_LETTERS**2)
+
+
+def surprise(counts: np.ndarray) -> np.ndarray:
+    """For each pair how unusual its second letter is after the first, in bits."""
+    table = counts.reshape(PAIR_LETTERS, PAIR_LETTERS) + 0.5
+    return (-np.log2(table / table.sum(1, keepdims=True))).ravel()
+
+
+# Numbers of values of the feature templates, in order; names of tokens have 4,096.
+TEMPLATES = (1, 24 * 16, 8 * 8, 16 * 8, 8 * 8, 4096, 4096, 4096, 4096, 4096, 32, 16 * 8 * 2, 24 * 16, 24 * 4, 8 * 4, 8 * 4)
+BASES = np.cumsum((0, *TEMPLATES))
+FEATURES = int(BASES[-1])
+
+
+def _log_size(n: np.ndarray, top: int) -> np.ndarray:
+    """Lengths in up to ``top`` classes, two to each doubling."""
+    return np.minimum((2 * np.log2(np.maximum(n, 1))).astype(np.int64), top - 1)
+
+
+def features(t: Tokens, unusual: np.ndarray) -> np.ndarray:
+    """The features of every token: one value of each template."""
+    n = len(t.start)
+    if not n:
+        return np.zeros((0, len(TEMPLATES)), np.int32)
+    counts = {k: t.count(t.kind == k) for k in (SMALL, CAPITAL, DIGIT, LETTER, SIGN)}
+    letters = counts[SMALL] + counts[CAPITAL] + counts[LETTER]
+    has = [(c > 0).astype(np.int64) for c in (counts[SMALL], counts[CAPITAL], counts[DIGIT], counts[LETTER] + counts[SIGN])]
+    look = has[0] + 2 * has[1] + 4 * has[2] + 8 * has[3]
+    size, short = np.minimum(t.size, 23), _log_size(t.size, 16) // 2
+    changes = np.append(0, np.cumsum(np.append(False, t.kind[1:] != t.kind[:-1]), dtype=np.int64))
+    changes = changes[t.end] - changes[t.start + 1]
+    bits = np.append(0.0, np.cumsum(np.append(unusual[t.pairs()], 0.0)))
+    mean = (bits[t.end - 1] - bits[t.start]) / np.maximum(t.size - 1, 1)
+    odd = np.clip((mean * 2).astype(np.int64), 0, 15)
+    at = np.arange(n)
+    known = np.where(sign_or_short(t, letters), t.name, 0)
+
+    def beside(step: int, value: np.ndarray) -> np.ndarray:
+        j = at + step
+        inside = (j >= 0) & (j < n)
+        j = np.clip(j, 0, n - 1)
+        return np.where(inside & (t.text[j] == t.text), value[j], 0)
+
+    # The last word before a token, past signs and other tokens.
+    word = (letters == t.size) & (t.size > 1)
+    last = np.maximum.accumulate(np.where(word, at, -1))
+    last = np.append(-1, last[:-1])
+    near = (last >= 0) & (at - last <= 4) & (t.text[last] == t.text)
+    first = np.append(True, t.chunk[1:] != t.chunk[:-1])
+    opens = np.flatnonzero(first)
+    tokens = np.diff(np.append(opens, n))
+    begin, close = t.start[opens], t.end[np.append(opens[1:] - 1, n - 1)]
+    length = np.repeat(_log_size(close - begin, 16), tokens)
+    many = np.repeat(np.minimum(tokens, 8) - 1, tokens)
+    # The whole text: its length, and its shares of digits and signs.
+    ends = np.append(t.begins[1:], len(t.points))
+    total = np.maximum(ends - t.begins, 1)
+    digits = np.add.reduceat((t.kind == DIGIT).astype(np.int64), t.begins) * 20 // total
+    signs = np.add.reduceat((t.kind == SIGN).astype(np.int64), t.begins) * 20 // total
+    own = (t.size >= 12) + 2 * has[2]
+    values = (
+        np.zeros(n, np.int64), size * 16 + look, np.minimum(changes, 7) * 8 + short, odd * 8 + short,
+        (8 * counts[DIGIT] // (t.size + 1)) * 8 + short, known, beside(-1, known), beside(-2, known), beside(1, known),
+        np.where(near, t.name[last], 0), np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), 15) * 2 + first,
+        (length * 8 + many) * 2 + has[2], beside(-1, size * 16 + look),
+        np.minimum(np.log2(total).astype(np.int64), 23)[t.text] * 4 + own,
+        np.minimum(digits, 7)[t.text] * 4 + own, np.minimum(signs, 7)[t.text] * 4 + own,
+    )
+    return np.stack([v + b for v, b in zip(values, BASES)], axis=1).astype(np.int32)
+
+
+def sign_or_short(t: Tokens, letters: np.ndarray) -> np.ndarray:
+    """Tokens that are known by name: signs, and words of up to twelve letters."""
+    return (letters == t.size) & (t.size <= 12) | (t.kind[t.start] == SIGN)
 
 
 @dataclass
 class Field:
-    """Weights of a linear-chain field over the three tags."""
+    """Weights of a linear-chain field over the three tags, and how unusual pairs of letters are."""
 
     emit: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, 3)))
     step: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
+    unusual: np.ndarray = field(default_factory=lambda: surprise(np.zeros(PAIR_LETTERS**2)))
     trained: bool = False
 
     # Nothing is inside that does not follow a beginning or an inside.
     BARRED = np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]], float)
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.emit[r].sum(0) for r in rows])
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """The scores of each token's tags."""
+        out = np.zeros((*rows.shape[:-1], 3))
+        for k in range(rows.shape[-1]):
+            out += self.emit[rows[..., k]]
+        return out
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
         """The best tags of a chain that is preceded and followed by outside."""
@@ -153,33 +254,43 @@ class Field:
             tags.append(tag)
         return tags[::-1]
 
-    def learn(self, chains: list[tuple[list[np.ndarray], list[int]]]) -> None:
+    def open_chunks(self, scores: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """The chunks in which a beginning may win: the gains of all tokens, with the best steps, are not negative in sum."""
+        steps = self.step + self.BARRED
+        rest = steps[OUTSIDE, OUTSIDE]
+        gain = scores[:, BEGIN:].max(1) - scores[:, OUTSIDE] + steps[1:, 1:].max() - rest
+        ends = steps[OUTSIDE, BEGIN] + steps[BEGIN:, OUTSIDE].max() - rest - steps[1:, 1:].max()
+        # Several secrets in a chunk each pay for their ends, which costs nothing only if that is a gain itself.
+        each = np.maximum(gain + max(ends, 0.0), 0.0)
+        return np.flatnonzero(np.add.reduceat(each, opens) + min(ends, 0.0) > -1e-9) if len(opens) else opens
+
+    def learn(self, chains: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Maximise the likelihood of tagged chains by AdaGrad; chains of one length are a batch."""
         rng = np.random.default_rng(SEED)
-        by_length: dict[tuple[int, int], list[int]] = {}
+        by_length: dict[int, list[int]] = {}
         for i, (rows, _) in enumerate(chains):
-            by_length.setdefault((len(rows), 0), []).append(i)
+            by_length.setdefault(len(rows), []).append(i)
+        groups = [(np.stack([chains[i][0] for i in ids]), np.stack([chains[i][1] for i in ids])) for ids in by_length.values()]
         seen_emit, seen_step = np.full_like(self.emit, 1e-6), np.full_like(self.step, 1e-6)
         for _ in range(EPOCHS):
             batches = []
-            for ids in by_length.values():
-                order = rng.permutation(ids)
-                batches += [order[k : k + 64] for k in range(0, len(order), 64)]
+            for g, (rows, _) in enumerate(groups):
+                order = rng.permutation(len(rows))
+                batches += [(g, order[k : k + CHAINS]) for k in range(0, len(order), CHAINS)]
             for k in rng.permutation(len(batches)):
-                batch = [chains[i] for i in batches[k]]
-                emit, step = self._slopes(batch)
-                cells = np.flatnonzero(emit.any(1))
-                g = emit[cells] + 1e-4 * self.emit[cells]
-                seen_emit[cells] += g * g
-                self.emit[cells] -= 0.2 * g / np.sqrt(seen_emit[cells])
+                g, ids = batches[k]
+                emit, step = self._slopes(groups[g][0][ids], groups[g][1][ids])
+                emit += 1e-3 * self.emit
+                seen_emit += emit * emit
+                self.emit -= 0.2 * emit / np.sqrt(seen_emit)
                 seen_step += step * step
                 self.step -= 0.2 * step / np.sqrt(seen_step)
         self.trained = True
 
-    def _slopes(self, batch: list[tuple[list[np.ndarray], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    def _slopes(self, rows: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected less observed counts, by the forward-backward sums of chains of equal length."""
-        n, length = len(batch), len(batch[0][0])
-        s = np.array([self.scores(rows) for rows, _ in batch])
+        n, length = tags.shape
+        s = self.scores(rows)
         steps = self.step + self.BARRED
         forward, backward = np.zeros((length, n, 3)), np.zeros((length, n, 3))
         forward[0] = steps[OUTSIDE] + s[:, 0]
@@ -190,8 +301,7 @@ class Field:
             backward[t] = np.logaddexp.reduce(steps + (s[:, t + 1] + backward[t + 1])[:, None, :], axis=2)
         total = np.logaddexp.reduce(forward[-1] + backward[-1], axis=1)
         marginal = np.exp(forward + backward - total[:, None])
-        emit, step = np.zeros_like(self.emit), np.zeros_like(self.step)
-        tags = np.array([tags for _, tags in batch])
+        step = np.zeros_like(self.step)
         step[OUTSIDE] += marginal[0].sum(0)
         step[:, OUTSIDE] += marginal[-1].sum(0)
         for t in range(1, length):
@@ -199,212 +309,160 @@ class Field:
             step += np.exp(pair).sum(0)
         path = np.hstack([np.zeros((n, 1), int), tags, np.zeros((n, 1), int)])
         np.subtract.at(step, (path[:, :-1].ravel(), path[:, 1:].ravel()), 1)
-        for i, (rows, own) in enumerate(batch):
-            for t, row in enumerate(rows):
-                off = marginal[t, i].copy()
-                off[own[t]] -= 1
-                np.add.at(emit, row, off)
+        off = marginal.transpose(1, 0, 2).copy()
+        np.put_along_axis(off, tags[:, :, None], np.take_along_axis(off, tags[:, :, None], 2) - 1, 2)
+        flat = rows.reshape(-1, rows.shape[-1])
+        emit = np.stack([
+            np.bincount(flat.ravel(), np.repeat(off[:, :, k].ravel(), flat.shape[1]), FEATURES) for k in range(3)], axis=1)
         return emit, step
 
 
-# Alphabets and beginnings of made-up secrets.
+# Alphabets and beginnings of made-up secrets, and what may stand before them.
 ALPHABETS = (
+    "abcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "abcdefghijklmnopqrstuvwxyz0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=.",
 )
-BEGINNINGS = ("", "", "", "sk_live_", "ghp_", "xoxb-", "eyJ", "AIza")
+BEGINNINGS = ("", "", "", "", "", "xoxb-", "eyJ", "AIza", "pk_test_", "glpat-")
+BEFORE = ("", "", "", "", "credentials: ", "auth=", "key ", "access_key = ", "pin is ", "Basic ", "signature: ", "login ", "'")
 
 
-def made_up(text: str, secret: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """A text in which every secret has another value, the same for the same text."""
-    rng = np.random.default_rng(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+def planted(text: str, seed: int) -> tuple[str, list[tuple[int, int]]]:
+    """A text with made-up secrets at some of its gaps, and where the secrets are; the same for the same text."""
+    rng = np.random.default_rng(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed))
+    gaps = [m.end() for m in re.finditer(r"\s+", text)]
+    if not gaps:
+        return text, []
     out, spans, at, size = [], [], 0, 0
-    for a, b in sorted(secret):
-        if a < at:
-            continue
+    for gap in sorted(set(rng.choice(gaps, min(len(gaps), 1 + len(text) // PER_PLANT)).tolist())):
         letters = ALPHABETS[rng.integers(len(ALPHABETS))]
-        value = "".join(letters[i] for i in rng.integers(len(letters), size=rng.integers(10, 48)))
-        value = BEGINNINGS[rng.integers(len(BEGINNINGS))] + value.strip("-_+/=.") + str(rng.integers(10))
-        if rng.random() < 0.25:
-            value = DIGITS.sub("", value) or "Q"
-        out += [text[at:a], value]
-        size += a - at
+        value = "".join(letters[i] for i in rng.integers(len(letters), size=rng.integers(14, 48)))
+        value = BEGINNINGS[rng.integers(len(BEGINNINGS))] + (value.strip("-_+/=.") or "q")
+        lead = BEFORE[rng.integers(len(BEFORE))]
+        out += [text[at:gap], lead, value, " "]
+        size += gap - at + len(lead)
         spans.append((size, size + len(value)))
-        size += len(value)
-        at = b
+        size += len(value) + 1
+        at = gap
     return "".join(out) + text[at:], spans
 
 
-def chains_of(text: str, plain: float = 1.0) -> list[tuple[list[np.ndarray], list[int]]]:
-    """Training chains of a text, tagged by the base patterns, and those of its secrets with made-up values.
+def chains_of(texts: list[str], unusual: np.ndarray, plain: float = 1.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Training chains of some texts, tagged by the base patterns, and of the same texts with made-up secrets.
 
-    ``plain`` is the share of the chunks without digit or secret that are taken.
+    ``plain`` is the share of the chunks of words without digit or secret that are taken, the first time.
     """
-    secret = secret_values(text)
-    out = _tagged(text, secret, len(text), plain)
-    if secret:
-        for turn in (0, 1):
-            other, spans = made_up(text + " " * turn, secret)
-            out += [c for c in _tagged(other, spans, turn, 0.0) if BEGIN in c[1]]
-    return out
-
+    for turn, part in ((0, [(x, secret_values(x)) for x in texts]), (1, [planted(x, SEED) for x in texts])):
+        if not part:
+            continue
+        t = Tokens([x for x, _ in part])
+        rows = features(t, unusual)
+        tags = np.zeros(len(rows), np.int64)
+        for k, (x, found) in enumerate(part):
+            known = found if not turn else found + secret_values(x)
+            for a, b in known:
+                own = slice(*np.searchsorted(t.start, (t.begins[k] + a, t.begins[k] + b)))
+                inside = np.flatnonzero(t.end[own] <= t.begins[k] + b) + own.start
+                tags[inside] = INSIDE
+                tags[inside[:1]] = BEGIN
+        if not len(rows):
+            continue
+        opens = np.flatnonzero(np.append(True, t.chunk[1:] != t.chunk[:-1]))
+        close = np.append(opens[1:], len(rows))
+        secret = np.add.reduceat(tags, opens) > 0
+        strange = np.add.reduceat(t.count(t.kind == DIGIT) + (t.size > 12), opens) > 0
+        share = (t.name[opens] * 2654435761 + t.start[opens] * 40503) % 65536 < plain * 65536
+        take = secret | share | strange if not turn else secret
+        for a, b in zip(opens[take].tolist(), close[take].tolist()):
+            for j in range(a, b, LONGEST):
+                if tags[j] != INSIDE:
+                    end = min(b, j + LONGEST)
+                    yield rows[j:end], tags[j:end]
+
+
+def count_pairs(docs: DataFrame) -> np.ndarray:
+    """The pairs of letters in all texts: one sum per pair and task."""
 
-def _tagged(
-    text: str, secret: list[tuple[int, int]], turn: int, plain: float
-) -> list[tuple[list[np.ndarray], list[int]]]:
-    whole = text_features(text)
-    out = []
-    for k, (start, end) in enumerate(chunks(text)):
-        if plain < 1 and not DIGITS.search(text, start, end) and not any(a < end and start < b for a, b in secret):
-            if xxhash.xxh32_intdigest(f"{k} {text[start:end]}".encode("utf-8", "surrogatepass"), turn % 2**32) >= plain * 2**32:
-                continue
-        spans, rows = token_features(text, start, min(end, start + 4096), whole, hidden=(k + turn) % 2 == 0)
-        tags = [OUTSIDE] * len(spans)
-        for a, b in secret:
-            own = [j for j, (x, y) in enumerate(spans) if a <= x and y <= b]
-            for j in own:
-                tags[j] = BEGIN if j == own[0] else INSIDE
-        for j in range(0, len(rows), PIECE):
-            if tags[j] != INSIDE:
-                out.append((rows[j : j + PIECE], tags[j : j + PIECE]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PAIR_LETTERS**2, np.int64)
+        for batch in batches:
+            for part in chunks(_texts(batch.column(0))):
+                total += pair_counts(part)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+    out = np.zeros(PAIR_LETTERS**2)
+    rows = docs.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    for r in rows.collect():
+        out[r["pair"]] = r["n"]
     return out
 
 
-def train(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> Field:
-    """A field trained on a sample of the texts; only the features of its training chains reach the driver."""
-    n = docs.count()
-    share = int(min(1.0, fit_texts / max(n, 1)) * 1_000_000)
-    key = F.xxhash64("doc_id", F.length("text"))
-    sample = docs.withColumn("key", key).filter(F.pmod("key", F.lit(1_000_000)) < share)
-    sample = sample.orderBy("key").limit(2 * fit_texts)
+def train(docs: DataFrame, fit_chars: int = FIT_CHARS) -> Field:
+    """A field trained on a sample of the pieces of all texts; only their chains reach the driver, as packed numbers."""
+    unusual = surprise(count_pairs(docs))
+    chars = docs.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
+    share = min(1.0, fit_chars / max(chars, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, key in zip(_texts(batch.column(0)), batch.column(1).to_pylist()):
-                for j, (rows, tags) in enumerate(chains_of(text, FIT_PLAIN)):
-                    flat = np.concatenate(rows)
-                    sizes = np.array([len(r) for r in rows])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key]), pa.array([j]), *[pa.array([x.tolist()], pa.list_(pa.int32())) for x in
-                                                           (flat, sizes, np.array(tags))]],
-                        names=["key", "chain", "features", "sizes", "tags"],
-                    )
-
-    schema = "key bigint, chain bigint, features array<int>, sizes array<int>, tags array<int>"
+            for text in _texts(batch.column(0)):
+                for a in range(0, len(text), PIECE):
+                    piece = text[a : a + PIECE]
+                    key = xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), a)
+                    if key < share * 2**64:
+                        found = list(chains_of([piece], unusual, FIT_PLAIN))
+                        if found:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([np.uint64(key).view(np.int64)]),
+                                 pa.array([np.concatenate([r for r, _ in found]).astype(np.int32).tobytes()], pa.binary()),
+                                 pa.array([np.concatenate([g for _, g in found]).astype(np.uint8).tobytes()], pa.binary()),
+                                 pa.array([np.array([len(g) for _, g in found], np.uint8).tobytes()], pa.binary())],
+                                names=["key", "features", "tags", "sizes"],
+                            )
+
+    # Equal pieces have equal chains, and say no more together than one.
+    rows = docs.select("text").mapInArrow(run, "key bigint, features binary, tags binary, sizes binary").dropDuplicates(["key"])
     chains = []
-    rows = sample.select("text", "key").mapInArrow(run, schema).collect()
-    for r in sorted(rows, key=lambda r: (r["key"], r["chain"], r["features"])):
-        cells = np.split(np.array(r["features"], np.int32), np.cumsum(r["sizes"])[:-1])
-        chains.append((cells, list(r["tags"])))
-    made = Field()
+    for r in sorted(rows.collect(), key=lambda r: r["key"]):
+        cells = np.frombuffer(r["features"], np.int32).reshape(-1, len(TEMPLATES))
+        tags = np.frombuffer(r["tags"], np.uint8).astype(np.int64)
+        cuts = np.cumsum(np.frombuffer(r["sizes"], np.uint8))[:-1]
+        chains += zip(np.split(cells, cuts), np.split(tags, cuts))
+    made = Field(unusual=unusual)
     if any(BEGIN in tags for _, tags in chains):
         made.learn(chains)
     return made
 
 
-class Bound:
-    """Proves for chunks that no beginning can win, from what their own text and each neighbour add at most.
-
-    A chunk's own features do not depend on its neighbours, so that its best path with a beginning, against all outside,
-    is cached by its text; the words around it and the whole text add to every token at most their best gain.
-    """
-
-    def __init__(self, model: Field) -> None:
-        self.model = model
-        self.own: dict[str, tuple[float, int]] = {}
-        self.kinds: dict[tuple, list[np.ndarray]] = {}
-        self.steps = steps = model.step + model.BARRED
-        self.alone = float(steps[OUTSIDE, BEGIN] + steps[BEGIN, OUTSIDE] - 2 * steps[OUTSIDE, OUTSIDE])
-        self.gains = (model.emit[:, [BEGIN, INSIDE]].max(1) - model.emit[:, OUTSIDE]).tolist()
-        self.word: tuple[dict[str, float], ...] = ({}, {}, {})
-
-    def _sum(self, names: tuple[str, ...]) -> np.ndarray:
-        return self.model.emit[[xxhash.xxh32_intdigest(n) % FEATURES for n in names]].sum(0)
-
-    @staticmethod
-    def _letters(word: str) -> tuple[str, str, str]:
-        """The features of a word that depend on its letters."""
-        distinct = f"distinct {int(8 * len(set(word)) / len(word))} {min(len(word) // 8, 4)}"
-        return f"word {word.lower()[:12]}", f"start {word[:4]}", distinct
-
-    def _gain(self, name: str) -> float:
-        return self.gains[xxhash.xxh32_intdigest(name) % FEATURES]
-
-    def whole(self, names: list[str]) -> float:
-        """The most that features of the whole text add to a token."""
-        kinds = [(a, b) for a in (False, True) for b in (False, True)]
-        return max(sum(self._gain(f"{w} {a} {b}") for w in names) for a, b in kinds)
-
-    def near(self, place: int, word: str) -> float:
-        """What a neighbour adds: of the word before, the one before that, or the one after."""
-        cache = self.word[place]
-        found = cache.get(word)
-        if found is None:
-            if len(cache) >= CACHED:
-                cache.clear()
-            seen = word.lower()[:12] if word.isalpha() else shape(word)
-            found = cache[word] = self._gain(f"{('word-0', 'word-1', 'word+')[place]} {seen}")
-        return found
-
-    def chunk(self, text: str) -> tuple[float, int]:
-        """The best gain of a chunk by itself, and its tokens."""
-        found = self.own.get(text)
-        if found is None:
-            if len(self.own) >= CACHED:
-                self.own.clear()
-            core = text if text.isalpha() else text[:-1]
-            if len(text) <= 64 and core.isalpha() and (core is text or text[-1] in ",.;:!?)\"'"):
-                # A word of letters, with a sign or none after it: what does not depend on its letters is cached by its kind.
-                case = "a" if core.isascii() and core.islower() else (shape(core), core.lower() != core, core.upper() != core)
-                kind = case, len(core), text[len(core) :]
-                parts = self._letters(core), (f"before {core.lower()[:12]}", f"before2 - {core.lower()[:12]}")
-                s = self.kinds.get(kind)
-                if s is None:
-                    rows = token_features(text, 0, len(text), [])[1]
-                    s = self.kinds[kind] = [self.model.emit[r].sum(0) - self._sum(p) for r, p in zip(rows, parts)]
-                s = [x + self._sum(p) for x, p in zip(s, parts)]
-            else:
-                s = self.model.scores(token_features(text, 0, len(text), [])[1])
-            if len(s) == 1:
-                found = self.own[text] = float(s[0][BEGIN] - s[0][OUTSIDE]) + self.alone, 1
-                return found
-            steps = self.steps
-            # Best sums of paths still outside everywhere, and of those with a beginning, by their last tag.
-            out, other = steps[OUTSIDE, OUTSIDE] + s[0][OUTSIDE], np.full(3, -np.inf)
-            other[BEGIN] = steps[OUTSIDE, BEGIN] + s[0][BEGIN]
-            for row in s[1:]:
-                after = (other[:, None] + steps).max(0)
-                after[BEGIN] = max(after[BEGIN], out + steps[OUTSIDE, BEGIN])
-                out, other = out + steps[OUTSIDE, OUTSIDE] + row[OUTSIDE], after + row
-            found = float((other + steps[:, OUTSIDE]).max() - out - steps[OUTSIDE, OUTSIDE]), len(s)
-            self.own[text] = found
-        return found
-
-    def open(self, text: str) -> Iterator[tuple[int, int]]:
-        """The chunks in which a beginning may win."""
-        found = list(chunks(text))
-        if not found:
-            return
-        whole = self.whole(text_features(text))
-        words = [text[a:b] for a, b in found]
-        for k, (start, end) in enumerate(found):
-            # Longer neighbours are seen in part only, so that such chunks are always decoded.
-            if (k and start - found[max(k - 2, 0)][0] > 64) or (k + 1 < len(found) and found[k + 1][1] - end > 48):
-                yield start, end
+def field_spans(texts: list[str], model: Field) -> list[list[tuple[int, int]]]:
+    """The spans that the field tags in each text."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    t = Tokens(texts)
+    if not model.trained or not len(t.start):
+        return out
+    scores = model.scores(features(t, model.unusual))
+    opens = np.flatnonzero(np.append(True, t.chunk[1:] != t.chunk[:-1]))
+    close = np.append(opens[1:], len(t.start))
+    for c in model.open_chunks(scores, opens).tolist():
+        a, b = int(opens[c]), int(close[c])
+        tags = model.viterbi(scores[a:b])
+        k = 0
+        while k < len(tags):
+            if tags[k] == OUTSIDE:
+                k += 1
                 continue
-            own, n = self.chunk(words[k])
-            more = whole
-            if k:
-                more += self.near(0, words[k - 1])
-            if k > 1:
-                more += self.near(1, words[k - 2])
-            if k + 1 < len(found):
-                more += self.near(2, words[k + 1])
-            if own + n * max(more, 0.0) > -1e-6 and (n > 1 or own + more > -1e-6):
-                yield start, end
+            first = k
+            k += 1
+            while k < len(tags) and tags[k] == INSIDE:
+                k += 1
+            row, begin = int(t.text[a]), int(t.begins[t.text[a]])
+            out[row].append((int(t.start[a + first]) - begin, int(t.end[a + k - 1]) - begin))
+    return out
 
 
 def _outside(start: int, end: int, spans: list[Span]) -> Iterator[tuple[int, int]]:
@@ -418,30 +476,20 @@ def _outside(start: int, end: int, spans: list[Span]) -> Iterator[tuple[int, int
         yield start, end
 
 
-def scan(text: str, model: Field, bound: Bound | None = None) -> list[Span]:
-    """All spans of a text, by start and kind: the base spans, and of those of the field what is outside of them.
+def scan_all(texts: list[str], model: Field) -> list[list[Span]]:
+    """All spans of each text, by start and kind: the base spans, and of those of the field what is outside of them."""
+    out = []
+    for part in chunks(texts):
+        for text, more in zip(part, field_spans(part, model)):
+            base = base_spans(text)
+            found = base + [(x, y, "crf") for a, b in more for x, y in _outside(a, b, base)]
+            out.append(sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
+    return out
+
 
-    ``bound`` is one of the model, to share its caches among texts; it changes no result.
-    """
-    base = base_spans(text)
-    found = list(base)
-    if model.trained:
-        whole = None
-        for start, end in (bound or Bound(model)).open(text):
-            whole = whole or text_features(text)
-            spans, rows = token_features(text, start, end, whole)
-            tags = model.viterbi(model.scores(rows))
-            k = 0
-            while k < len(tags):
-                if tags[k] == OUTSIDE:
-                    k += 1
-                    continue
-                a = k
-                k += 1
-                while k < len(tags) and tags[k] == INSIDE:
-                    k += 1
-                found += [(x, y, "crf") for x, y in _outside(spans[a][0], spans[k - 1][1], base)]
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+def scan(text: str, model: Field) -> list[Span]:
+    """All spans of one text."""
+    return scan_all([text], model)[0]
 
 
 def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
@@ -454,21 +502,20 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     return "".join(out) + text[at:]
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_texts: int = FIT_TEXTS) -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_chars: int = FIT_CHARS) -> DataFrame:
     """``(doc_id, spans, redacted)``: spans as an array of (start, end, kind), and the text without its secrets."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shipped = docs.sparkSession.sparkContext.broadcast(train(docs, fit_texts))
+    shipped = docs.sparkSession.sparkContext.broadcast(train(docs, fit_chars))
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        bound = Bound(model)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = list(_texts(part.column(1)))
-                found = [scan(t, model, bound) for t in texts]
+                found = scan_all(texts, model)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -482,21 +529,20 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     return docs.mapInArrow(run, schema)
 
 
-def redact_documents(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
+def redact_documents(docs: DataFrame, fit_chars: int = FIT_CHARS) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``text``) with secrets replaced in the texts, and ``n_chars``, if any, set anew.
 
-    A null text becomes an empty one.
+    A null text becomes an empty one; repeated rows stay as many; an empty table stays empty; other columns stay as they are.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), fit_texts))
+    shipped = docs.sparkSession.sparkContext.broadcast(train(docs.select("text"), fit_chars))
     names = docs.columns
 
     def each():
         model = shipped.value
-        bound = Bound(model)
 
         def change(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
             columns = list(batch.columns)
-            clean = [redact(t, scan(t, model, bound)) for t in texts]
+            clean = [redact(t, f) for t, f in zip(texts, scan_all(texts, model))]
             columns[names.index("text")] = pa.array(clean, batch.schema.field("text").type)
             if "n_chars" in names:
                 columns[names.index("n_chars")] = pa.array(map(len, clean), batch.schema.field("n_chars").type)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpusmap.llm import near_dup
+from corpusmap.llm import near_copies, near_dup
+from corpusmap.scratch import Tables
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -62,3 +63,33 @@ def test_components_equal_all_pairs(spark, similarity):
     rows = near_dup.filter_documents(
         spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3), shingle=5, similarity=similarity)
     assert sorted(r["doc_id"] for r in rows.collect()) == stay(docs, similarity)
+
+
+def test_shared_passages_do_not_become_verified_pairs(spark, monkeypatch):
+    """Texts of 8 of 30 passages: none are near copies, though every two share much; a passage's texts are cut into blocks."""
+    monkeypatch.setattr(near_copies, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    passages = [" ".join(rng.choice(WORDS, 30)) for _ in range(30)]
+    texts = {i: " ".join(passages[k] for k in rng.choice(30, 8, replace=False)) for i in range(400)}
+    texts |= {1000 + i: texts[i] + " and more" for i in range(0, 400, 20)}
+    saved = {}
+    save = Tables.save
+
+    def watch(self, df, name):
+        saved[name] = save(self, df, name)
+        return saved[name]
+
+    monkeypatch.setattr(Tables, "save", watch)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    rows = near_dup.filter_documents(docs, shingle=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in rows.collect()) == stay(texts, 0.8)
+    assert saved["rest_bounded"].count() + saved["star_bounded"].count() < 20 * len(texts)
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 400))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        assert both <= near_copies.most_shared(len(a), near_copies.sketch(a), len(b), near_copies.sketch(b)) <= min(len(a), len(b))
