@@ -158,8 +158,8 @@ def _square_links(core: DataFrame, eps: float, side: float, tables: Tables) -> D
     return linked.unionByName(met.filter(_near("p", "q", eps)).select(*keys).distinct())
 
 
-def hdbscan(points: DataFrame, min_cluster_size: int = 5, min_samples: int | None = None, levels: int = 32) -> DataFrame:
+def hdbscan(points: DataFrame, min_cluster_size: int = 5, min_samples: int | None = None) -> DataFrame:
     """Density clusters ``(id, cluster)`` of points ``(id, x, y)``, noise -1; see ``operators.hierarchy``."""
     from corpusmap.operators.hierarchy import hierarchical_labels
 
-    return cluster_numbers(hierarchical_labels(points, min_cluster_size, min_samples, levels))
+    return cluster_numbers(hierarchical_labels(points, min_cluster_size, min_samples))

@@ -1,8 +1,9 @@
 """Density clusters of varying density, from a spanning tree of mutual reachability.
 
-The tree is exact: in every round each component finds its lightest edge to another one, through metric
-cells. The hierarchy over it is cut at a fixed number of distances, the quantiles of the tree's edges, so
-splits closer together than two cuts are seen as one. Equal points are one location with a mass.
+The spanning tree is exact: in every round each component finds its lightest edge to another one, through metric
+cells. So is the hierarchy over it, which has a level for every edge weight: the tree is halved at median weights,
+what the lighter half connects being vertices of the heavier one, until the parts are small enough for a task to merge
+them in order. Equal points are one location with a mass.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from corpusmap.operators.knn import knn
 from corpusmap.operators.rank import with_position
 from corpusmap.scratch import Tables
 
+# Edges of a spanning tree that one task merges.
+PROBLEM = 100_000
+
 
 def hierarchical_labels(
-    points: DataFrame, min_cluster_size: int = 5, min_samples: int | None = None, levels: int = 32
+    points: DataFrame, min_cluster_size: int = 5, min_samples: int | None = None
 ) -> DataFrame:
     """``(id, label)`` of points ``(id, x, y)``; the label is null for noise."""
     if min_cluster_size < 2:
@@ -46,7 +50,7 @@ def hierarchical_labels(
     if locations.count() < 2:
         return named.select("id", F.lit(None).cast("bigint").alias("label"))
     tree = spanning_tree(locations, tables)
-    chosen = _extract(locations, tree, min_cluster_size, levels, tables)
+    chosen = _extract(locations, tree, min_cluster_size, tables)
     by_place = groups.members.withColumnRenamed("id", "idx").join(chosen.withColumnRenamed("id", "rep"), "rep")
     return named.join(by_place.select("idx", "label"), "idx", "left").select("id", "label")
 
@@ -161,110 +165,238 @@ def _foreign_kernel(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table(dict(zip(names, (comp[first], other[first], w[first], a[first], b[first]))))
 
 
-def _level_of(col: Column, cuts: list[float]) -> Column:
-    """The first cut at or above a distance."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < col))
+def _halved(edges: DataFrame, vertices: DataFrame, n: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Problems ``(problem, a, b, w, eid)`` and ``(problem, v, mass)`` of at most ``PROBLEM`` edges, or of one weight.
+
+    A larger problem is cut at its median weight. What its lighter edges connect becomes a problem of its own and one
+    vertex of the rest, so that each edge is in one problem, and all of a round's problems are cut at once. The vertex
+    that stands for a problem has its number. Vertices from ``n`` on stand for problems.
+    """
+    for i in count():
+        sizes = edges.groupBy("problem").agg(F.count("*").alias("m"), F.min("w").alias("low"), F.max("w").alias("high"))
+        large = tables.save(sizes.filter((F.col("m") > PROBLEM) & (F.col("low") < F.col("high"))), f"large{i}")
+        if large.isEmpty():
+            return edges, vertices
+        inside = edges.join(large, "problem")
+        middle = inside.groupBy("problem").agg(
+            F.percentile_approx("w", 0.5).alias("w"), F.max("high").alias("high"),
+            F.max(F.when(F.col("w") < F.col("high"), F.col("w"))).alias("below"))
+        pivots = tables.save(middle.select("problem", F.least("w", "below").alias("pivot")), f"pivots{i}")
+        light = tables.save(inside.join(pivots, "problem").filter(F.col("w") <= F.col("pivot")).select(edges.columns), f"light{i}")
+        ends = light.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        links = light.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        # Numbers of this round follow all earlier ones.
+        named = connected_components(ends, links).select(F.col("id").alias("v"), (F.col("component") + n * 2**i).alias("to"))
+        named = tables.save(named, f"named{i}")
+        moved = vertices.join(named, "v", "left")
+        inner = moved.filter(F.col("to").isNotNull())
+        rest = moved.filter(F.col("to").isNull()).select("problem", "v", "mass")
+        outer = inner.groupBy("problem", "to").agg(F.sum("mass").alias("mass"))
+        vertices = tables.save(
+            rest.unionByName(inner.select(F.col("to").alias("problem"), "v", "mass"))
+            .unionByName(outer.select("problem", F.col("to").alias("v"), "mass")), f"vertices{i}")
+        lower = light.join(named.withColumnRenamed("v", "a"), "a").select(F.col("to").alias("problem"), "a", "b", "w", "eid")
+        upper = edges.join(light.select("eid"), "eid", "left_anti")
+        for end in ("a", "b"):
+            upper = upper.join(named.withColumnRenamed("v", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        edges = tables.save(lower.unionByName(upper.select(lower.columns)), f"edges{i}")
+
+
+MERGES = "problem bigint, item bigint, is_node boolean, w double, size bigint, parent bigint"
+
+
+def _merge_kernel(edges: pa.Table, vertices: pa.Table) -> pa.Table:
+    """The merges of one problem, edges of one weight at once: every vertex and merge with the merge above it."""
+    a, b, w, eid = (edges.column(c).to_numpy() for c in ("a", "b", "w", "eid"))
+    names, mass = vertices.column("v").to_numpy(), vertices.column("mass").to_numpy()
+    order = np.argsort(names)
+    names, size = names[order], mass[order].tolist()
+    a, b = np.searchsorted(names, a).tolist(), np.searchsorted(names, b).tolist()
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    # For each set its items without a parent yet.
+    tops: list[list[int]] = [[k] for k in range(len(names))]
+    items, weights, sizes = names.tolist(), [None] * len(names), list(size)
+    parents: list[int | None] = [None] * len(names)
+    rank = np.lexsort((eid, w)).tolist()
+    k = 0
+    while k < len(rank):
+        weight, touched = w[rank[k]], {}
+        while k < len(rank) and w[rank[k]] == weight:
+            e = rank[k]
+            x, y = find(a[e]), find(b[e])
+            if len(tops[x]) < len(tops[y]):
+                x, y = y, x
+            root[y] = x
+            tops[x] += tops[y]
+            tops[y] = []
+            size[x] += size[y]
+            touched.pop(y, None)
+            touched.setdefault(x, int(eid[e]))
+            k += 1
+        for x, first in touched.items():
+            for t in tops[x]:
+                parents[t] = -2 - first
+            tops[x] = [len(items)]
+            items.append(-2 - first)
+            weights.append(float(weight))
+            sizes.append(size[x])
+            parents.append(None)
+    problem = (edges if edges.num_rows else vertices).column("problem")[0].as_py()
+    return pa.table({
+        "problem": pa.array([problem] * len(items), pa.int64()), "item": pa.array(items, pa.int64()),
+        "is_node": pa.array([i < -1 for i in items]), "w": pa.array(weights, pa.float64()),
+        "size": pa.array(sizes, pa.int64()), "parent": pa.array(parents, pa.int64()),
+    })
+
+
+def merge_tree(locations: DataFrame, tree: DataFrame, tables: Tables) -> DataFrame:
+    """``(item, is_node, w, size, parent)``: every merge of a spanning tree, each location, and the merge above it.
+
+    Locations ``(id, mass, core)`` keep their ids, with their core distance as the weight; merges have negative numbers.
+    """
+    n = (locations.agg(F.max("id").alias("n")).first()["n"] or 0) + 1
+    edges = tables.save(
+        tree.select(F.lit(-1).cast("bigint").alias("problem"), "a", "b", "w", F.monotonically_increasing_id().alias("eid")), "edges")
+    vertices = locations.select(F.lit(-1).cast("bigint").alias("problem"), F.col("id").alias("v"), "mass")
+    edges, vertices = _halved(edges, vertices, n, tables)
+    equal = edges.groupBy("problem").agg(F.count("*").alias("m"), F.min("eid").alias("eid"), F.min("w").alias("w"))
+    equal = tables.save(equal.filter(F.col("m") > PROBLEM), "equal")
+    small_edges = edges.join(equal.select("problem"), "problem", "left_anti")
+    small_vertices = vertices.join(equal.select("problem"), "problem", "left_anti")
+    merges = small_edges.groupBy("problem").cogroup(small_vertices.groupBy("problem")).applyInArrow(_merge_kernel, MERGES)
+    # A large problem of one weight is one merge of all its vertices.
+    node = (-2 - F.col("eid")).alias("parent")
+    wide = vertices.join(equal, "problem").select(
+        "problem", F.col("v").alias("item"), F.lit(False).alias("is_node"), F.lit(None).cast("double").alias("w"),
+        F.col("mass").alias("size"), node)
+    tops = wide.groupBy("problem", F.col("parent").alias("item")).agg(F.sum("size").alias("size")).join(
+        equal.select("problem", "w"), "problem")
+    tops = tops.select("problem", "item", F.lit(True).alias("is_node"), "w", "size", F.lit(None).cast("bigint").alias("parent"))
+    merges = tables.save(merges.unionByName(wide).unionByName(tops), "merges")
+    # The last merge of a problem goes on where the vertex that stands for it does.
+    stands = merges.filter(~F.col("is_node") & (F.col("item") >= n)).select(F.col("item").alias("problem"), F.col("parent").alias("above"))
+    nodes = merges.filter("is_node").join(stands, "problem", "left").withColumn(
+        "parent", F.when(F.col("parent").isNull(), F.col("above")).otherwise(F.col("parent")))
+    leaves = merges.filter(~F.col("is_node") & (F.col("item") < n)).drop("w").join(
+        locations.select(F.col("id").alias("item"), F.col("core").alias("w")), "item")
+    columns = ["item", "is_node", "w", "size", "parent"]
+    return tables.save(nodes.select(columns).unionByName(leaves.select(columns)), "merge_tree")
+
+
+def _ends(links: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """``(item, up)`` with every ``up`` replaced by the end of its chain, doubling the stride until nothing moves."""
+    links, seen = tables.save_measured(links, f"{name}0", n=F.count("*"))
+    for i in count(1):
+        ends = links.select(F.col("item").alias("up"), F.col("up").alias("further"))
+        moved = links.join(ends, "up").select("item", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved"))
+        links, seen = tables.save_measured(moved, f"{name}{i}", n=F.count_if(F.col("moved")))
+        links = links.drop("moved")
+        if not seen["n"]:
+            return links
 
 
-def _extract(locations: DataFrame, tree: DataFrame, smallest: int, levels: int, tables: Tables) -> DataFrame:
+def _extract(locations: DataFrame, tree: DataFrame, smallest: int, tables: Tables) -> DataFrame:
     """``(id, label)`` of the locations in the most stable clusters.
 
-    All cuts are taken at once: node ``id * n + level`` stands for a location at one cut, and one run of
-    connected components labels every level. Clusters follow their components from cut to cut until they
-    split in two or more parts of the smallest size.
+    A cluster follows its component from merge to merge down the tree, losing parts below the smallest size, until it splits
+    in two or more parts of that size. Its stability is the mass times the span of inverse distance over which it stays.
     """
-    quantiles = [(i + 1) / levels for i in range(levels)]
-    row = tree.agg(F.percentile_approx("w", quantiles, 10_000).alias("q"), F.max("w").alias("top")).first()
-    cuts = sorted({*row["q"], row["top"]})
-    n = len(cuts)
-    at = F.explode(F.sequence(F.col("first"), F.lit(n - 1))).alias("level")
-    nodes = (
-        locations.withColumn("first", _level_of(F.col("core"), cuts))
-        .filter(F.col("first") < n)
-        .select((F.col("id") * n).alias("base"), "mass", at)
-        .select((F.col("base") + F.col("level")).alias("id"), "mass")
-    )
-    edges = (
-        tree.withColumn("first", _level_of(F.col("w"), cuts))
-        .select("a", "b", at)
-        .select((F.col("a") * n + F.col("level")).alias("src"), (F.col("b") * n + F.col("level")).alias("dst"))
-    )
-    nodes = tables.save(nodes, "nodes")
-    members = tables.save(
-        connected_components(nodes, edges).join(nodes, "id").withColumnRenamed("component", "key"), "placed"
-    )
-    sizes = members.groupBy("key").agg(F.sum("mass").alias("size")).filter(F.col("size") >= smallest)
-    above = members.select((F.col("id") - 1).alias("key"), F.col("key").alias("parent"))
-    level = F.pmod("key", F.lit(n))
-    # The last level of a location has no node above it.
-    steps = sizes.join(above, "key", "left").select(
-        "key", "size", level.alias("level"), F.when(level < n - 1, F.col("parent")).alias("parent")
-    )
-    steps = tables.save(steps, "steps")
-    forks = steps.groupBy("parent").agg(F.count("*").alias("parts"))
+    items = merge_tree(locations, tree, tables)
+    large = items.filter(F.col("size") >= smallest)
+    forks = large.groupBy("parent").agg(F.count("*").alias("parts"))
+    heights = items.filter("is_node").select(F.col("item").alias("parent"), F.col("w").alias("top"))
+    large = large.join(forks, "parent", "left").join(heights, "parent", "left")
     born = F.col("parent").isNull() | (F.col("parts") > 1)
-    links = steps.join(forks, "parent", "left").select(
-        "key", "size", "level", "parent", F.when(born, F.col("key")).otherwise(F.col("parent")).alias("up")
-    )
-    links = _follow(tables.save(links, "links"), n, tables)
-    stable = _stabilities(links, cuts)
-    parents = links.filter("key = up").select(F.col("key").alias("cluster"), "level", F.col("parent").alias("step"))
-    owners = links.select(F.col("key").alias("step"), F.col("up").alias("parent"))
-    clusters = tables.save(
-        parents.join(owners, "step", "left").join(stable, "cluster").select("cluster", "level", "parent", "stability"),
-        "clusters",
-    )
-    chosen = _select(clusters, tables)
-    placed = members.join(chosen.withColumnRenamed("cluster", "key"), "key")
-    return placed.select(F.floor(F.col("id") / n).cast("bigint").alias("id"), F.col("key").alias("label"))
+    links = large.select("item", "parent", "w", "size", "top", F.when(born, F.col("item")).otherwise(F.col("parent")).alias("up"))
+    links = tables.save(links, "large_items")
+    owners = _ends(links.select("item", "up"), tables, "owners")
 
+    def inverse(c: str) -> Column:
+        return 1.0 / F.greatest(F.col(c), F.lit(1e-12))
 
-def _stabilities(links: DataFrame, cuts: list[float]) -> DataFrame:
-    """Mass times the span of inverse distance over which it stays, summed per cluster."""
-    inverse = [1.0 / max(c, 1e-12) for c in cuts]
-    spans = [low - high for low, high in zip(inverse, inverse[1:])] + [0.0]
-    span = F.get(F.array(*[F.lit(s) for s in spans]), F.col("level"))
-    return links.groupBy(F.col("up").alias("cluster")).agg(F.sum(F.col("size") * span).alias("stability"))
+    span = inverse("w") - F.coalesce(inverse("top"), F.lit(0.0))
+    stable = links.drop("up").join(owners, "item").groupBy(F.col("up").alias("cluster")).agg(
+        F.sum(F.col("size") * span).alias("stability"))
+    above = owners.select(F.col("item").alias("parent"), F.col("up").alias("owner"))
+    clusters = links.filter("item = up").join(above, "parent", "left").select(F.col("item").alias("cluster"), F.col("owner").alias("parent"))
+    clusters = tables.save(clusters.join(stable, "cluster"), "clusters")
+    chosen = _chosen(clusters, tables)
+    # A location is part of the lowest large item above it, past the small ones.
+    small = items.filter(F.col("size") < smallest)
+    lowest = _ends(
+        small.select("item", F.coalesce("parent", "item").alias("up"))
+        .unionByName(links.select("item", F.col("item").alias("up"))), tables, "lowest")
+    placed = lowest.filter("item >= 0").join(owners.select(F.col("item").alias("up"), F.col("up").alias("cluster")), "up")
+    return placed.join(chosen, "cluster").select(F.col("item").alias("id"), "label")
 
 
-def _follow(links: DataFrame, depth: int, tables: Tables) -> DataFrame:
-    """Replace every ``up`` by the end of its chain, doubling the stride."""
-    for i in range(max(1, depth).bit_length()):
-        ends = links.select(F.col("key").alias("up"), F.col("up").alias("further"))
-        links = tables.save(
-            links.join(ends, "up").select("key", "size", "level", "parent", F.col("further").alias("up")), f"follow{i}"
-        )
-    return links
-
-
-def _select(clusters: DataFrame, tables: Tables) -> DataFrame:
-    """Clusters more stable than what lies below them, the outermost ones; the whole set is never one."""
-    done: DataFrame | None = None
-    # At most one entry per cut.
-    cuts = sorted(r["level"] for r in clusters.select("level").distinct().collect())
-    n_levels = len(cuts)
-    for level in cuts:
-        here = clusters.filter(F.col("level") == level)
-        if done is None:
-            scored = here.withColumn("below", F.lit(0.0))
-        else:
-            below = done.groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("below"))
-            scored = here.join(below, "cluster", "left").fillna(0.0, ["below"])
-        scored = scored.select(
-            "cluster", "parent", F.greatest("stability", "below").alias("best"),
-            (F.col("parent").isNotNull() & (F.col("stability") >= F.col("below"))).alias("selected"),
-        )
-        scored = tables.save(scored, f"best{level}")
-        done = scored if done is None else done.unionByName(scored)
-    chosen = done.select("cluster", "selected", F.col("parent").alias("up"), F.lit(False).alias("covered"))
-    flags = done.select(F.col("cluster").alias("up"), F.col("selected").alias("over"))
-    chosen = chosen.join(flags, "up", "left").withColumn("covered", F.coalesce("over", F.lit(False))).drop("over")
-    # Doubling steps reach over the deepest chain, of one cluster at each cut.
-    for i in range(n_levels.bit_length() + 1):
-        chosen = tables.save(chosen.select("cluster", "selected", "up", "covered"), f"cover{i}")
-        next_up = chosen.select(F.col("cluster").alias("up"), F.col("up").alias("u2"), F.col("covered").alias("c2"))
-        chosen = chosen.join(next_up, "up", "left").select(
-            "cluster", "selected", F.col("u2").alias("up"),
-            (F.col("covered") | F.coalesce("c2", F.lit(False))).alias("covered"),
-        )
-    return chosen.filter(F.col("selected") & ~F.col("covered")).select("cluster")
+def _best_kernel(clusters: pa.Table) -> pa.Table:
+    """Clusters with the outermost selected one above them or themselves; the whole set is never selected."""
+    names, parents, stability = (clusters.column(c).to_pylist() for c in ("cluster", "parent", "stability"))
+    at = {c: k for k, c in enumerate(names)}
+    above = [None if p is None else at[p] for p in parents]
+    below, left = [0.0] * len(names), [0] * len(names)
+    for p in above:
+        if p is not None:
+            left[p] += 1
+    ready = sorted((k for k in range(len(names)) if not left[k]), key=names.__getitem__)
+    done = []
+    while ready:
+        k = ready.pop()
+        done.append(k)
+        if above[k] is not None:
+            below[above[k]] += max(stability[k], below[k])
+            left[above[k]] -= 1
+            if not left[above[k]]:
+                ready.append(above[k])
+    label: list[int | None] = [None] * len(names)
+    for k in reversed(done):
+        p = above[k]
+        if p is not None:
+            own = names[k] if stability[k] >= below[k] else None
+            label[k] = own if label[p] is None else label[p]
+    return pa.table({"cluster": pa.array(names, pa.int64()), "label": pa.array(label, pa.int64())})
+
+
+def _chosen(clusters: DataFrame, tables: Tables) -> DataFrame:
+    """``(cluster, label)``: for each cluster the outermost one above it, or itself, that is more stable than what lies below.
+
+    Up to ``PROBLEM`` clusters are one task; more are taken in rounds from the leaves up.
+    """
+    if clusters.count() <= PROBLEM:
+        one = clusters.withColumn("all", F.lit(0)).groupBy("all")
+        return tables.save(one.applyInArrow(lambda t: _best_kernel(t), "cluster bigint, label bigint").filter("label IS NOT NULL"), "chosen")
+    left = tables.save(clusters.withColumn("below", F.lit(0.0)), "left0")
+    done: list[DataFrame] = []
+    for i in count(1):
+        inner = left.select(F.col("parent").alias("cluster")).distinct()
+        leaves = tables.save(left.join(inner, "cluster", "left_anti"), f"leaves{i}")
+        own = F.col("parent").isNotNull() & (F.col("stability") >= F.col("below"))
+        done.append(leaves.select("cluster", "parent", own.alias("selected")))
+        sums = leaves.groupBy(F.col("parent").alias("cluster")).agg(F.sum(F.greatest("stability", "below")).alias("more"))
+        left = left.join(inner, "cluster", "left_semi").join(sums, "cluster", "left").withColumn(
+            "below", F.col("below") + F.coalesce("more", F.lit(0.0))).drop("more")
+        left = tables.save(left, f"left{i}")
+        if left.isEmpty():
+            break
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    # The outermost selected one: doubling steps keep the highest met so far.
+    state = tables.save(found.select(
+        "cluster", F.col("parent").alias("up"), F.when(F.col("selected"), F.col("cluster")).alias("label")), "outer0")
+    for i in count(1):
+        ahead = state.select(F.col("cluster").alias("up"), F.col("up").alias("further"), F.col("label").alias("higher"))
+        state, seen = tables.save_measured(
+            state.join(ahead, "up", "left").select(
+                "cluster", F.col("further").alias("up"), F.coalesce("higher", "label").alias("label")),
+            f"outer{i}", n=F.count("up"))
+        if not seen["n"]:
+            return state.filter("label IS NOT NULL").select("cluster", "label")

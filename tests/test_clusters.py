@@ -158,3 +158,101 @@ def test_unknown_choices_are_errors(spark):
         with pytest.raises(ValueError):
             check_choices(*wrong)
     assert cells.n_blocks(np.array([0, 1, cells.BLOCK + 1])).tolist() == [1, 1, 2]
+
+
+def brute_hierarchy(points, smallest, samples):
+    """Labels by the definition: components below every distance, from the whole set down."""
+    n = len(points)
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    core = np.sort(far, axis=1)[:, samples]
+    reach = np.maximum(far, np.maximum(core[:, None], core[None, :]))
+
+    def parts(members, below):
+        """Components of members under edges lighter than ``below``, and a member alone only below its core distance."""
+        left, out = set(members), []
+        while left:
+            stack = [left.pop()]
+            got = set(stack)
+            while stack:
+                i = stack.pop()
+                near = {j for j in left if reach[i, j] < below}
+                left -= near
+                got |= near
+                stack += near
+            out.append(sorted(got))
+        return out
+
+    def joined_at(members):
+        """The distance at which the members become one component."""
+        if len(members) == 1:
+            return core[members[0]]
+        inside, best, top = {members[0]}, reach[members[0]].copy(), 0.0
+        while len(inside) < len(members):
+            j = min((m for m in members if m not in inside), key=lambda m: best[m])
+            top = max(top, best[j])
+            inside.add(j)
+            best = np.minimum(best, reach[j])
+        return top
+
+    def inverse(w):
+        return 1 / max(w, 1e-12)
+
+    def grow(members, birth):
+        """A cluster's stability and the best labels inside: ``(value, {point: label})``, and whether it is worth itself."""
+        stable, at, last = 0.0, members, birth
+        while True:
+            w = joined_at(at)
+            stable += len(at) * (inverse(w) - last)
+            last = inverse(w)
+            large = [p for p in parts(at, w) if len(p) >= smallest]
+            if len(large) != 1 or len(large[0]) == len(at):
+                break
+            at = large[0]
+        if len(large) < 2:
+            return stable, {i: members[0] for i in members}
+        below = [grow(p, last) for p in large]
+        total = sum(b[0] for b in below)
+        if stable >= total and birth > 0:
+            return stable, {i: members[0] for i in members}
+        return total, {i: c for b in below for i, c in b[1].items()}
+
+    found = grow(list(range(n)), 0.0)[1]
+    labels = np.full(n, -1)
+    # The whole set is never a cluster.
+    if len(set(found.values())) > 1 or len(found) < n:
+        for i, c in found.items():
+            labels[i] = c
+    return labels
+
+
+def same_partition(a, b):
+    return ((a < 0) == (b < 0)).all() and len(set(zip(a.tolist(), b.tolist()))) == len(set(a.tolist())) == len(set(b.tolist()))
+
+
+@pytest.mark.parametrize("problem", [100_000, 7])
+def test_hierarchy_equals_the_definition(spark, monkeypatch, problem):
+    """Blobs in blobs, copies, ties on a grid and noise; in one task, and halved down to seven edges."""
+    monkeypatch.setattr(hierarchy, "PROBLEM", problem)
+    rng = np.random.default_rng(11)
+    points = np.concatenate([
+        rng.normal((0, 0), 0.05, (40, 2)), rng.normal((0.5, 0), 0.02, (25, 2)), rng.normal((4, 1), 0.3, (40, 2)),
+        np.tile([[2.0, 2.0]], (9, 1)), np.stack(np.meshgrid(np.arange(5), np.arange(5)), -1).reshape(-1, 2) * 0.125 + 8,
+        rng.uniform(-2, 9, (25, 2))])
+    got = {r.id: r.cluster for r in cluster.hdbscan(frame(spark, points)).collect()}
+    found = np.array([got[f"{i:04d}"] for i in range(len(points))])
+    assert same_partition(found, brute_hierarchy(points, 5, 5))
+    assert len(set(found.tolist())) > 4
+
+
+@pytest.mark.parametrize("problem", [100_000, 40])
+def test_nested_chains_are_followed_to_the_end(spark, monkeypatch, problem):
+    """Groups ever farther from the ones before: the hierarchy is a chain of some seventy splits."""
+    monkeypatch.setattr(hierarchy, "PROBLEM", problem)
+    at, points = 0.0, []
+    for k in range(72):
+        at += 1.06**k
+        points += [(at + 0.001 * 1.05**k * j * (1 + j / 100), 0.0) for j in range(3)]
+    points = np.array(points)
+    got = {r.id: r.cluster for r in cluster.hdbscan(frame(spark, points), min_cluster_size=3, min_samples=2).collect()}
+    found = np.array([got[f"{i:04d}"] for i in range(len(points))])
+    assert same_partition(found, brute_hierarchy(points, 3, 2))
