@@ -17,6 +17,8 @@ from corpusmap.schemas import LEVELS
 from corpusmap.scratch import materialize
 from corpusmap.sources import readers, writers
 
+# Under this name a TF-IDF store keeps the vocabulary of its exact rows.
+SPARSE_MODEL = "tfidf_sparse"
 CLUSTER_METHODS = ("knn", "hdbscan", "dbscan")
 
 
@@ -57,10 +59,10 @@ def vectorise(level: DataFrame, model: str, vocabulary: DataFrame | None = None)
     return embed(texts, "text", model)
 
 
-def sparse_rows(level: DataFrame) -> DataFrame:
+def sparse_rows(level: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Sparse TF-IDF rows ``(id, indices, weights)`` of a level."""
     texts = text_of(level)
-    return tfidf.sparse_vectors(tfidf.tfidf_rows(texts, tfidf.tfidf_fit(texts)))
+    return tfidf.sparse_vectors(tfidf.tfidf_rows(texts, tfidf.tfidf_fit(texts) if vocabulary is None else vocabulary))
 
 
 def run_pipeline(
@@ -92,7 +94,10 @@ def run_pipeline(
         vocabulary = readers.read_vocabulary(spark, store, name, model)
     writers.write_vectors(vectorise(level, model, vocabulary).join(as_store_rows(level), "id"), store, name, model)
     if model == "tfidf":
-        writers.write_sparse(sparse_rows(level), store, name)
+        # The vocabulary that numbers the terms of the exact rows is kept under a name of its own.
+        writers.write_vocabulary(tfidf.tfidf_fit(text_of(level)), store, name, SPARSE_MODEL)
+        numbered = readers.read_vocabulary(spark, store, name, SPARSE_MODEL)
+        writers.write_sparse(sparse_rows(level, numbered), store, name)
     vectors = readers.read_vectors(spark, store, name, model)
 
     points = materialize(reduce.reduce2d(vectors, reduction, seed=seed), "coordinates")
@@ -115,7 +120,7 @@ def run_pipeline(
     written = spark.read.parquet(projected)
     plotted = report.plot_points(written)
 
-    similar = similar_sparse(sparse_rows(level), threshold) if model == "tfidf" else similar_vectors(vectors, threshold)
+    similar = similar_sparse(readers.read_sparse(spark, store, name), threshold) if model == "tfidf" else similar_vectors(vectors, threshold)
     similar = graph.with_all_nodes(similar, vectors)
     found = materialize(graph.communities(similar, seed=seed), "communities")
     lines = report.community_report(found, titled)

@@ -82,6 +82,20 @@ def _hashed(name: str, raw: str, dim: int = 256) -> str:
 {name} AS (SELECT id, dim, CAST(CAST(s / norm AS FLOAT) AS DOUBLE) AS v FROM {name}_n WHERE norm > 0)"""
 
 
+def _sparse_hits(k: int) -> str:
+    return f"""{_tfidf(True)}, {ctes("text_meta")},
+qtok AS (SELECT CAST(item_id AS VARCHAR) AS id, unnest({WORDS.format("text")}) AS term FROM benchmark),
+qtf AS (SELECT id, term, count(*) AS tf FROM qtok GROUP BY ALL),
+qraw AS (SELECT id, qtf.term, tf * idf AS raw FROM qtf JOIN voc ON qtf.term = voc.term),
+qw AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM qraw),
+dots AS (SELECT qw.id AS query_id, t.id AS id, sum(qw.weight * t.weight) AS dot FROM qw JOIN tfidf t ON qw.term = t.term
+  GROUP BY ALL),
+sims AS (SELECT CAST(b.item_id AS VARCHAR) AS query_id, docs.id, round(coalesce(dot, 0.0), 9) AS similarity
+  FROM benchmark b CROSS JOIN docs LEFT JOIN dots ON dots.query_id = CAST(b.item_id AS VARCHAR) AND dots.id = docs.id),
+hits AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank
+  FROM sims QUALIFY rank <= {k})"""
+
+
 def _hits(k: int, dim: int) -> str:
     return f"""{_tfidf(True, "")}, {ctes("text_meta")},
 {_hashed("dv", "raw", dim)},
@@ -269,12 +283,11 @@ def sql() -> dict[str, str]:
         ),
         "cosine_turns": _q(
             f"""{TOKENS},
-c AS (SELECT a.id, a.pos, list_inner_product(a.embedding, b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding))
-  * sqrt(list_inner_product(b.embedding, b.embedding))) AS cosine,
-  sqrt(list_inner_product(a.embedding, a.embedding)) AS norm
-  FROM turns a JOIN turns b ON a.id = b.id AND b.pos = a.pos + 1)""",
+normed AS MATERIALIZED (SELECT id, pos, embedding, sqrt(list_inner_product(embedding, embedding)) AS norm FROM turns),
+c AS (SELECT id, pos, norm, list_inner_product(embedding, lead(embedding) OVER w) / (norm * lead(norm) OVER w) AS cosine,
+  lead(pos) OVER w AS after FROM normed WINDOW w AS (PARTITION BY id ORDER BY pos))""",
             f"SELECT id, pos, {R.format('cosine')} AS cosine, {R.format('1.0 - cosine')} AS distance, "
-            f"{R.format('norm')} AS norm FROM c",
+            f"{R.format('norm')} AS norm FROM c WHERE after = pos + 1",
         ),
         "cosine_topk": _q(
             """v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -374,7 +387,9 @@ UNION ALL SELECT '' FROM largest) GROUP BY line""",
             recursive=True,
         ),
         "store_search_hashing": _q(_hits(50, 256), "SELECT query_id, rank, title, similarity FROM hits"),
-        "store_search_tfidf": _q(_hits(50, 1024), "SELECT query_id, rank, title, similarity FROM hits"),
+        "store_search_tfidf": _q(
+            _sparse_hits(50), f"SELECT query_id, rank, coalesce(title, 'No Title') AS title, {R.format('similarity')} AS similarity "
+            "FROM hits JOIN text_meta USING (id)"),
         "positions": _q(DOCS, "SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM docs"),
         "knn10": _q(KNN, f"SELECT id, neighbor, {R.format('dist')} AS dist, rank FROM knn"),
         "nn_label": _q(KNN, "SELECT id, neighbor AS label FROM knn WHERE rank = 1"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusmap import schemas
 from corpusmap.functions import records, text, vectors
 from corpusmap.operators import cluster, embed, enrich, graph, knn, label, rank, reduce, report, search, simjoin, tfidf
+from corpusmap.plans.catalogue import SPARSE_MODEL
 from corpusmap.plans.fixtures import AXES, table, view
 from corpusmap.scratch import materialize, shared_dir
 from corpusmap.sources import readers, writers
@@ -496,7 +497,17 @@ def store_search_hashing(spark, sf_dir):
 
 
 def store_search_tfidf(spark, sf_dir):
-    return _store_search(spark, sf_dir, "tfidf", embed.TFIDF_DIM)
+    """Hits of depth 50 in the exact TF-IDF rows of a store."""
+    base, name = _out(spark, "searchable"), "basic_dataset"
+    texts = docs(spark, sf_dir)
+    writers.write_vocabulary(tfidf.tfidf_fit(texts), base, name, SPARSE_MODEL)
+    known = readers.read_vocabulary(spark, base, name, SPARSE_MODEL)
+    rows = tfidf.tfidf_rows(texts, known)
+    writers.write_sparse(tfidf.sparse_vectors(rows), base, name)
+    stored = records.as_store_rows(view(spark, sf_dir, "text_meta"))
+    found = search.semantic_search(
+        items(spark, sf_dir), stored, "tfidf", 50, known, sparse=readers.read_sparse(spark, base, name))
+    return search.hit_list(found).withColumn("similarity", _r("similarity"))
 
 
 QUERIES: dict[str, Query] = {

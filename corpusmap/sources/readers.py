@@ -104,3 +104,8 @@ def read_file_types(spark: SparkSession, path: str) -> DataFrame:
         raise ImportError("reading YAML needs PyYAML; pass the list to file_types() instead") from error
     text = "\n".join(row["value"] for row in spark.read.text(path, wholetext=True).collect())
     return file_types(spark, yaml.safe_load(text)["file_types"])
+
+
+def read_sparse(spark: SparkSession, base: str, dataset: str) -> DataFrame:
+    """The exact TF-IDF rows ``(id, indices, weights)`` of a store."""
+    return spark.read.parquet(f"{base.rstrip('/')}_sparse/dataset={dataset}").select("id", "indices", "weights")

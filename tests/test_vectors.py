@@ -170,3 +170,30 @@ def test_a_long_path_is_one_component_and_unsettled_labels_raise(spark, monkeypa
     monkeypatch.setattr(graph, "UNSETTLED", 1)
     with pytest.raises(RuntimeError, match="still change"):
         graph.label_propagation(nodes, edges)
+
+
+def test_sparse_search_skips_blocks_and_loses_nothing(spark, monkeypatch):
+    """Many small blocks, ties, equal documents, queries without known terms, and more hits asked for than are similar."""
+    from corpusmap.operators import postings
+
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 8)
+    rng = np.random.default_rng(12)
+    m = np.where(rng.random((200, 40)) < 0.1, rng.random((200, 40)), 0.0)
+    m[:, 0] = np.where(np.arange(200) % 3 == 0, 0.5, m[:, 0])
+    m[150:] = m[100]
+    m[7] = 0.0
+    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    asked = np.vstack([m[:6], np.zeros((1, 40)), np.eye(40)[39:]])
+
+    def rows(matrix, name):
+        listed = [(f"{i:03d}", np.flatnonzero(v).tolist(), v[v > 0].tolist()) for i, v in enumerate(matrix)]
+        return spark.createDataFrame(listed, f"{name} string, indices array<int>, weights array<double>")
+
+    for k in (3, 40):
+        got = {(r.query_id, r.rank): (r.id, r.similarity) for r in postings.sparse_search(rows(asked, "query_id"), rows(m, "id"), k).collect()}
+        assert len(got) == len(asked) * k
+        sims = np.round(asked @ m.T, 9)
+        for q in range(len(asked)):
+            order = np.lexsort((np.arange(200), -sims[q]))[:k]
+            assert [got[f"{q:03d}", r + 1][0] for r in range(k)] == [f"{i:03d}" for i in order]
+    assert postings.sparse_search(rows(asked, "query_id"), rows(m, "id").limit(0), 3).collect() == []
