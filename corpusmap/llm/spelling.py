@@ -7,7 +7,8 @@ place, and a word whose split pair is another one's skipped pair lacks just that
 only the first is skipped to find deletions, so that each neighbour is met once.
 
 The words of a pair are never paired with each other: a pair keeps how many there are and its two best words, which tells each
-of them the number and the best of the others. So a pair is one row, whatever the number of its words.
+of them the number and the best of the others. So a pair is one row, whatever the number of its words. Nodes that
+only one word reaches are in no pair of two words and are not numbered, which leaves the few middle places of long words.
 
 Defined cases: a null or empty text has no words; a null id counts as empty text in the hash; repeated rows count each; empty
 tables give no rows; ties go to the smaller word in code-point order. Only the named columns are read.
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmap.operators.rank import with_position
+from corpusmap.operators.skew import LEAST, SHARE, skew_join
 from corpusmap.scratch import Tables
 
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
@@ -40,62 +43,61 @@ def words(
     return counts.filter(F.col("n") >= times)
 
 
-def _places(upto: int = 0) -> Column:
-    """Every position of a word, and ``upto`` beyond the last."""
-    return F.explode(F.sequence(F.lit(0), F.char_length("word") - 1 + upto)).alias("at")
+def trie_nodes(found: DataFrame, tables: Tables, name: str, piece: Column, *more: Column) -> DataFrame:
+    """``(rank, at, node, <more>)``: the numbers of the trie's nodes that several words share, by word and place.
 
-
-def trie_nodes(found: DataFrame, tables: Tables, name: str, piece: Column) -> DataFrame:
-    """``(word, at, node)``: the number of the node that ``piece`` of each word reaches, for each ``at`` from 0 to its length."""
-    steps = found.select("word", _places(1)).select("word", "at", piece.alias("piece"))
-    nodes = steps.select("piece").distinct().withColumn("node", F.monotonically_increasing_id())
+    ``piece`` is what leads to the node of each place ``at``, from 0 to the word's length. A node of one word alone is in no
+    pair of two words, so it gets no number.
+    """
+    places = F.explode(F.sequence(F.lit(0), F.char_length("word"))).alias("at")
+    steps = found.select("rank", "word", places).select("rank", "at", piece.alias("piece"), *more)
+    held = steps.groupBy("piece").agg(F.count("*").alias("held")).filter("held > 1")
     # Written before use: the numbers must not change.
-    return steps.join(tables.save(nodes, f"{name}_nodes"), "piece").select("word", "at", "node")
+    nodes, seen = tables.save_measured(
+        held.withColumn("node", F.monotonically_increasing_id()), f"{name}_nodes", n=F.sum("held"))
+    many = max((seen["n"] or 0) * SHARE, LEAST)
+    hot = [tuple(r) for r in nodes.filter(F.col("held") > many).select("piece").collect()]
+    return skew_join(steps, nodes.select("piece", "node"), ["piece"], F.col("rank"), hot=hot).drop("piece")
 
 
 def node_pairs(found: DataFrame, tables: Tables) -> DataFrame:
-    """``(prefix, suffix, word, n, kind)``: the pairs of a word, by kind.
+    """``(prefix, suffix, rank, kind)``: the pairs of a word whose nodes other words share, by kind.
 
     0: split between two positions; 1: one skipped; 2: one skipped that equals the letter before it.
     """
     size = F.char_length("word")
     prefixes = trie_nodes(found, tables, "forward", F.substring(F.col("word"), F.lit(1), F.col("at")))
-    # Suffix nodes of the reversed trie, ``at`` being where the suffix begins.
-    suffixes = trie_nodes(found, tables, "reversed", F.substring(F.reverse("word"), F.lit(1), size - F.col("at")))
-    before = prefixes.select("word", "at", F.col("node").alias("prefix"))
-    split = suffixes.select("word", "at", F.col("node").alias("suffix"), F.lit(0).alias("kind"))
-    skipped = suffixes.filter("at > 0").select("word", (F.col("at") - 1).alias("at"), F.col("node").alias("suffix"), F.lit(1).alias("kind"))
-    pairs = split.unionByName(skipped).join(before, ["word", "at"]).join(found, "word")
-    letter = [F.substring(F.col("word"), F.col("at") + k, F.lit(1)) for k in (0, 1)]
-    kind = F.when((F.col("kind") == 1) & (F.col("at") > 0) & (letter[0] == letter[1]), 2).otherwise(F.col("kind"))
-    return pairs.select("prefix", "suffix", "word", "n", kind.alias("kind"))
-
-
-def _better(n: str, word: str) -> Column:
-    """A word as a value whose least one is the best: the largest count, then the smallest word."""
-    return F.struct((-F.col(n)).alias("less"), F.col(word).alias("word"))
+    # Suffix nodes of the reversed trie, ``at`` being where the suffix begins; the letter before it may be skipped.
+    letter = [F.substring(F.col("word"), F.col("at") - k, F.lit(1)) for k in (0, 1)]
+    twin = ((F.col("at") > 1) & (letter[0] == letter[1])).alias("twin")
+    suffixes = trie_nodes(
+        found, tables, "reversed", F.substring(F.reverse("word"), F.lit(1), size - F.col("at")), twin)
+    places = F.array(
+        F.struct(F.col("at").alias("at"), F.lit(0).alias("kind")),
+        F.struct((F.col("at") - 1).alias("at"), F.when(F.col("twin"), 2).otherwise(1).alias("kind")))
+    ends = suffixes.select("rank", F.col("node").alias("suffix"), F.inline(places)).filter("at >= 0")
+    return ends.join(prefixes.withColumnRenamed("node", "prefix"), ["rank", "at"]).select("prefix", "suffix", "rank", "kind")
 
 
 def neighbours(pairs: DataFrame, tables: Tables) -> DataFrame:
-    """``(word, n_near, best)``: how many words are one edit away, and the best of them."""
+    """``(rank, n_near, best)``: how many words are one edit away, and the best rank among them."""
     pairs = tables.save(pairs, "pairs")
-    own = _better("n", "word")
     skipped = F.col("kind") > 0
-    first = F.min(F.when(skipped, own))
     per = pairs.groupBy("prefix", "suffix").agg(
-        F.count_if(skipped).alias("n_skipped"), F.count_if(F.col("kind") == 1).alias("n_deleted"), first.alias("first"),
-        F.min(F.when(F.col("kind") == 1, own)).alias("deleted"), F.min(F.when(~skipped, own)).alias("split"),
+        F.count_if(skipped).alias("n_skipped"), F.count_if(F.col("kind") == 1).alias("n_deleted"),
+        F.min(F.when(skipped, F.col("rank"))).alias("first"), F.min(F.when(F.col("kind") == 1, F.col("rank"))).alias("deleted"),
+        F.min(F.when(~skipped, F.col("rank"))).alias("split"),
     )
     per = tables.save(per.filter("n_skipped > 1 OR (n_skipped > 0 AND split IS NOT NULL)"), "shared")
     met = tables.save(pairs.join(per, ["prefix", "suffix"]), "met")
     # The best word of a pair but its first.
-    rest = met.filter(skipped & (F.col("word") != F.col("first.word"))).groupBy("prefix", "suffix").agg(F.min(own).alias("second"))
+    rest = met.filter(skipped & (F.col("rank") != F.col("first"))).groupBy("prefix", "suffix").agg(F.min("rank").alias("second"))
     met = met.join(rest, ["prefix", "suffix"], "left")
-    other = F.when(F.col("word") == F.col("first.word"), F.col("second")).otherwise(F.col("first"))
+    other = F.when(F.col("rank") == F.col("first"), F.col("second")).otherwise(F.col("first"))
     shorter = (F.col("kind") == 1) & F.col("split").isNotNull()
     n = F.when(skipped, F.col("n_skipped") - 1 + shorter.cast("int")).otherwise(F.col("n_deleted"))
     best = F.when(skipped, F.least(other, F.when(shorter, F.col("split")))).otherwise(F.col("deleted"))
-    return met.groupBy("word").agg(F.sum(n).alias("n_near"), F.min(best).alias("best"))
+    return met.groupBy("rank").agg(F.sum(n).alias("n_near"), F.min(best).alias("best"))
 
 
 def roots(forms: DataFrame, tables: Tables) -> DataFrame:
@@ -122,13 +124,16 @@ def spelling_variants(
     The form is the most frequent word one edit away, if it is at least twice as frequent.
     """
     tables = Tables(docs.sparkSession, "spelling")
-    found = tables.save(words(docs, id_col, text_col, slip, length, times), "words")
-    near = neighbours(node_pairs(found, tables), tables)
-    joined = found.join(near, "word", "left")
-    is_form = -F.col("best.less") >= 2 * F.col("n")
-    made = joined.select(
+    counted = tables.save(words(docs, id_col, text_col, slip, length, times), "words")
+    # A word's number is its rank: the least rank is the most frequent word, and of equally frequent ones the smallest.
+    found = tables.save(with_position(counted, F.desc("n"), F.asc("word"), name="rank"), "ranked")
+    near = tables.save(neighbours(node_pairs(found, tables), tables), "near")
+    best = found.select(F.col("rank").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
+    made = found.join(near.join(best, "best", "left"), "rank", "left")
+    is_form = F.col("form_n") >= 2 * F.col("n")
+    made = made.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
-        F.when(is_form, F.col("best.word")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n"),
+        F.when(is_form, F.col("form")).alias("form"), F.when(is_form, F.col("form_n")).alias("form_n"),
     )
     made = tables.save(made, "forms")
     return made.join(roots(made, tables), "word").select("word", "form", "root", "n", "n_near", "form_n")
