@@ -25,19 +25,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusmap.llm.bpe import Encoder, _texts, chunks
+from corpusmap.llm.bpe import Encoder, _texts
 from corpusmap.scratch import Tables
 
 CAPACITY = 2048
 END_ID = 0
-# Slices whose ids are kept.
-PACKED = 400_000
+# Fixed value: the pattern by which files of this kind cut a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Runs of this many characters with or without white space could be slow or deep for a pattern engine.
+LONG = 512
+LONG_BLANK = re.compile(r"\s{512}")
 END = struct.pack("<I", END_ID)
 
 
@@ -65,31 +69,26 @@ def added_of_tokenizer(text: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
-class PackedEncoder(Encoder):
-    """An encoder whose ids are packed: each slice is cached as the bytes of its ids, unsigned and little-endian."""
+class PackedEncoder:
+    """Ids of texts as bytes, unsigned and little-endian.
+
+    ``tiktoken`` encodes by the ranks; a text with a long run goes through this library's own encoder, whose time and
+    memory do not grow with the square of a run. Both give the ids of the file's own library.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.patient: Encoder | None = None
 
     def packed(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The packed ids of each text."""
-        cache = self.cache
-        for batch in chunks(texts):
-            parts = list(self.slices(batch))
-            flat = list(chain.from_iterable(parts))
-            found = list(map(cache.get, flat))
-            if None in found:
-                gaps = [i for i, ids in enumerate(found) if ids is None]
-                lacking = list({flat[i] for i in gaps})
-                if len(cache) + len(lacking) > PACKED:
-                    cache.clear()
-                # The positions of a round must fit 22 bits.
-                for k in range(0, len(lacking), 1 << 15):
-                    part = lacking[k : k + (1 << 15)]
-                    cache.update(zip(part, [struct.pack(f"<{len(ids)}I", *ids) for ids in self.merge_all(part)]))
-                for i in gaps:
-                    found[i] = cache[flat[i]]
-            a = 0
-            for part in parts:
-                yield b"".join(found[a : a + len(part)])
-                a += len(part)
+        for text in texts:
+            if len(text) >= LONG and (max(map(len, text.split()), default=0) >= LONG or LONG_BLANK.search(text)):
+                self.patient = self.patient or Encoder(self.ranks)
+                yield np.array(next(iter(self.patient.encode([text]))), "<u4").tobytes()
+            else:
+                yield self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def encode(encoder: PackedEncoder, added: dict[str, int], texts: Iterable[str]) -> Iterator[bytes]:
