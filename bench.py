@@ -37,6 +37,10 @@ def headline(spark, sf_dir):
         "components": lambda: graph.components_of(similar),
         "communities": lambda: graph.communities(similar),
         "dbscan": lambda: q.dbscan(spark, sf_dir),
+        "hdbscan": lambda: q.hdbscan(spark, sf_dir),
+        "cluster_hulls": lambda: q.cluster_hulls(spark, sf_dir),
+        "lsh_topk": lambda: q.lsh_topk(spark, sf_dir),
+        "similar_09": lambda: q.sim_edges_sparse_09(spark, sf_dir),
     }
 
 
