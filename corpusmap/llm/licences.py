@@ -113,10 +113,10 @@ def normalise(sentence: Column) -> Column:
 def sequence(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order, each in angle brackets."""
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    # Long sentences are none that is known; looking up the others alone saves work and loses nothing.
-    limit = 2 * max(map(len, known()))
-    short = F.filter(F.split(text, ENDS), lambda s: F.length(s) < limit)
-    found = F.transform(short, lambda s: F.element_at(table, normalise(s)))
+    # Forms longer than every known one need no look-up; sentences are measured after they are normalised.
+    longest = max(map(len, known()))
+    forms = F.filter(F.transform(F.split(text, ENDS), normalise), lambda s: F.length(s) <= longest)
+    found = F.transform(forms, lambda s: F.element_at(table, s))
     return F.array_join(F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
 
 

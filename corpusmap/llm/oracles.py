@@ -67,8 +67,8 @@ def op3() -> str:
 
     def sequence(text: str) -> str:
         norm = f"regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{HOLDER}', 'copyright')"
-        short = f"list_filter(regexp_split_to_array({text}, '{ENDS}'), lambda s: length(s) < {2 * max(map(len, table))})"
-        found = f"list_transform({short}, lambda s: [{ids}][list_position([{keys}], {norm})])"
+        forms = f"list_transform(regexp_split_to_array({text}, '{ENDS}'), lambda s: {norm})"
+        found = f"list_transform({forms}, lambda s: [{ids}][list_position([{keys}], s)])"
         return f"coalesce(array_to_string(list_filter({found}, lambda x: x IS NOT NULL), ''), '')"
 
     steps = [f"s0 AS (SELECT doc_id, {sequence('a')} AS lines, {sequence('b')} AS flow, lines AS x, flow AS y FROM texts)"]
