@@ -6,6 +6,7 @@ the loss of executors, and gives the optimiser true sizes for the next round.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -55,6 +56,11 @@ class Tables:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished jobs, which it does once their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def materialize(df: DataFrame, operator: str) -> DataFrame:
     """Write ``df`` once so that several consumers share the result."""
