@@ -408,6 +408,11 @@ def lsh_topk(spark, sf_dir):
     return search.search(corpus.withColumnRenamed("id", "query_id"), corpus, 10, "lsh")
 
 
+def ivf_topk(spark, sf_dir):
+    corpus = hashed_docs(spark, sf_dir).select("id", "embedding")
+    return search.search(corpus.withColumnRenamed("id", "query_id"), corpus, 10, "ivf")
+
+
 def pca2d(spark, sf_dir):
     return layout(spark, sf_dir)
 
@@ -520,7 +525,7 @@ QUERIES: dict[str, Query] = {
         components, lpa_rounds3, communities, cluster_sizes, cluster_count, largest_communities, top5_report,
         sample10, titles_per_cluster, cluster_terms, cluster_names, naming_prompts, positions, distinct_clusters,
         knn10, nn_label, knn_components, dbscan, dbscan_clusters, centroids_bbox, cluster_hulls, hdbscan, lsh_edges,
-        lsh_topk, pca2d, umap2d, tsne2d, spring, row_counts, level_roundtrip, catalogue_roundtrip,
+        lsh_topk, ivf_topk, pca2d, umap2d, tsne2d, spring, row_counts, level_roundtrip, catalogue_roundtrip,
         vector_store_roundtrip, graph_export, report_lines, store_search_hashing, store_search_tfidf,
     )
 }
