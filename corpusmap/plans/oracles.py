@@ -390,6 +390,15 @@ UNION ALL SELECT '' FROM largest) GROUP BY line""",
         "store_search_tfidf": _q(
             _sparse_hits(50), f"SELECT query_id, rank, coalesce(title, 'No Title') AS title, {R.format('similarity')} AS similarity "
             "FROM hits JOIN text_meta USING (id)"),
+        "spring_forces": _q(
+            f"""{DOCS},
+placed AS (SELECT id, CAST('0x' || left(md5(id || ':x:0'), 8) AS BIGINT) / 4294967296.0 AS x,
+  CAST('0x' || left(md5(id || ':y:0'), 8) AS BIGINT) / 4294967296.0 AS y FROM docs),
+pushes AS (SELECT a.id, 0.08 * 0.08 / greatest((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 1e-4) AS c, a.x - b.x AS dx, a.y - b.y AS dy
+  FROM placed a JOIN placed b ON a.id <> b.id),
+forces AS (SELECT id, sum(c * dx) AS rx, sum(c * dy) AS ry FROM pushes GROUP BY id)""",
+            f"SELECT id, {R.format('x')} AS x, {R.format('y')} AS y, round(coalesce(rx, 0), 4) + 0.0 AS rx, "
+            "round(coalesce(ry, 0), 4) + 0.0 AS ry FROM placed LEFT JOIN forces USING (id)"),
         "positions": _q(DOCS, "SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM docs"),
         "knn10": _q(KNN, f"SELECT id, neighbor, {R.format('dist')} AS dist, rank FROM knn"),
         "nn_label": _q(KNN, "SELECT id, neighbor AS label FROM knn WHERE rank = 1"),

@@ -429,6 +429,11 @@ def spring(spark, sf_dir):
     return reduce.spring_layout(docs(spark, sf_dir).select("id"), similar_09(spark, sf_dir).full_edges())
 
 
+def spring_forces(spark, sf_dir):
+    found = reduce.first_forces(docs(spark, sf_dir).select("id"))
+    return found.select("id", _r("x"), _r("y"), _r("rx", 4), _r("ry", 4))
+
+
 def row_counts(spark, sf_dir):
     level = extended(spark, sf_dir)
     return report.row_counts({
@@ -525,7 +530,7 @@ QUERIES: dict[str, Query] = {
         components, lpa_rounds3, communities, cluster_sizes, cluster_count, largest_communities, top5_report,
         sample10, titles_per_cluster, cluster_terms, cluster_names, naming_prompts, positions, distinct_clusters,
         knn10, nn_label, knn_components, dbscan, dbscan_clusters, centroids_bbox, cluster_hulls, hdbscan, lsh_edges,
-        lsh_topk, ivf_topk, pca2d, umap2d, tsne2d, spring, row_counts, level_roundtrip, catalogue_roundtrip,
+        lsh_topk, ivf_topk, pca2d, umap2d, tsne2d, spring, spring_forces, row_counts, level_roundtrip, catalogue_roundtrip,
         vector_store_roundtrip, graph_export, report_lines, store_search_hashing, store_search_tfidf,
     )
 }
