@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
+# Words of a shingle, unless a caller names another number, and the seed of its hash.
+SHINGLE = 3
+SEED = 42
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a DataFrame."""
@@ -61,3 +67,15 @@ def map_rows(
                 yield change(part, [t or "" for t in part.column(at).to_pylist()])
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every word shingle of a text; of all its words where they are fewer; none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size))))
+    return np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(words) - size + 1)

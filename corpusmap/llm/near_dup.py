@@ -23,21 +23,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmap.llm import near_copies
 from corpusmap.llm.bpe import _texts
+from corpusmap.llm.common import SHINGLE, shingle_hashes
 from corpusmap.operators.graph import connected_components
 from corpusmap.scratch import Tables
 
 BITS = 64
 RADIUS = 2
 PARTS = 3
-SHINGLE = 3
-SEED = 42
 # Rows of a cell beyond which its probes count as crowded.
 CROWD = 64
 # Expected candidates that one more probe is worth.
@@ -46,18 +44,6 @@ PROBE_COST = 0.25
 VOTES = 1 << 16
 
 
-def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """XXH64 of every word shingle of a text; of all its words where they are fewer; none without words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-    digest = xxhash.xxh64_intdigest
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(size))))
-    return np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(words) - size + 1)
-
-
 def simhash(hashes: np.ndarray) -> int:
     """A bit is set if more than half of the hashes set it; zero without hashes."""
     counts = np.zeros(BITS, np.int64)
