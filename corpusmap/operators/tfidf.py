@@ -1,17 +1,20 @@
 """TF-IDF over record texts.
 
-Texts are shuffled once, by id. Counting terms per record, weighting and scaling then need no further
-exchange, and the same exchange serves the fit and the transform. Only per-term totals, reduced map-side,
-are shuffled by term.
+Terms are counted within each text, so that no table of terms and records is grouped or shuffled to be counted. Only per-term
+totals, reduced map-side, are shuffled by term. A bounded vocabulary is sent to every task, which turns texts into sparse rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmap.functions.arrow import lengths
 from corpusmap.functions.stopwords import ENGLISH
 from corpusmap.functions.text import tokens
 
@@ -31,15 +34,42 @@ def stop_list(stop_words: str | Sequence[str] | None) -> tuple[str, ...]:
     return tuple(stop_words)
 
 
-def _counts(texts: DataFrame, stop_words, marker: bool) -> DataFrame:
-    by_id = texts.select("id", "text").repartition("id")
-    found = tokens(F.coalesce(F.col("text"), F.lit("")))
-    words = by_id.select("id", F.explode(F.concat(F.array(F.lit(_RECORD)), found)).alias("term"))
+def kept_words(texts: DataFrame, stop_words: str | Sequence[str] | None) -> DataFrame:
+    """``(id, words)``: the kept words of each record, in no order. Texts are gathered by id only if ids repeat."""
+    texts = texts.select("id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    if texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        found = tokens(F.col("text"))
+    else:
+        texts = texts.groupBy("id").agg(F.collect_list("text").alias("texts"))
+        found = F.flatten(F.transform("texts", tokens))
     stops = stop_list(stop_words)
-    if stops:
-        words = words.filter(~F.col("term").isin(*stops))
-    counts = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return counts if marker else counts.filter(F.col("term") != _RECORD)
+    return texts.select("id", (F.filter(found, lambda w: ~w.isin(*stops)) if stops else found).alias("words"))
+
+
+def _counted(texts: DataFrame, stop_words) -> DataFrame:
+    """``(id, terms)`` with the distinct kept words of a record and their numbers: equal ones are neighbours once sorted."""
+    words = kept_words(texts, stop_words).select("id", F.sort_array("words").alias("words"))
+    first = F.filter(
+        F.sequence(F.lit(0), F.size("words") - 1),
+        lambda i: (i == 0) | (F.get(F.col("words"), i) != F.get(F.col("words"), i - 1)),
+    )
+    none = F.array().cast("array<int>")
+    runs = words.select("id", "words", F.when(F.size("words") > 0, first).otherwise(none).alias("first"))
+
+    def term(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(F.col("first"), k + 1), F.size("words"))
+        return F.struct(F.get(F.col("words"), i).alias("term"), (end - i).cast("bigint").alias("tf"))
+
+    return runs.select("id", F.transform("first", term).alias("terms"))
+
+
+def _counts(texts: DataFrame, stop_words, marker: bool) -> DataFrame:
+    counted = _counted(texts, stop_words)
+    terms = F.col("terms")
+    if marker:
+        terms = F.concat(F.array(F.struct(F.lit(_RECORD).alias("term"), F.lit(1).cast("bigint").alias("tf"))), terms)
+    # The outer form, as Spark would else find all terms of a text a second time to pass over texts without any.
+    return counted.select("id", F.inline_outer(terms)).select("id", "term", "tf").filter("term IS NOT NULL")
 
 
 def term_counts(texts: DataFrame, stop_words: str | Sequence[str] | None = "english") -> DataFrame:
@@ -83,10 +113,6 @@ def weighted_terms(texts: DataFrame, vocabulary: DataFrame, stop_words="english"
     )
 
 
-def _entry(index: Column, term: Column, weight: Column) -> Column:
-    return F.struct(index.alias("index"), term.alias("term"), weight.alias("weight"))
-
-
 def tfidf_rows(
     texts: DataFrame,
     vocabulary: DataFrame,
@@ -94,22 +120,35 @@ def tfidf_rows(
 ) -> DataFrame:
     """One sparse unit vector per record: ``(id, entries)``, entries sorted by term index.
 
-    Lengths are summed in index order, so copies of a text get bit-identical vectors.
+    The vocabulary must be bounded, as it is sent to every task. Lengths are summed in index order, so copies of a text get
+    bit-identical vectors.
     """
-    entry = _entry(F.col("index"), F.col("term"), F.col("raw"))
-    gathered = (
-        weighted_terms(texts, vocabulary, stop_words)
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.when(F.col("idf").isNotNull(), entry))).alias("e"))
-    )
-    # Scaling is the finish step of the sum, so that the length is found once per record.
-    scaled = F.aggregate(
-        "e",
-        F.lit(0.0),
-        lambda s, x: s + x["weight"] * x["weight"],
-        lambda s: F.transform("e", lambda x: _entry(x["index"], x["term"], x["weight"] / F.sqrt(s))),
-    )
-    return gathered.select("id", scaled.alias("entries"))
+    known = vocabulary.select("term", "index", "idf").filter(F.col("index").isNotNull()).toArrow()
+    order = np.argsort(known.column("index").to_numpy())
+    shipped = texts.sparkSession.sparkContext.broadcast(known.take(pa.array(order)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped.value
+        terms = table.column("term").combine_chunks()
+        index, idf = table.column("index").to_numpy(), table.column("idf").to_numpy()
+        for batch in batches:
+            words = batch.column("words")
+            place = pc.index_in(words.flatten(), value_set=terms)
+            row = np.repeat(np.arange(len(words)), lengths(words))[place.is_valid().to_numpy(zero_copy_only=False)]
+            cell, tf = np.unique(row * max(len(terms), 1) + place.drop_null().to_numpy(), return_counts=True)
+            row, at = np.divmod(cell, max(len(terms), 1))
+            raw = tf * idf[at]
+            norm = np.sqrt(np.bincount(row, raw * raw, minlength=len(words)))
+            ends = np.concatenate([[0], np.bincount(row, minlength=len(words)).cumsum()]).astype(np.int32)
+            entry = pa.StructArray.from_arrays(
+                [pa.array(index[at], pa.int32()), terms.take(pa.array(at)).cast(pa.string()), pa.array(raw / norm[row], pa.float64())],
+                names=["index", "term", "weight"],
+            )
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), entry)], names=["id", "entries"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, entries array<struct<index: int, term: string, weight: double>>"
+    return kept_words(texts, stop_words).mapInArrow(run, schema)
 
 
 def tfidf_transform(

@@ -65,3 +65,17 @@ def test_hashing_gives_unit_or_zero_vectors(spark):
     assert len(got) == 3 and all(len(v) == 32 for v in got.values())
     assert abs(sum(x * x for x in got["a"]) - 1.0) < 1e-6
     assert not any(got["b"]) and not any(got["c"])
+
+
+def test_terms_are_counted_without_a_shuffle_and_repeated_ids_are_one_record(spark):
+    rows = [("a", "Zeta zeta alpha"), ("a", "alpha beta"), ("b", None), ("c", "")]
+    texts = spark.createDataFrame(rows, "id string, text string").repartition(3)
+    counts = {(r.id, r.term): r.tf for r in term_counts(texts).collect()}
+    assert counts == {("a", "zeta"): 2, ("a", "alpha"): 2, ("a", "beta"): 1}
+    unique = texts.filter("id <> 'a' OR text LIKE 'Z%'")
+    plan = term_counts(unique)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    vocabulary = tfidf_fit(texts)
+    entries = {r.id: [e.term for e in r.entries] for r in tfidf_rows(texts, vocabulary).collect()}
+    assert {k: sorted(v) for k, v in entries.items()} == {"a": ["alpha", "beta", "zeta"], "b": [], "c": []}
+    assert all(abs(sum(e.weight**2 for e in r.entries) - 1) < 1e-12 for r in tfidf_rows(texts, vocabulary).collect() if r.id == "a")
