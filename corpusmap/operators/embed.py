@@ -8,15 +8,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmap.functions.arrow import lengths, unit_rows
 from corpusmap.functions.vectors import normalize
-from corpusmap.operators.tfidf import tfidf_fit, weighted_terms
+from corpusmap.operators.tfidf import kept_words, tfidf_fit
+from corpusmap.scratch import materialize
 
 BATCH = 16
 HASHING_DIM = 256
+# Most widespread terms that are sent to every task.
+FREQUENT = 200_000
 # TF-IDF stores keep a longer image.
 TFIDF_DIM = 1024
 
@@ -95,20 +99,64 @@ def embed_hashing(
 ) -> DataFrame:
     """Signed feature hashing of the TF-IDF weights of all terms; a text without any gives the zero vector.
 
-    Terms are hashed once each, in the vocabulary. Pass the corpus vocabulary to embed queries alike.
+    Terms are hashed once each, in the vocabulary. Pass the corpus vocabulary to embed queries alike. The most widespread terms go
+    to every task, which sums them within each text; only a text's other terms are joined to the vocabulary.
     """
     if vocabulary is None:
-        vocabulary = tfidf_fit(texts, None, stop_words)
-    hashed = vocabulary.withColumns({"bucket": hash_bucket(F.col("term"), dim), "sign": hash_sign(F.col("term"))})
-    cells = (
-        weighted_terms(texts, hashed, stop_words)
-        .groupBy("id", F.coalesce("bucket", F.lit(0)).alias("bucket"))
-        .agg(F.sum(F.coalesce(F.col("sign") * F.col("raw"), F.lit(0.0))).alias("value"))
+        vocabulary = materialize(tfidf_fit(texts, None, stop_words), "vocabulary")
+    hashed = vocabulary.select(
+        "term", "df", "idf", hash_bucket(F.col("term"), dim).alias("bucket"), hash_sign(F.col("term")).alias("sign")
     )
-    gathered = cells.groupBy("id").agg(
-        F.collect_list("bucket").alias("buckets"), F.collect_list("value").alias("values")
-    )
-    return gathered.select("id", _dense_unit(dim)("buckets", "values").alias("embedding"))
+    frequent = hashed.orderBy(F.desc("df"), "term").limit(FREQUENT).toArrow()
+    summed = materialize(_frequent_sums(kept_words(texts, stop_words), frequent, dim), "sums")
+    dense = _dense_unit(dim)
+    if frequent.num_rows < FREQUENT:
+        return summed.select("id", dense("buckets", "sums").alias("embedding"))
+    rare = hashed.filter(F.col("df") <= F.lit(frequent.column("df")[-1].as_py()))
+    rest = summed.select("id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tf").alias("tf"))))
+    weights = rest.join(rare, "term").select("id", "bucket", (F.col("sign") * F.col("tf") * F.col("idf")).alias("value"))
+    added = weights.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "value"))).alias("added"))
+    buckets = F.concat("buckets", F.coalesce(F.col("added.bucket"), F.array().cast("array<int>")))
+    sums = F.concat("sums", F.coalesce(F.col("added.value"), F.array().cast("array<double>")))
+    return summed.join(added, "id", "left").select("id", dense(buckets, sums).alias("embedding"))
+
+
+def _frequent_sums(words: DataFrame, frequent: pa.Table, dim: int) -> DataFrame:
+    """``(id, buckets, sums, terms, tf)``: the sums of a text's frequent terms by bucket, and its other terms with their numbers."""
+    shipped = words.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped.value
+        terms = table.column("term").combine_chunks()
+        bucket = table.column("bucket").to_numpy()
+        weight = table.column("sign").to_numpy() * table.column("idf").to_numpy()
+
+        def listed(row: np.ndarray, *columns: pa.Array) -> list[pa.Array]:
+            ends = pa.array(np.concatenate([[0], np.bincount(row, minlength=n).cumsum()]).astype(np.int32))
+            return [pa.ListArray.from_arrays(ends, c) for c in columns]
+
+        for batch in batches:
+            n, flat = batch.num_rows, batch.column("words").flatten()
+            place = pc.index_in(flat, value_set=terms)
+            known = place.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), lengths(batch.column("words")))
+            at = place.drop_null().to_numpy()
+            cell, of = np.unique(row[known] * dim + bucket[at], return_inverse=True)
+            sums = np.bincount(of, weight[at], minlength=len(cell))
+            other = flat.filter(pa.array(~known)).dictionary_encode()
+            pair, tf = np.unique(row[~known] * max(len(other.dictionary), 1) + other.indices.to_numpy(), return_counts=True)
+            owner, term = np.divmod(pair, max(len(other.dictionary), 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"), *listed(cell // dim, pa.array((cell % dim).astype(np.int32)), pa.array(sums, pa.float64())),
+                    *listed(owner, other.dictionary.take(pa.array(term)).cast(pa.string()), pa.array(tf.astype(np.int64))),
+                ],
+                names=["id", "buckets", "sums", "terms", "tf"],
+            )
+
+    kind = words.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, buckets array<int>, sums array<double>, terms array<string>, tf array<bigint>"
+    return words.mapInArrow(run, schema)
 
 
 def _dense_unit(dim: int):
@@ -117,9 +165,8 @@ def _dense_unit(dim: int):
     @F.arrow_udf("array<float>")
     def scatter(buckets: pa.Array, sums: pa.Array) -> pa.Array:
         row = np.repeat(np.arange(len(buckets)), lengths(buckets))
-        dense = np.zeros((len(buckets), dim))
-        dense[row, buckets.flatten().to_numpy()] = sums.flatten().to_numpy()
-        flat = unit_rows(dense).astype(np.float32).ravel()
+        cells = np.bincount(row * dim + buckets.flatten().to_numpy(), sums.flatten().to_numpy(), minlength=len(buckets) * dim)
+        flat = unit_rows(cells.reshape(len(buckets), dim)).astype(np.float32).ravel()
         return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, dim, dtype=np.int32), flat)
 
     return scatter

@@ -20,9 +20,6 @@ from corpusmap.functions.text import tokens
 
 MAX_FEATURES = 10_000
 
-# Marks each record once, so that records without any kept term stay in the result.
-_RECORD = ""
-
 
 def stop_list(stop_words: str | Sequence[str] | None) -> tuple[str, ...]:
     if stop_words is None:
@@ -63,18 +60,11 @@ def _counted(texts: DataFrame, stop_words) -> DataFrame:
     return runs.select("id", F.transform("first", term).alias("terms"))
 
 
-def _counts(texts: DataFrame, stop_words, marker: bool) -> DataFrame:
-    counted = _counted(texts, stop_words)
-    terms = F.col("terms")
-    if marker:
-        terms = F.concat(F.array(F.struct(F.lit(_RECORD).alias("term"), F.lit(1).cast("bigint").alias("tf"))), terms)
-    # The outer form, as Spark would else find all terms of a text a second time to pass over texts without any.
-    return counted.select("id", F.inline_outer(terms)).select("id", "term", "tf").filter("term IS NOT NULL")
-
-
 def term_counts(texts: DataFrame, stop_words: str | Sequence[str] | None = "english") -> DataFrame:
     """Occurrences of each kept term per record: ``(id, term, tf)``."""
-    return _counts(texts, stop_words, marker=False)
+    counted = _counted(texts, stop_words)
+    # The outer form, as Spark would else find all terms of a text a second time to pass over texts without any.
+    return counted.select("id", F.inline_outer("terms")).select("id", "term", "tf").filter("term IS NOT NULL")
 
 
 def doc_freq(counts: DataFrame) -> DataFrame:
@@ -101,18 +91,6 @@ def tfidf_fit(
     return top.withColumn("index", F.row_number().over(Window.orderBy(F.desc("df"), F.asc("term"))) - 1)
 
 
-def weighted_terms(texts: DataFrame, vocabulary: DataFrame, stop_words="english") -> DataFrame:
-    """Raw weights ``tf * idf`` of known terms, next to one null-term row per record.
-
-    The vocabulary is joined without a hint: Spark broadcasts it by its measured size, or shuffles counts by term.
-    """
-    counts = _counts(texts, stop_words, marker=True)
-    joined = counts.join(vocabulary.drop("tf", "df"), "term", "left")
-    return joined.filter((F.col("term") == _RECORD) | F.col("idf").isNotNull()).withColumn(
-        "raw", F.col("tf") * F.col("idf")
-    )
-
-
 def tfidf_rows(
     texts: DataFrame,
     vocabulary: DataFrame,

@@ -79,3 +79,20 @@ def test_terms_are_counted_without_a_shuffle_and_repeated_ids_are_one_record(spa
     entries = {r.id: [e.term for e in r.entries] for r in tfidf_rows(texts, vocabulary).collect()}
     assert {k: sorted(v) for k, v in entries.items()} == {"a": ["alpha", "beta", "zeta"], "b": [], "c": []}
     assert all(abs(sum(e.weight**2 for e in r.entries) - 1) < 1e-12 for r in tfidf_rows(texts, vocabulary).collect() if r.id == "a")
+
+
+def test_rare_terms_are_hashed_like_frequent_ones(spark, monkeypatch):
+    from corpusmap.operators import embed
+
+    rows = [("a", "red red blue green"), ("b", "blue white unknown"), ("c", None), ("d", "the"), ("e", "pink")]
+    texts = spark.createDataFrame(rows, "id string, text string").repartition(2)
+
+    def found():
+        return {r.id: r.embedding for r in embed.embed_hashing(texts, dim=16).collect()}
+
+    whole = found()
+    monkeypatch.setattr(embed, "FREQUENT", 2)
+    split = found()
+    assert whole.keys() == split.keys() == set("abcde")
+    assert all(abs(x - y) < 1e-6 for k in whole for x, y in zip(whole[k], split[k], strict=True))
+    assert sum(map(abs, whole["a"])) > 0 and not any(whole["c"]) and not any(whole["d"])
