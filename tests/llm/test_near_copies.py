@@ -95,3 +95,28 @@ def test_sketches_bound_the_overlap():
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 400))) for _ in range(2))
         both = len(np.intersect1d(a, b))
         assert both <= near_copies.most_shared(len(a), near_copies.sketch(a), len(b), near_copies.sketch(b)) <= min(len(a), len(b))
+
+
+def test_a_crowd_of_edited_copies_does_not_become_pairs(spark, monkeypatch):
+    """Copies of one text with none to a third of their words replaced: most are alike to few, but share shingles with all."""
+    monkeypatch.setattr(near_copies, "PACKED", 16)
+    rng = np.random.default_rng(10)
+    words = rng.choice(WORDS, 150).tolist()
+    texts = {}
+    for i in range(400):
+        copy = words.copy()
+        for at in rng.integers(0, len(words), rng.integers(0, 12)):
+            copy[at] = str(rng.integers(1 << 30))
+        texts[i] = " ".join(copy)
+    saved = {}
+    save = Tables.save
+
+    def watch(self, df, name):
+        saved[name] = save(self, df, name)
+        return saved[name]
+
+    monkeypatch.setattr(Tables, "save", watch)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    rows = near_dup.filter_documents(docs, shingle=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in rows.collect()) == stay(texts, 0.8)
+    assert sum(saved[f"{k}_bounds"].count() for k in ("star", "stars", "rest")) < 10 * len(texts)
