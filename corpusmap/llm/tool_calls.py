@@ -4,13 +4,15 @@ Assistant texts hold calls as ``<tool_call>{"id", "name", "arguments"}</tool_cal
 results, ``{"tool_call_id", "content"}``. Calls and results are joined by conversation and identifier. A call that
 names another's result as ``"$id"`` among its arguments depends on it; levels follow the longest chain of
 dependencies, by rounds of joins that halve the chains of the dependent calls until nothing changes. Arguments are checked against
-the schema of their tool. Every message and every call stays a row of its own, so that a chat of any length is spread
+the schema of their tool: system texts declare the tools of a chat as ``<tools>[{"name", "parameters"}]</tools>`` (or those within
+``{"function"}``), and calls are joined to them by conversation and name; schemas given to ``link`` stand in for all declared ones. Every message and every call stays a row of its own, so that a chat of any length is spread
 over tasks.
 
 Defined cases: a null text is empty; texts without calls are plain messages; what is no valid JSON, or lacks a name, is
 reported in ``errors`` and stays; a repeated identifier links every call to the first result of that identifier; calls
 without a result, results without a call and calls in a circle (level null) are reported; null conversations form
-one of their own; unknown tools are an error only if schemas are given; empty tables give no rows.
+one of their own; of tools declared twice in a chat the first counts; unknown tools are an error only in chats that declare
+tools or if schemas are given; schemas that cannot be applied are reported; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmap.operators.skew import skew_join
+from corpusmap.operators.skew import hot_keys, skew_join
 from corpusmap.scratch import Tables
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
+TOOLS = re.compile(r"<tools>(.*?)</tools>", re.S)
 REFERENCE = re.compile(r"^\$([^.\s]+)")
 KINDS = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float),
@@ -116,6 +119,52 @@ def parse(role: str | None, text: str) -> tuple[str, list[dict]]:
     return CALL.sub("", text), calls
 
 
+def declared(role: str | None, text: str) -> tuple[list[dict], list[str]]:
+    """The tools that a message declares, and what is wrong with the declarations."""
+    tools, errors = [], []
+    for m in TOOLS.finditer(text) if role == "system" and "<tools>" in text else ():
+        try:
+            body = json.loads(m[1])
+        except ValueError:
+            body = None
+        for tool in body if isinstance(body, list) else [body]:
+            if isinstance(tool, dict) and isinstance(tool.get("function"), dict):
+                tool = tool["function"]
+            if isinstance(tool, dict) and isinstance(tool.get("name"), str) and isinstance(tool.get("parameters", {}), dict):
+                tools.append({"kind": "tool", "id": None, "name": tool["name"], "schema": canonical(tool.get("parameters", {}))})
+            else:
+                errors.append("no tool with a name and a schema")
+    return tools, errors
+
+
+def _problems():
+    """``problems`` of the arguments of calls, a batch at a time; none where there is no schema."""
+
+    @F.arrow_udf("array<string>")
+    def wrong(bodies: pa.Array, schemas: pa.Array) -> pa.Array:
+        found = []
+        for body, schema in zip(bodies.to_pylist(), schemas.to_pylist()):
+            try:
+                found.append([] if schema is None else problems(json.loads(body)["arguments"], json.loads(schema)))
+            except (TypeError, AttributeError):
+                found.append(["schema that cannot be applied"])
+        return pa.array(found, pa.list_(pa.string()))
+
+    return wrong
+
+
+def checked(calls: DataFrame, tools: DataFrame) -> DataFrame:
+    """Calls, with what is wrong with their arguments by the tools ``(key, turn, nth, name, json)`` of their chats among ``errors``."""
+    first = tools.groupBy("key", "name").agg(F.min_by("json", F.struct("turn", "nth")).alias("schema"))
+    chats = tools.select("key", F.lit(True).alias("declares")).distinct()
+    salt = F.xxhash64("turn", "nth")
+    rows = skew_join(calls, chats, ["key"], salt, "left")
+    rows = skew_join(rows, first, ["key", "name"], salt, "left", hot=hot_keys(calls, ["key", "name"]))
+    unknown = F.col("declares") & F.col("name").isNotNull() & F.col("schema").isNull()
+    wrong = F.when(unknown, F.array(F.lit("unknown tool"))).otherwise(_problems()("json", "schema"))
+    return rows.withColumn("errors", F.concat("errors", wrong)).drop("declares", "schema")
+
+
 PARSED = (
     "conv_id {kind}, turn bigint, nth int, kind string, id string, name string, json string, needs array<string>, "
     "errors array<string>"
@@ -123,7 +172,10 @@ PARSED = (
 
 
 def parsed(chats: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """One row for each message (kind ``message``), call and result, with its canonical JSON and what is wrong with it."""
+    """One row for each message (kind ``message``), call, result and declared tool, with its canonical JSON and what is wrong with it.
+
+    The JSON of a tool is its schema.
+    """
     kind = chats.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "turn", "nth", "kind", "id", "name", "json", "needs", "errors"]
 
@@ -134,11 +186,13 @@ def parsed(chats: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
             turns, roles, texts = (batch.column(c).to_pylist() for c in (1, 2, 3))
             for k, (turn, role, text) in enumerate(zip(turns, roles, texts)):
                 content, parts = parse(role, text or "")
-                rows.append((turn, 0, "message", None, None, canonical({"content": content, "role": role}), [], []))
+                tools, wrong = declared(role, text or "")
+                parts += tools
+                rows.append((turn, 0, "message", None, None, canonical({"content": content, "role": role}), [], wrong))
                 at += [k] * (1 + len(parts))
                 for n, p in enumerate(parts, 1):
                     errors = list(p.get("errors", []))
-                    body = None
+                    body = p.get("schema")
                     if p["kind"] == "call":
                         name, arguments = p.get("name"), p["arguments"]
                         if name is None:
@@ -235,6 +289,8 @@ def link(chats: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     parts = rows.filter("kind <> 'message'")
     calls, results = parts.filter("kind = 'call'"), parts.filter("kind = 'result'")
     named = calls.filter("id IS NOT NULL").select(F.col("key").alias("conv_id"), "id", "needs")
+    if schemas is None:
+        calls = checked(calls, rows.filter("kind = 'tool'").select("key", "turn", "nth", "name", "json"))
     depth = levels(named, tables).select(F.col("conv_id").alias("key"), "id", "level")
     first_result = results.filter("id IS NOT NULL").groupBy("key", "id").agg(F.min("turn").alias("linked_turn"))
     first_call = calls.filter("id IS NOT NULL").groupBy("key", "id").agg(F.min("turn").alias("linked_turn"))

@@ -208,3 +208,31 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert got[None, 0, 1]["errors"] == "no call with a name"
     assert got[None, 0, 2]["level"] is None and "depends on itself" in got[None, 0, 2]["errors"]
     assert tool_calls.link(chats.limit(0)).collect() == []
+
+
+def test_calls_are_checked_by_the_tools_their_chat_declares(spark):
+    def call(name, arguments):
+        return f'<tool_call>{{"id":"{name}{len(arguments)}","name":"{name}","arguments":{arguments}}}</tool_call>'
+
+    schema = '{"type":"object","properties":{"n":{"type":"integer"}},"required":["n"]}'
+    tools = f'<tools>[{{"name":"f","parameters":{schema}}},{{"type":"function","function":{{"name":"g","parameters":{{"enum":1}}}}}}]</tools>'
+    rows = [
+        (1, 0, "system", "use " + tools + "<tools>{}</tools>"),
+        (1, 1, "system", '<tools>[{"name":"f"}]</tools>'),
+        (1, 2, "assistant", call("f", '{"n":1}') + call("f", '{"n":"1"}') + call("g", "{}") + call("h", "{}")),
+        (2, 0, "user", tools),
+        (2, 1, "assistant", call("f", '{"n":"1"}')),
+        (None, 0, "system", tools),
+        (None, 1, "assistant", call("f", "{}")),
+    ]
+    chats = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    found = tool_calls.link(chats).collect()
+    got = {(r["conv_id"], r["turn"], r["nth"]): r["errors"].split("; ") for r in found}
+    assert len(found) == 7 + 6
+    assert got[1, 0, 0] == ["no tool with a name and a schema"]
+    assert got[1, 2, 1] == ["nothing linked"]
+    assert got[1, 2, 2] == ["arguments.n: not of type integer", "nothing linked"]
+    assert got[1, 2, 3] == ["schema that cannot be applied", "nothing linked"]
+    assert got[1, 2, 4] == ["unknown tool", "nothing linked"]
+    assert got[2, 1, 1] == ["nothing linked"]
+    assert got[None, 1, 1] == ["arguments.n: missing", "nothing linked"]
