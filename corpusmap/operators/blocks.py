@@ -1,9 +1,10 @@
-"""Sparse cosine joins in blocks: every pair of blocks is compared in one task, and no pair of rows is written or shuffled.
+"""Cosine joins in blocks: every pair of blocks is compared in one task, and no pair of rows is written or shuffled.
 
-A block is one row of a saved table: some thousand sparse rows, packed. Blocks meet in a cross product, each two of them once,
+A block is one row of a saved table: some thousand rows, packed. Blocks meet in a cross product, each two of them once,
 which needs no shuffle, so that disk grows with the rows and not with the pairs; time grows with the square of the rows.
 Two rows are first bounded: terms are put into groups, the most widespread each in its own, and by Cauchy and Schwarz the
 products of the rows' lengths within each group sum to at least their cosine. Only what exceeds the threshold is multiplied out.
+Blocks of dense rows, which all hold the same terms, are multiplied as matrices.
 """
 
 from __future__ import annotations
@@ -112,8 +113,28 @@ def _unpacked(batch: pa.RecordBatch, side: str, i: int) -> Rows:
     return Rows(ids, ends("copies"), raw("lead", "u1") > 0, ends("size"), raw("terms", "<i4").astype(np.int64), raw("weights", "<f8"))
 
 
+def _dense(rows: Rows) -> np.ndarray | None:
+    """The rows as a matrix, if each holds the terms from 0 on to the same last one."""
+    width = rows.start[1] if len(rows) else 0
+    if not width or (np.diff(rows.start) != width).any():
+        return None
+    if (rows.terms.reshape(-1, width) != np.arange(width)).any():
+        return None
+    return rows.weights.reshape(-1, width)
+
+
 def _similar(a: Rows, b: Rows, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows above the threshold, with their cosines; a block against itself gives each pair once."""
+    x, y = _dense(a), _dense(b)
+    if x is not None and y is not None and x.shape[1] == y.shape[1]:
+        for low in range(0, len(b), PART):
+            cosines = x @ y[low : low + PART].T
+            above = cosines > threshold
+            if same:
+                above &= np.arange(len(a))[:, None] < np.arange(low, low + cosines.shape[1])[None, :]
+            i, j = np.nonzero(above)
+            yield i, j + low, cosines[i, j]
+        return
     known, column = np.unique(b.terms, return_inverse=True)
     at = np.minimum(np.searchsorted(known, a.terms), len(known) - 1)
     shared = known[at] == a.terms

@@ -23,8 +23,9 @@ SLACK = 1e-9
 POSTING_BLOCK = 4096
 POSTING_ROWS = 20_000
 BOUNDARIES = 48
-# Products of postings for each row, beyond which rows are compared in blocks.
-FEW_PRODUCTS = 16
+# Products of postings for each row, and foreign cells that a vector visits, beyond which rows are compared in blocks. The
+# visits are counted for one of so many vectors.
+FEW_PRODUCTS, FEW_VISITS, COUNTED = 16, 8, 64
 
 
 @dataclass
@@ -49,7 +50,7 @@ class SimilarVectors:
 
 @dataclass
 class SimilarBlocks:
-    """A similarity graph of sparse rows whose edges are found in blocks when they are asked for, and not kept unless they are
+    """A similarity graph of rows whose edges are found in blocks when they are asked for, and not kept unless they are
     needed more than once."""
 
     groups: Groups
@@ -98,11 +99,12 @@ def similarity_join(
 
 def similar_vectors(
     df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", method: str = "exact"
-) -> SimilarVectors:
+) -> SimilarVectors | SimilarBlocks:
     """The similarity graph of dense vectors, over distinct vectors.
 
     ``exact`` joins within metric cells: cosine above t means a distance below sqrt(2 - 2t) between unit
-    vectors, so a high threshold leaves each vector few cells to visit. ``lsh`` compares vectors that share
+    vectors, so a high threshold leaves each vector few cells to visit. Where vectors would visit many, and be copied for each of
+    them, all are compared in blocks (``blocks.py``). ``lsh`` compares vectors that share
     a hash cell.
     """
     check_threshold(threshold)
@@ -120,7 +122,15 @@ def similar_vectors(
 
         edges = lsh_pairs(distinct, threshold, tables)
     else:
-        edges = _cell_pairs(distinct, threshold, tables)
+        cells = C.build_cells(distinct, tables)
+        if _many_visits(cells, threshold):
+            tables.drop("homes")
+            size = F.size("vec")
+            terms = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+            weights = F.transform("vec", lambda x: F.coalesce(x, F.lit(float("nan"))))
+            reps = groups.reps.select("rep", "n_copies", "self_weight", terms.alias("indices"), weights.alias("weights"))
+            return _in_blocks(replace(groups, reps=reps), threshold, tables)
+        edges = _cell_pairs(cells, distinct, threshold, tables)
     return SimilarVectors(groups, tables.save(edges, "edges"))
 
 
@@ -170,10 +180,21 @@ def arrow_id_type(df: DataFrame, col: str = "id") -> pa.DataType:
     return kinds[name]
 
 
-def _cell_pairs(distinct: DataFrame, threshold: float, tables: Tables) -> DataFrame:
-    radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-6
-    cells = C.build_cells(distinct, tables)
-    guests = tables.save(C.visits(cells, cells.homes, radius, earlier_only=True), "guests")
+def _radius(threshold: float) -> float:
+    """The distance of unit vectors whose cosine is the threshold."""
+    return float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-6
+
+
+def _many_visits(cells: C.Cells, threshold: float) -> bool:
+    """Whether vectors visit so many foreign cells that copying them for each would cost more than comparing all."""
+    if len(cells.counts) <= FEW_VISITS:
+        return False
+    some = cells.homes.filter(F.pmod("h", F.lit(COUNTED)) == 0)
+    return C.visits(cells, some, _radius(threshold), earlier_only=True).count() > FEW_VISITS * some.count()
+
+
+def _cell_pairs(cells: C.Cells, distinct: DataFrame, threshold: float, tables: Tables) -> DataFrame:
+    guests = tables.save(C.visits(cells, cells.homes, _radius(threshold), earlier_only=True), "guests")
     home_blocks = C.n_blocks(cells.counts)
     guest_blocks = C.n_blocks(C.cell_counts(guests, len(cells.counts)))
 

@@ -212,3 +212,25 @@ def test_many_queries_are_compared_a_bounded_number_at_a_time():
     some = rng.choice(len(q), 20)
     want = np.argsort(-np.round(q[some] @ unit.T, 9), axis=1, kind="stable")[:, :10]
     assert (found[1].reshape(-1, 10)[some] == want).all()
+
+
+def test_vectors_that_visit_many_cells_are_compared_in_blocks(spark, vectors, cloud, small_cells, monkeypatch):
+    monkeypatch.setattr(simjoin, "COUNTED", 2)
+    monkeypatch.setattr(simjoin, "FEW_VISITS", 1)
+    unit = vectors.filter("id < '0119'").select("id", simjoin.normalize(F.col("embedding")).alias("vec"))
+    cells = simjoin.C.build_cells(unit, simjoin.Tables(spark, "visits"), cell_rows=6)
+    assert simjoin._many_visits(cells, 0.01) and not simjoin._many_visits(cells, 0.999)
+    monkeypatch.setattr(simjoin, "_many_visits", lambda cells, threshold: True)
+    monkeypatch.setattr(simjoin.B, "BLOCK_ROWS", 16)
+    odd = spark.createDataFrame([("x1", None), ("x2", []), ("x3", [0.0])], vectors.schema)
+    similar = simjoin.similar_vectors(vectors.unionByName(odd), 0.3)
+    assert isinstance(similar, simjoin.SimilarBlocks)
+    edges = [(r.src, r.dst) for r in similar.full_edges().collect()]
+    want = pairs_above(cloud, 0.3)
+    assert len(edges) == len(set(edges)) and set(edges) == want
+    weights = {(r.src, r.dst): r.weight for r in similar.full_edges().collect()}
+    assert all(abs(w - cosines(cloud)[int(a), int(b)]) < 1e-9 for (a, b), w in weights.items())
+    counts = similar.counts().first()
+    assert (counts.n_nodes, counts.n_edges) == (len(cloud) + 3, len(want))
+    isolated = simjoin.similar_vectors(vectors, 0.999)
+    assert {(r.src, r.dst) for r in isolated.full_edges().collect()} == pairs_above(cloud, 0.999)
