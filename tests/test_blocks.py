@@ -44,3 +44,44 @@ def test_blocks_find_all_pairs_and_write_none(made, threshold):
     assert parts == root
     reps = {r.rep for r in similar.groups.reps.collect()}
     assert {(r.src, r.dst) for r in similar.edges.collect()} == {p for p in truth if set(p) <= reps}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_connected_rows_are_not_multiplied_out_again(monkeypatch, wide):
+    """Three crowds over three blocks: their links connect what all pairs connect, and few pairs are multiplied out for that."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(blocks, "PART", 64)
+    monkeypatch.setattr(blocks, "WIDE", 1 if wide else blocks.WIDE)
+    centre = rng.random((3, 40)) * (rng.random((3, 40)) < 0.4)
+    of = rng.integers(0, 3, 600)
+    m = centre[of] + 0.05 * rng.random((600, 40)) * (rng.random((600, 40)) < 0.3)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+
+    def rows(low):
+        part = m[low : low + 200]
+        start = np.concatenate([[0], (part > 0).sum(1).cumsum()])
+        terms = np.nonzero(part)[1].astype(np.int64)
+        lead = np.ones(200, dtype=bool)
+        lead[:3] = False
+        return blocks.Rows(None, np.arange(201), lead, start, terms, part[part > 0])
+
+    asked = []
+    dots = blocks._dots
+    monkeypatch.setattr(blocks, "_dots", lambda *x: asked.append(len(x[-1])) or dots(*x))
+    forest, found = blocks.Forest(), [rows(0), rows(200), rows(400)]
+    for r in range(3):
+        for k in range(r + 1):
+            at, to = forest.place(k, 200), forest.place(r, 200)
+            for i, j in blocks._linked(found[k], found[r], k == r, 0.9, forest, at, to):
+                assert (np.einsum("ij,ij->i", m[200 * k + i], m[200 * r + j]) > 0.9).all()
+    led = np.arange(600) % 200 > 2
+    similar = (m @ m.T > 0.9) & led[:, None] & led[None, :]
+    assert sum(asked) < similar.sum() / 2 / 10
+    root = np.arange(600)
+    for _ in range(600):
+        lowest = np.where(similar, root[None, :], 600).min(1)
+        new = np.where(led, np.minimum(root, lowest), root)
+        if (new == root).all():
+            break
+        root = new
+    assert (forest.root == root).all()
