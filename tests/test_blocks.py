@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from corpusmap.operators import blocks, graph, simjoin
+from corpusmap.operators import blocks, graph, reduce, simjoin
+from corpusmap.scratch import Tables
 
 
 @pytest.fixture
@@ -85,3 +86,38 @@ def test_connected_rows_are_not_multiplied_out_again(monkeypatch, wide):
             break
         root = new
     assert (forest.root == root).all()
+
+
+def test_rounds_on_edges_find_and_write_them_once(made, monkeypatch):
+    """Label propagation, communities and the spring layout compare the blocks once, and keep each edge in one direction."""
+    m, rows = made
+    similar = simjoin.similar_sparse(rows, 0.9)
+    found = {}
+    save = Tables.save
+
+    def watched(tables, df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") <= 1
+        kept = save(tables, df, name)
+        if "MapInArrow" in plan:
+            found[name] = found.get(name, 0) + kept.count()
+        return kept
+
+    n = similar.full_edges().count()
+    nodes = rows.select("id")
+    monkeypatch.setattr(Tables, "save", watched)
+    labels = graph.label_propagation(nodes, similar.full_edges(), 2, synchronous=True).collect()
+    assert len(labels) == 150 and found == {"edges": n}
+    found.clear()
+    assert len(graph.communities(similar).collect()) == 150
+    assert not similar.kept and list(found) == ["edges"]
+    found.clear()
+
+    def stop(start, both, *_):
+        assert both.count() == 2 * n
+        raise InterruptedError
+
+    monkeypatch.setattr(reduce, "run_epochs", stop)
+    with pytest.raises(InterruptedError):
+        reduce.spring_layout(nodes, similar.full_edges())
+    assert found == {"edges": n}
