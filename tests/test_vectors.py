@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmap.operators import graph, knn, search, simjoin
+from corpusmap.operators import graph, knn, lsh, search, simjoin
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +52,30 @@ def test_lsh_join_finds_most_pairs_and_no_wrong_ones(vectors, cloud, small_cells
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_lsh_join_copies_few_bands_at_once_and_finds_the_same(vectors, cloud, small_cells, monkeypatch):
+    """One band at a time, cells in blocks: the same pairs, each once, with their cosines, and no more copies than vectors."""
+    at_once = simjoin.similarity_join(vectors, 0.9, method="lsh").collect()
+    sims = cosines(cloud)
+    assert len(at_once) == len({(r.src, r.dst) for r in at_once})
+    assert all(abs(r.weight - sims[int(r.src), int(r.dst)]) < 1e-9 for r in at_once)
+    placed = []
+    cells = lsh.hash_cells
+
+    def counted(df, dim, bits, bands, seed=0, some=None):
+        placed.append(len(some or ()))
+        return cells(df, dim, bits, bands, seed, some)
+
+    monkeypatch.setattr(lsh, "hash_cells", counted)
+    monkeypatch.setattr(lsh, "COPIED", 1)
+    monkeypatch.setattr(lsh, "plan_bands", lambda *_: (4, 6))
+    monkeypatch.setattr(lsh.C, "BLOCK", 8)
+    split = {(r.src, r.dst) for r in simjoin.similarity_join(vectors, 0.9, method="lsh").collect()}
+    assert placed == [0] + [1] * 6
+    monkeypatch.setattr(lsh, "COPIED", 1 << 30)
+    monkeypatch.setattr(lsh.C, "BLOCK", 2048)
+    assert split == {(r.src, r.dst) for r in simjoin.similarity_join(vectors, 0.9, method="lsh").collect()}
+
+
 @pytest.mark.parametrize("threshold", [0.4, 0.8])
 def test_sparse_join_equals_brute_force(spark, small_cells, threshold):
     rng = np.random.default_rng(2)
