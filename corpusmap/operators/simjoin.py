@@ -119,6 +119,7 @@ def similar_vectors(
     if method not in ("exact", "lsh"):
         raise ValueError(f"method must be 'exact' or 'lsh', not {method!r}")
     tables = Tables(df.sparkSession, "simjoin")
+    tables.release()
     unit = df.select(F.col(id_col).alias("id"), normalize(F.col(vec_col)).alias("vec"))
     groups = collapse(unit, ["vec"], tables)
     nonzero = F.exists("vec", lambda x: x != 0)
