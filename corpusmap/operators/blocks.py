@@ -140,13 +140,6 @@ def _similar(a: Rows, b: Rows, same: bool, threshold: float) -> Iterator[tuple[n
             i, j = np.nonzero(above)
             yield i, j + low, cosines[i, j]
         return
-    x, y = _dense(a), _dense(b)
-    if x is not None and y is not None and x.shape[1] == y.shape[1]:
-        for i, j, _ in _similar(a, b, same, threshold):
-            led = a.lead[i] & b.lead[j]
-            forest.join(at + i[led], to + j[led])
-            yield i[led], j[led]
-        return
     start, columns, weights, column, width = _aligned(a, b)
     for low, high, bound in _bounds(a, b, same, width):
         whole = _whole(b, low, high, column, width)

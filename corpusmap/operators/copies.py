@@ -22,15 +22,25 @@ class Groups:
 
 
 def collapse(df: DataFrame, payload: list[str], tables: Tables) -> Groups:
-    """Group the rows ``(id, <payload>)`` by equal payload; copies are reduced before the shuffle."""
-    reps = tables.save(
-        df.groupBy(*payload).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")), "reps"
-    )
-    total = reps.agg(F.sum("n_copies").alias("n"), F.count("*").alias("m")).first()
+    """Group the rows ``(id, <payload>)`` by equal payload; copies are reduced before the shuffle.
+
+    Ids find their representatives by a digest of 128 bits, so that payloads are shuffled once. Only where a digest is that of
+    several payloads, as where null elements move, the payloads themselves are joined.
+    """
+    grouped = df.groupBy(*payload).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
+    reps, total = tables.save_measured(grouped, "reps", n=F.coalesce(F.sum("n_copies"), F.lit(0)), m=F.count("*"))
+    # The shuffle files of the payloads, which the table replaces.
+    tables.release()
     if total["n"] == total["m"]:
         return Groups(reps.select(F.col("rep").alias("id"), "rep"), reps, False)
-    same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in payload])
-    members = df.alias("a").join(reps.select("rep", *payload).alias("b"), same).select("a.id", "b.rep")
+    digest = [F.xxhash64(F.lit(k), *payload).alias(f"digest{k}") for k in range(2)]
+    keys = [f"digest{k}" for k in range(2)]
+    marked = reps.select("rep", *digest)
+    if marked.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        members = df.select("id", *digest).join(marked, keys).select("id", "rep")
+    else:
+        same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in payload])
+        members = df.alias("a").join(reps.select("rep", *payload).alias("b"), same).select("a.id", "b.rep")
     return Groups(tables.save(members, "members"), reps, True)
 
 

@@ -189,6 +189,32 @@ def test_a_null_vector_stays_a_member_beside_copies(spark):
     assert {(r.id, r.rep) for r in groups.members.collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
 
 
+def test_copies_find_their_representative_without_shuffling_payloads_again(spark, monkeypatch):
+    from corpusmap.operators.copies import collapse
+    from corpusmap.scratch import Tables
+
+    nan, plans = float("nan"), []
+    save = Tables.save
+
+    def watched(tables, df, name):
+        if name == "members":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(tables, df, name)
+
+    monkeypatch.setattr(Tables, "save", watched)
+    rows = [("a", [0.0, nan]), ("b", [-0.0, nan]), ("c", [1.0, 2.0]), ("d", [2.0, 1.0]), ("e", None), ("f", [1.0, 2.0]), ("g", [])]
+    once = {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "c", "g": "g"}
+    frame = spark.createDataFrame(rows[:4] + rows[5:], "id string, vec array<double>").repartition(3)
+    found = collapse(frame, ["vec"], Tables(spark, "test"))
+    assert {r.id: r.rep for r in found.members.collect()} == {k: v for k, v in once.items() if k != "e"}
+    joined = [line for line in plans[0].splitlines() if "Join" in line]
+    assert len(joined) == 1 and "digest0" in joined[0] and "vec" not in joined[0]
+    # Null elements leave no trace in a digest: these rows share one and are told apart all the same.
+    rows += [("h", [None, 1.0]), ("i", [1.0, None]), ("j", [1.0]), ("k", [None, 1.0])]
+    found = collapse(spark.createDataFrame(rows, "id string, vec array<double>").repartition(3), ["vec"], Tables(spark, "test"))
+    assert {r.id: r.rep for r in found.members.collect()} == once | {"h": "h", "i": "i", "j": "j", "k": "h"}
+
+
 def test_a_long_path_is_one_component_and_unsettled_labels_raise(spark, monkeypatch):
     nodes = spark.range(401).withColumnRenamed("id", "id")
     edges = nodes.filter("id > 0").select((F.col("id") - 1).alias("src"), F.col("id").alias("dst")).repartition(7)
