@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmap.functions.records import as_store_rows
+from corpusmap.functions.records import stored_vectors
 from corpusmap.functions.text import text_of
 from corpusmap.operators import cluster as clusters
 from corpusmap.operators import enrich, graph, label, reduce, report, tfidf
@@ -92,7 +92,7 @@ def run_pipeline(
     if model in ("hashing", "tfidf"):
         writers.write_vocabulary(tfidf.tfidf_fit(text_of(level), max_features=None), store, name, model)
         vocabulary = readers.read_vocabulary(spark, store, name, model)
-    writers.write_vectors(vectorise(level, model, vocabulary).join(as_store_rows(level), "id"), store, name, model)
+    writers.write_vectors(stored_vectors(vectorise(level, model, vocabulary), level), store, name, model)
     if model == "tfidf":
         # The vocabulary that numbers the terms of the exact rows is kept under a name of its own.
         writers.write_vocabulary(tfidf.tfidf_fit(text_of(level)), store, name, SPARSE_MODEL)

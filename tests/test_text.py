@@ -81,6 +81,45 @@ def test_terms_are_counted_without_a_shuffle_and_repeated_ids_are_one_record(spa
     assert all(abs(sum(e.weight**2 for e in r.entries) - 1) < 1e-12 for r in tfidf_rows(texts, vocabulary).collect() if r.id == "a")
 
 
+def test_stored_vectors_shuffle_records_and_not_their_text_forms(spark):
+    from corpusmap.functions import records
+
+    level = spark.createDataFrame([("a", "red", ["x"]), ("b", None, None)], "id string, title string, engines array<string>")
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [0.0])], "id string, embedding array<double>")
+    found = records.stored_vectors(vectors, level)
+    assert sorted(map(str, found.collect())) == sorted(map(str, vectors.join(records.as_store_rows(level), "id").collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS document") < plan.index("Join") and "AS document" not in plan[plan.index("Join") :]
+
+
+def test_hits_are_found_before_documents_are_joined_to_them(spark):
+    """A search plans no exchange of the stored documents, since it knows the size of its hits."""
+    from corpusmap.operators.search import semantic_search
+
+    texts = spark.createDataFrame([("a", "red blue"), ("b", "green blue")], "id string, text string")
+    vocabulary = tfidf_fit(texts, None)
+    stored = embed_hashing(texts, 16, vocabulary).selectExpr("id", "embedding", "'{\"title\":\"t\"}' AS document")
+    asked = texts.withColumnRenamed("id", "query_id")
+    found = semantic_search(asked, stored, "hashing", 1, vocabulary)
+    assert {(r.query_id, r.id, r.title) for r in found.collect()} == {("a", "a", "t"), ("b", "b", "t")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Window" not in plan
+
+
+def test_hashing_leaves_only_its_vectors(spark, monkeypatch):
+    import glob
+
+    from corpusmap.operators import embed
+    from corpusmap.scratch import shared_dir
+
+    monkeypatch.setattr(embed, "FREQUENT", 1)
+    texts = spark.createDataFrame([("a", "red blue"), ("b", "green blue")], "id string, text string")
+    pattern = f"{shared_dir(spark).removeprefix('file:')}/hashing-*/*"
+    before = set(glob.glob(pattern))
+    assert len(embed.embed_hashing(texts, 16, tfidf_fit(texts, None)).collect()) == 2
+    assert {path.split("/")[-1] for path in set(glob.glob(pattern)) - before} == {"vectors"}
+
+
 def test_rare_terms_are_hashed_like_frequent_ones(spark, monkeypatch):
     from corpusmap.operators import embed
 
