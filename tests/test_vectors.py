@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmap.operators import graph, knn, lsh, search, simjoin
+from corpusmap.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -284,3 +285,11 @@ def test_vectors_that_visit_many_cells_are_compared_in_blocks(spark, vectors, cl
     assert (counts.n_nodes, counts.n_edges) == (len(cloud) + 3, len(want))
     isolated = simjoin.similar_vectors(vectors, 0.999)
     assert {(r.src, r.dst) for r in isolated.full_edges().collect()} == pairs_above(cloud, 0.999)
+
+
+def test_cosine_topk_asks_with_every_vector(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((130, 8)))]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    asked = queries.cosine_topk(spark, str(tmp_path)).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in asked} == {str(i): 10 for i in range(130)}
