@@ -291,9 +291,10 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, crowd: int =
 
 
 def _labels(made: DataFrame, tables: Tables, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(fp, first, component_id)`` for each distinct mark ``fp`` of a saved table: its smallest id and its group's.
+    """``(fp, first, component, component_id)`` for each distinct mark ``fp`` of a saved table: its smallest id, its group and
+    the smallest id of that.
 
-    ``search`` gives the links between the distinct marks.
+    ``search`` gives the links between the distinct marks. A group is the smallest mark in it: ids may repeat or be null.
     """
     firsts = tables.save(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = tables.save(search(firsts.select("fp")), "links")
@@ -301,8 +302,9 @@ def _labels(made: DataFrame, tables: Tables, search: Callable[[DataFrame], DataF
     roots = connected_components(ends, found).select(F.col("id").alias("fp"), "component")
     linked = tables.save(roots.join(firsts, "fp"), "linked")
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    moved = linked.join(lowest, "component").select("fp", "component_id")
-    return firsts.join(moved, "fp", "left").select("fp", "first", F.coalesce("component_id", "first").alias("component_id"))
+    moved = linked.join(lowest, "component").select("fp", "component", "component_id")
+    return firsts.join(moved, "fp", "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first").alias("component_id"))
 
 
 def near_duplicates(
@@ -346,7 +348,8 @@ def _filter_copies(docs: DataFrame, shingle: int, similarity: float, tables: Tab
     made = tables.save(near_copies.keyed(docs, shingle, similarity), "sets")
     labels = _labels(made.select("doc_id", F.col("key").alias("fp")), tables,
                      lambda _: near_copies.links(docs, made, shingle, similarity)).filter("first <=> component_id")
-    stay = labels.groupBy("component_id").agg(F.min("fp").alias("key"))
+    # By the group and not by its smallest id: groups that have the same smallest id, or none, each keep a row.
+    stay = labels.groupBy("component").agg(F.min("fp").alias("key"), F.min("component_id").alias("component_id"))
     rows = made.join(stay, "key").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     rows = tables.save(rows.select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash")), "stay")

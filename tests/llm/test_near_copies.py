@@ -120,3 +120,14 @@ def test_a_crowd_of_edited_copies_does_not_become_pairs(spark, monkeypatch):
     rows = near_dup.filter_documents(docs, shingle=5, similarity=0.8)
     assert sorted(r["doc_id"] for r in rows.collect()) == stay(texts, 0.8)
     assert sum(saved[f"{k}_bounds"].count() for k in ("star", "stars", "rest")) < 10 * len(texts)
+
+
+def test_groups_of_one_id_or_none_each_keep_a_row(spark, sf_dir):
+    """Different texts under one id, and under null ids, are different groups; each copy goes."""
+    rng = np.random.default_rng(11)
+    a, b, c, d = (" ".join(rng.choice(WORDS, 60)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, c), (None, c), (None, d), (3, d), (None, "x"), (None, "y"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(tuple(map(str, r)) for r in kept) == sorted(
+        tuple(map(str, r)) for r in [(1, a), (1, b), (None, c), (3, d), (None, "x"), (None, "y"), (None, None)])
