@@ -121,3 +121,80 @@ def test_rounds_on_edges_find_and_write_them_once(made, monkeypatch):
     with pytest.raises(InterruptedError):
         reduce.spring_layout(nodes, similar.full_edges())
     assert found == {"edges": n}
+
+
+def _languages(n, seed=6):
+    """Rows of two vocabularies that share few terms, a third of them near one of two centres, and some of both vocabularies."""
+    rng = np.random.default_rng(seed)
+    m = np.zeros((n, 80))
+    of = rng.integers(0, 2, n)
+    centre = rng.random((2, 40))
+    for i in range(n):
+        near = i % 3 == 0
+        v = centre[of[i]] + 0.1 * rng.random(40) if near else np.where(rng.random(40) < 0.2, rng.random(40), 0.0)
+        m[i, 40 * of[i] : 40 * of[i] + 40] = v
+        if i % 20 == 0:
+            m[i, 40 - 40 * of[i] : 80 - 40 * of[i]] += 0.5 * centre[1 - of[i]]
+    m[:, 39] = 0.1
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _sparse(spark, m):
+    rows = [(f"{i:03d}", np.flatnonzero(v).tolist(), v[v > 0].tolist()) for i, v in enumerate(m)]
+    return spark.createDataFrame(rows, "id string, indices array<int>, weights array<double>").repartition(3)
+
+
+def test_clusters_of_terms_and_hubs_change_no_result(spark, monkeypatch):
+    """Two clusters of terms are found; rows connected through hubs are not compared; edges, counts and components are those of all pairs."""
+    for name, value in {"BLOCK_ROWS": 64, "PART": 16, "HUBS": 40, "CHOICES": (16, 32, 64), "GROUPS": 32, "CROSSED": 0.5, "CENTRES": 3}.items():
+        monkeypatch.setattr(blocks, name, value)
+    m, threshold = _languages(300), 0.6
+    similar = simjoin.similar_sparse(_sparse(spark, m), threshold)
+    assert isinstance(similar, simjoin.SimilarBlocks) and similar.plan.n == 2
+    assert 20 <= len(similar.plan.hubs) < 120
+    i, j = np.nonzero(np.triu(m @ m.T > threshold, 1))
+    truth = {(f"{a:03d}", f"{b:03d}") for a, b in zip(i, j)}
+    got = similar.full_edges().collect()
+    assert len(got) == len(truth) and {(r.src, r.dst) for r in got} == truth
+    assert tuple(similar.counts().first()) == (300, len(truth))
+    root = np.arange(300)
+    for _ in range(300):
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+    assert {r.id: r.component for r in graph.components_of(similar).collect()} == {f"{k:03d}": f"{v:03d}" for k, v in enumerate(root)}
+
+
+def test_rows_of_other_terms_are_not_bounded_pair_by_pair(monkeypatch):
+    """Rows of two vocabularies meet by their lengths in the clusters alone, and rows connected to hubs are not multiplied out."""
+    monkeypatch.setattr(blocks, "PART", 64)
+    m = _languages(400)
+    size = (m > 0).sum(1)
+    rows = blocks.Rows(None, np.arange(401), np.ones(400, dtype=bool), np.concatenate([[0], size.cumsum()]), np.nonzero(m)[1], m[m > 0])
+    monkeypatch.setattr(blocks, "CROSSED", 0.5)
+    monkeypatch.setattr(blocks, "LEAST", 0.2)
+    plan = blocks._clusters(rows, 0.6)
+    assert plan.n == 2 and (plan.cluster[:39] == plan.cluster[0]).all() and (plan.cluster[40:] == plan.cluster[40]).all()
+    order = blocks.Rows(None, rows.copies, rows.lead, rows.start, rows.terms, rows.weights, plan).order()
+    m = m[order]
+    rows = blocks.Rows(
+        None, rows.copies, rows.lead, np.concatenate([[0], size[order].cumsum()]), np.nonzero(m)[1], m[m > 0], plan)
+    met = []
+    lengths = blocks.Rows.lengths
+    monkeypatch.setattr(blocks.Rows, "lengths", lambda self, c, low, high, n: met.append((c, high - low)) or lengths(self, c, low, high, n))
+    forest = blocks.Forest()
+    at = forest.place(0, 400)
+    for _ in blocks._linked(rows, rows, True, 0.6, forest, at, at):
+        pass
+    assert {c for c, _ in met} >= {0, 1}
+    hubs = forest.root
+    plan.root = hubs
+    hub, merged = blocks._to_hubs(rows, rows, 0.6)
+    assert (hub == hubs).all() and not len(merged)
+    asked = []
+    monkeypatch.setattr(blocks, "_dots", lambda *x: asked.append(len(x[-1])) or np.zeros(len(x[-1])))
+    again = blocks.Forest(hubs)
+    at = again.place(0, 400, hub)
+    apart = hubs[:, None] != hubs[None, :]
+    for _ in blocks._linked(rows, rows, True, 0.6, again, at, at):
+        pass
+    assert sum(asked) <= (np.triu(apart, 1)).sum()
